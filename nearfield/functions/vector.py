@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _col(c: Column | str) -> Column:
@@ -67,7 +68,7 @@ def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(DoubleType())
 def l2_arrow(a: pa.Array, b: pa.Array) -> pa.Array:
     """Euclidean distance of whole Arrow batches."""
     if len(a) == 0:

@@ -92,10 +92,11 @@ def _rank_ctes(beam: Beam, source: str, width: int, spread: str) -> list[str]:
     so_far = f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     if beam.ties:
         cut = "rank() OVER (PARTITION BY q ORDER BY dist)"
-        turn = "rank() OVER (PARTITION BY q, seen ORDER BY dist)"
-        picks = f"count_if(pick) OVER ({whole})"
+        kept = "(SELECT *, rank() OVER (PARTITION BY q, seen ORDER BY dist) AS turn FROM kept)"
+        turn = "turn"
+        picks = f"count_if(NOT seen AND turn <= {width}) OVER ({whole})"
     else:
-        cut = f"row_number() OVER ({order})"
+        cut, kept = f"row_number() OVER ({order})", "kept"
         turn = f"sum(if(seen, 0, 1)) OVER ({so_far})"
         picks = f"least({width}, sum(if(seen, 0, 1)) OVER ({whole}))"
     # the counters use the frame of the same window as the turn: one sort, two window passes
@@ -106,7 +107,7 @@ def _rank_ctes(beam: Beam, source: str, width: int, spread: str) -> list[str]:
         f"""chosen AS (
             SELECT *, NOT seen AND {turn} <= {width} AS pick, {picks} AS picks,
                    max(steps) OVER ({whole}) AS steps0, max(visited) OVER ({whole}) AS visited0
-            FROM kept)""",
+            FROM {kept})""",
     ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import mean_vector
@@ -39,8 +39,6 @@ def knn_edges(base: DataFrame, r: int) -> DataFrame:
 
 def exact_rank(near: DataFrame) -> DataFrame:
     """Close the gap the removed self-match left. ``near`` is already clustered by q."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("q").orderBy("dist", "id")
     return near.withColumn("rank", F.row_number().over(w))
 
