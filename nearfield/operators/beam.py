@@ -14,7 +14,10 @@ rows is all the memory the search needs, and the state stays bounded by queries
 
 One step is: picked vertices join the graph, neighbours not yet listed join their vectors and their
 query, the union with the list is ranked and cut to ``l``. Every step ends in a reliable
-checkpoint; one row of metrics returns to the driver.
+checkpoint; one row of counts returns to the driver. Small inputs take the step in one statement
+with explicit partition counts (adaptive execution would merge them into one task). For large ones
+the graph and the vectors stay where they are, only the rows asked for move, and every exchange
+keeps its map-side group limit and skew handling.
 """
 
 from __future__ import annotations
@@ -25,13 +28,17 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2_sql, register_l2
-from ..session import checkpoint, fits_broadcast, partitions_for
+from ..session import BROADCAST_LIMIT, checkpoint, fits_broadcast, partitions_for
 from .graph import is_edges
 from .knn import rank_nearest
 
 STATE = ["q", "id", "dist", "seen", "ok", "steps", "visited"]
 #: Bytes of one state row in a shuffle, for partition counts.
 ROW_BYTES = 64
+#: Bytes of one id in a broadcast hash relation.
+ID_BYTES = 24
+#: Up to this many ids become a literal IN filter on the scan.
+LOOKUP_IDS = 256
 
 
 @dataclass(frozen=True)
@@ -55,34 +62,46 @@ class Beam:
         return self.w if step >= self.t else 1
 
 
-def _expand_ctes(beam: Beam, edges: bool, small: bool) -> list[str]:
-    """Picked vertices -> ``reached(q, id)``, duplicates included."""
+def _hop_sql(src: str, edges: bool) -> str:
     nxt = "g.neighbor" if edges else "explode(g.nbs)"
+    return f"SELECT f.q, {nxt} AS id FROM {src} f JOIN {{graph}} g ON f.id = g.id"
 
-    def hop(src: str) -> str:
-        return f"SELECT f.q, {nxt} AS id FROM {src} f JOIN {_asked('graph', src, small)} g ON f.id = g.id"
 
-    ctes = ["frontier AS (SELECT q, id FROM {state} WHERE pick)", f"hop1 AS ({hop('frontier')})"]
+def _expand_ctes(beam: Beam, edges: bool) -> list[str]:
+    """Picked vertices -> ``reached(q, id)``, duplicates included."""
+    ctes = [
+        "frontier AS (SELECT q, id FROM {state} WHERE pick)",
+        f"hop1 AS ({_hop_sql('frontier', edges)})",
+    ]
     if beam.hops == 1:
         return [*ctes, "reached AS (SELECT q, id FROM hop1)"]
-    ctes += ["near AS (SELECT DISTINCT q, id FROM hop1)", f"hop2 AS ({hop('near')})"]
+    ctes += ["near AS (SELECT DISTINCT q, id FROM hop1)", f"hop2 AS ({_hop_sql('near', edges)})"]
     also = " UNION ALL SELECT q, id FROM near" if beam.include_one_hop else ""
     return [*ctes, f"reached AS (SELECT q, id FROM hop2{also})"]
 
 
-def _asked(table: str, src: str, small: bool) -> str:
-    """The table, or for large ones only its rows whose id ``src`` asks for.
+def _fresh_ctes(spread: str) -> list[str]:
+    """``reached`` without duplicates and without what is listed already: one aggregation."""
+    return [
+        f"""met AS (SELECT {spread} q, id, known FROM (
+            SELECT q, id, 0 AS known FROM reached UNION ALL SELECT q, id, 1 FROM {{state}}))""",
+        "fresh AS (SELECT q, id FROM met GROUP BY q, id HAVING max(known) = 0)",
+    ]
 
-    The semi join keeps the shuffle to rows somebody needs. In the first steps that is a handful
-    (every query stands at the entry vertex), which adaptive execution then broadcasts instead of
-    sending every query to the one task that owns the hot id.
-    """
-    if small:
-        return f"{{{table}}}"
-    return (
-        f"(SELECT * FROM {{{table}}} t LEFT SEMI JOIN (SELECT DISTINCT id FROM {src}) n"
-        " ON t.id = n.id)"
-    )
+
+def _merge_ctes(beam: Beam, score: str, fresh: str) -> list[str]:
+    """Score the fresh pairs (those that pass the filter) and add them to the list."""
+    same = f"WHERE b.{beam.on} = s.{beam.on}" if beam.on else ""
+    return [
+        f"""scored AS (
+            SELECT c.q, c.id, {score} AS dist
+            FROM {fresh} c JOIN {{base}} b ON c.id = b.id JOIN {{queries}} s ON c.q = s.q {same})""",
+        """merged AS (
+            SELECT q, id, dist, seen OR pick AS seen, ok, steps, visited FROM {state}
+            UNION ALL
+            SELECT q, id, dist, false, true, CAST(NULL AS bigint), CAST(NULL AS bigint)
+            FROM scored)""",
+    ]
 
 
 def _rank_ctes(beam: Beam, source: str, width: int, spread: str) -> list[str]:
@@ -117,38 +136,94 @@ CLOSE = """
     FROM chosen"""
 
 
-def _step_sql(beam: Beam, edges: bool, small: bool, width: int, parts: int, score: str) -> str:
-    """One whole step as a single statement over {state}, {graph}, {base} and {queries}."""
-    spread = f"/*+ REPARTITION({parts}, q) */" if small else ""
-    same = f"WHERE b.{beam.on} = s.{beam.on}" if beam.on else ""
-    ctes = [
-        *_expand_ctes(beam, edges, small),
-        f"""met AS (SELECT {spread} q, id, known FROM (
-            SELECT q, id, 0 AS known FROM reached UNION ALL SELECT q, id, 1 FROM {{state}}))""",
-        "fresh AS (SELECT q, id FROM met GROUP BY q, id HAVING max(known) = 0)",
-        f"""scored AS (
-            SELECT c.q, c.id, {score} AS dist
-            FROM fresh c JOIN {_asked('base', 'fresh', small)} b ON c.id = b.id
-            JOIN {{queries}} s ON c.q = s.q {same})""",
-        """merged AS (
-            SELECT q, id, dist, seen OR pick AS seen, ok, steps, visited FROM {state}
-            UNION ALL
-            SELECT q, id, dist, false, true, CAST(NULL AS bigint), CAST(NULL AS bigint)
-            FROM scored)""",
-        *_rank_ctes(beam, "merged", width, spread),
-    ]
-    return f"WITH {', '.join(ctes)} {CLOSE}"
+def _with(ctes: list[str], select: str) -> str:
+    return f"WITH {', '.join(ctes)} {select}"
 
 
-def _seed_sql(beam: Beam, entry: int, parts: int, small: bool, score: str, width: int) -> str:
+def _seed_ctes(beam: Beam, entry: int, score: str) -> list[str]:
     """Every query starts with the entry vertex, scored whether or not it meets the filter."""
-    spread = f"/*+ REPARTITION({parts}, q) */" if small else ""
     ok = f"coalesce(b.{beam.on} = s.{beam.on}, false)" if beam.on else "true"
-    seeds = f"""seeds AS (
-        SELECT s.q, b.id, {score} AS dist, false AS seen, {ok} AS ok,
-               0L AS steps, 0L AS visited
-        FROM {{queries}} s JOIN (SELECT * FROM {{base}} WHERE id = {int(entry)}) b ON true)"""
-    return f"WITH {', '.join([seeds, *_rank_ctes(beam, 'seeds', width, spread)])} {CLOSE}"
+    return [
+        f"""seeds AS (
+            SELECT s.q, b.id, {score} AS dist, false AS seen, {ok} AS ok,
+                   0L AS steps, 0L AS visited
+            FROM {{queries}} s JOIN {{base}} b ON b.id = {int(entry)})"""
+    ]
+
+
+def asked_rows(table: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
+    """The rows of a large table whose id occurs in ``asked``, which has ``rows`` rows.
+
+    The table is never shuffled as a whole for this: a few ids become a literal filter that
+    reaches the scan, more are broadcast to it, and only what matches travels on to the join. In
+    the first steps, when every query stands at the same vertex, that is a handful of rows, which
+    adaptive execution then broadcasts, so no task gets all queries. Past the size that may be
+    broadcast the table itself is joined; written with ``bucketed`` it stays in place then too.
+    """
+    if rows <= LOOKUP_IDS:
+        ids = [r["id"] for r in asked.select("id").distinct().collect()]
+        return table.where(F.col("id").isin(ids))
+    if rows * ID_BYTES <= BROADCAST_LIMIT:
+        return table.join(F.broadcast(asked.select("id").distinct()), "id", "left_semi")
+    return table
+
+
+class _Run:
+    """One search: the statements of a step, and the two ways to run them."""
+
+    def __init__(self, base, graph, queries, beam: Beam, score: str, small: bool, parts: int):
+        self.spark = base.sparkSession
+        self.base, self.graph, self.queries = base, graph, queries
+        self.beam, self.score, self.small = beam, score, small
+        self.edges = is_edges(graph)
+        self.spread = f"/*+ REPARTITION({parts}, q) */" if small else ""
+
+    def close(self, ctes: list[str], source: str, step: int, **inputs) -> tuple[DataFrame, dict]:
+        """Rank and cut ``source``, checkpoint the new state, return it with its counts."""
+        ranked = _rank_ctes(self.beam, source, self.beam.width(step), self.spread)
+        df = self.spark.sql(_with([*ctes, *ranked], CLOSE), **inputs)
+        return _counted(
+            df, "count_if(pick) AS picks", "count_if(active) AS active", "count(*) AS rows")
+
+    def seed(self, entry: int, start: DataFrame) -> tuple[DataFrame, dict]:
+        ctes = _seed_ctes(self.beam, entry, self.score)
+        return self.close(ctes, "seeds", 1, queries=self.queries, base=start)
+
+    def step_small(self, state: DataFrame, picks: int, step: int) -> tuple[DataFrame, dict]:
+        """Everything fits a broadcast: the whole step is one statement and two exchanges by q."""
+        ctes = [
+            *_expand_ctes(self.beam, self.edges), *_fresh_ctes(self.spread),
+            *_merge_ctes(self.beam, self.score, "fresh"),
+        ]
+        return self.close(ctes, "merged", step, state=state, graph=self.graph, base=self.base,
+                          queries=self.queries)
+
+    def step_large(self, state: DataFrame, picks: int, step: int) -> tuple[DataFrame, dict]:
+        """Large tables: each join is preceded by the number of ids it asks for."""
+        spark, beam = self.spark, self.beam
+        frontier = state.where("pick").select("q", "id")
+        graph = asked_rows(self.graph, frontier, picks)
+        hop = spark.sql(_hop_sql("{src}", self.edges), src=frontier, graph=graph)
+        if beam.hops == 2:
+            near, m = _counted(hop.distinct(), "count(*) AS rows")
+            graph = asked_rows(self.graph, near, m["rows"])
+            hop = spark.sql(_hop_sql("{src}", self.edges), src=near, graph=graph)
+            if beam.include_one_hop:
+                hop = hop.unionByName(near)
+        fresh = spark.sql(
+            _with(["reached AS (SELECT * FROM {hop})", *_fresh_ctes("")], "SELECT q, id FROM fresh"),
+            hop=hop, state=state)
+        fresh, m = _counted(fresh, "count(*) AS rows")
+        base = asked_rows(self.base, fresh, m["rows"])
+        return self.close(_merge_ctes(beam, self.score, "{fresh}"), "merged", step,
+                          state=state, fresh=fresh, base=base, queries=self.queries)
+
+
+def _counted(df: DataFrame, *metrics: str) -> tuple[DataFrame, dict]:
+    """Checkpoint and read counts taken on the way, without a second pass."""
+    seen = Observation()
+    df = checkpoint(df.observe(seen, *[F.expr(m) for m in metrics]))
+    return df, seen.get
 
 
 def search(
@@ -167,9 +242,7 @@ def search(
     registered function); Euclidean by default.
 
     ``small`` says that graph, base and queries all fit a broadcast; by default Catalyst's size
-    estimates decide. It only changes hints: small inputs get explicit partition counts (adaptive
-    execution would merge them into one task), large ones get semi-join reduction and leave every
-    exchange to the planner, with map-side group limits and skew handling.
+    estimates decide. Results do not depend on it.
     """
     spark = base.sparkSession
     base = base.select("id", "data", *([beam.on] if beam.on else []))
@@ -178,24 +251,15 @@ def search(
         small = fits_broadcast(base, graph, queries)
     if score is None:
         score = l2_sql("b.data", "s.qv") if small else f"{register_l2(spark)}(b.data, s.qv)"
-    start = base.where(F.col("id") == entry).limit(1)
+    start = base.where(F.col("id") == entry)
     if start.isEmpty():
         raise ValueError(f"entry vertex {entry} is not in the base table")
-    nq = queries.count()
-    parts = partitions_for(spark, nq * beam.l, ROW_BYTES, min_rows=256)
-    edges = is_edges(graph)
-
-    def run(text: str, **inputs: DataFrame) -> tuple[DataFrame, dict]:
-        metrics = Observation()
-        ranked = spark.sql(text, **inputs).observe(
-            metrics, F.expr("count_if(pick) AS picks"), F.expr("count_if(active) AS active"),
-            F.expr("count(*) AS rows"),
-        )
-        return checkpoint(ranked), metrics.get
+    parts = partitions_for(spark, queries.count() * beam.l, ROW_BYTES, min_rows=256)
+    run = _Run(base, graph, queries, beam, score, small, parts)
+    advance = run.step_small if small else run.step_large
 
     step = 1
-    first = _seed_sql(beam, entry, parts, small, score, beam.width(step))
-    state, m = run(first, queries=queries, base=start)
+    state, m = run.seed(entry, start)
     finished: list[DataFrame] = []
     while m["picks"]:
         if 2 * m["active"] <= m["rows"]:
@@ -204,8 +268,7 @@ def search(
             finished.append(state.where("NOT active").select(STATE))
             state = state.where("active")
         step += 1
-        text = _step_sql(beam, edges, small, beam.width(step), parts, score)
-        state, m = run(text, state=state, graph=graph, base=base, queries=queries)
+        state, m = advance(state, m["picks"], step)
     out = state.select(STATE)
     for part in finished:
         out = out.unionByName(part)

@@ -6,6 +6,8 @@ import numpy as np
 
 #: Cells (queries x base rows) of one distance matrix held in memory at a time.
 BLOCK_CELLS = 1 << 22
+#: Base rows in one distance matrix: wide enough that the bookkeeping per query row is small.
+BLOCK_WIDTH = 1 << 13
 
 
 class L2:
@@ -64,9 +66,9 @@ class TopK:
             rows = np.arange(len(self.q))
         if not len(ids) or not len(rows):
             return
-        width = max(1, BLOCK_CELLS // max(1, len(rows)))
+        width = min(len(ids), BLOCK_WIDTH)
+        height = max(1, BLOCK_CELLS // width)
         for c in range(0, len(ids), width):
-            height = max(1, BLOCK_CELLS // width)
             for r in range(0, len(rows), height):
                 self._merge(rows[r : r + height], ids[c : c + width], vecs[c : c + width])
 
@@ -74,9 +76,12 @@ class TopK:
         rough, slack = self.metric.rough(self.q[rows], vecs)
         kept = self.dist[rows]
         bound = kept[:, -1]
-        if len(ids) >= self.k:
+        near = rough <= (bound + slack)[:, None]
+        if len(ids) > self.k and np.count_nonzero(near) > 4 * self.k * len(rows):
+            # the k-th best of this block is a tighter bound than what was kept so far
             bound = np.minimum(bound, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack)
-        r, c = np.nonzero(rough <= (bound + slack)[:, None])
+            near = rough <= (bound + slack)[:, None]
+        r, c = np.nonzero(near)
         if not len(r):
             return
         dist = self.metric.exact(self.q[rows[r]], vecs[c])
