@@ -35,6 +35,8 @@ from .knn import rank_nearest
 STATE = ["q", "id", "dist", "seen", "ok", "steps", "visited"]
 #: Bytes of one state row in a shuffle, for partition counts.
 ROW_BYTES = 64
+#: Graph, base and queries up to this size each are broadcast in every step.
+SMALL_LIMIT = BROADCAST_LIMIT // 2
 #: Bytes of one id in a broadcast hash relation.
 ID_BYTES = 24
 #: Up to this many ids become a literal IN filter on the scan.
@@ -62,20 +64,21 @@ class Beam:
         return self.w if step >= self.t else 1
 
 
-def _hop_sql(src: str, edges: bool) -> str:
+def _hop_sql(src: str, edges: bool, hint: str = "") -> str:
     nxt = "g.neighbor" if edges else "explode(g.nbs)"
-    return f"SELECT f.q, {nxt} AS id FROM {src} f JOIN {{graph}} g ON f.id = g.id"
+    return f"SELECT {hint} f.q, {nxt} AS id FROM {src} f JOIN {{graph}} g ON f.id = g.id"
 
 
 def _expand_ctes(beam: Beam, edges: bool) -> list[str]:
-    """Picked vertices -> ``reached(q, id)``, duplicates included."""
+    """Picked vertices -> ``reached(q, id)``, duplicates included; the graph fits a broadcast."""
+    hint = "/*+ BROADCAST(g) */"
     ctes = [
         "frontier AS (SELECT q, id FROM {state} WHERE pick)",
-        f"hop1 AS ({_hop_sql('frontier', edges)})",
+        f"hop1 AS ({_hop_sql('frontier', edges, hint)})",
     ]
     if beam.hops == 1:
         return [*ctes, "reached AS (SELECT q, id FROM hop1)"]
-    ctes += ["near AS (SELECT DISTINCT q, id FROM hop1)", f"hop2 AS ({_hop_sql('near', edges)})"]
+    ctes += ["near AS (SELECT DISTINCT q, id FROM hop1)", f"hop2 AS ({_hop_sql('near', edges, hint)})"]
     also = " UNION ALL SELECT q, id FROM near" if beam.include_one_hop else ""
     return [*ctes, f"reached AS (SELECT q, id FROM hop2{also})"]
 
@@ -89,22 +92,25 @@ def _fresh_ctes(spread: str) -> list[str]:
     ]
 
 
-def _merge_ctes(beam: Beam, score: str, fresh: str) -> list[str]:
-    """Score the fresh pairs (those that pass the filter) and add them to the list."""
+def _merge_ctes(beam: Beam, score: str, fresh: str, spread: str = "", hint: str = "") -> list[str]:
+    """Score the fresh pairs (those that pass the filter) and add them to the list.
+
+    With ``spread`` both sides of the union are partitioned by q in the same way: the union keeps
+    that, and the ranking after it needs no further exchange."""
     same = f"WHERE b.{beam.on} = s.{beam.on}" if beam.on else ""
     return [
         f"""scored AS (
-            SELECT c.q, c.id, {score} AS dist
+            SELECT {hint} c.q, c.id, {score} AS dist
             FROM {fresh} c JOIN {{base}} b ON c.id = b.id JOIN {{queries}} s ON c.q = s.q {same})""",
-        """merged AS (
-            SELECT q, id, dist, seen OR pick AS seen, ok, steps, visited FROM {state}
+        f"""merged AS (
+            SELECT {spread} q, id, dist, seen OR pick AS seen, ok, steps, visited FROM {{state}}
             UNION ALL
             SELECT q, id, dist, false, true, CAST(NULL AS bigint), CAST(NULL AS bigint)
             FROM scored)""",
     ]
 
 
-def _rank_ctes(beam: Beam, source: str, width: int, spread: str) -> list[str]:
+def _rank_ctes(beam: Beam, source: str, width: int) -> list[str]:
     """Cut ``source`` to ``l`` rows per query and choose the vertices to expand next."""
     order = "PARTITION BY q ORDER BY dist, id"
     whole = f"{order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
@@ -120,8 +126,7 @@ def _rank_ctes(beam: Beam, source: str, width: int, spread: str) -> list[str]:
         picks = f"least({width}, sum(if(seen, 0, 1)) OVER ({whole}))"
     # the counters use the frame of the same window as the turn: one sort, two window passes
     return [
-        f"pool AS (SELECT {spread} * FROM {source})",
-        f"ranked AS (SELECT *, {cut} AS place FROM pool)",
+        f"ranked AS (SELECT *, {cut} AS place FROM {source})",
         f"kept AS (SELECT * FROM ranked WHERE place <= {beam.l})",
         f"""chosen AS (
             SELECT *, NOT seen AND {turn} <= {width} AS pick, {picks} AS picks,
@@ -140,12 +145,12 @@ def _with(ctes: list[str], select: str) -> str:
     return f"WITH {', '.join(ctes)} {select}"
 
 
-def _seed_ctes(beam: Beam, entry: int, score: str) -> list[str]:
+def _seed_ctes(beam: Beam, entry: int, score: str, spread: str) -> list[str]:
     """Every query starts with the entry vertex, scored whether or not it meets the filter."""
     ok = f"coalesce(b.{beam.on} = s.{beam.on}, false)" if beam.on else "true"
     return [
         f"""seeds AS (
-            SELECT s.q, b.id, {score} AS dist, false AS seen, {ok} AS ok,
+            SELECT {spread} s.q, b.id, {score} AS dist, false AS seen, {ok} AS ok,
                    0L AS steps, 0L AS visited
             FROM {{queries}} s JOIN {{base}} b ON b.id = {int(entry)})"""
     ]
@@ -180,20 +185,21 @@ class _Run:
 
     def close(self, ctes: list[str], source: str, step: int, **inputs) -> tuple[DataFrame, dict]:
         """Rank and cut ``source``, checkpoint the new state, return it with its counts."""
-        ranked = _rank_ctes(self.beam, source, self.beam.width(step), self.spread)
+        ranked = _rank_ctes(self.beam, source, self.beam.width(step))
         df = self.spark.sql(_with([*ctes, *ranked], CLOSE), **inputs)
         return _counted(
             df, "count_if(pick) AS picks", "count_if(active) AS active", "count(*) AS rows")
 
     def seed(self, entry: int, start: DataFrame) -> tuple[DataFrame, dict]:
-        ctes = _seed_ctes(self.beam, entry, self.score)
+        ctes = _seed_ctes(self.beam, entry, self.score, self.spread)
         return self.close(ctes, "seeds", 1, queries=self.queries, base=start)
 
     def step_small(self, state: DataFrame, picks: int, step: int) -> tuple[DataFrame, dict]:
-        """Everything fits a broadcast: the whole step is one statement and two exchanges by q."""
+        """Everything fits a broadcast: the whole step is one statement. Its two exchanges by q
+        (of the list and of the neighbours) run side by side."""
         ctes = [
             *_expand_ctes(self.beam, self.edges), *_fresh_ctes(self.spread),
-            *_merge_ctes(self.beam, self.score, "fresh"),
+            *_merge_ctes(self.beam, self.score, "fresh", self.spread, "/*+ BROADCAST(b, s) */"),
         ]
         return self.close(ctes, "merged", step, state=state, graph=self.graph, base=self.base,
                           queries=self.queries)
@@ -248,7 +254,7 @@ def search(
     base = base.select("id", "data", *([beam.on] if beam.on else []))
     queries = queries.select("q", "qv", *([beam.on] if beam.on else []))
     if small is None:
-        small = fits_broadcast(base, graph, queries)
+        small = fits_broadcast(base, graph, queries, limit=SMALL_LIMIT)
     if score is None:
         score = l2_sql("b.data", "s.qv") if small else f"{register_l2(spark)}(b.data, s.qv)"
     start = base.where(F.col("id") == entry)
