@@ -7,10 +7,12 @@ times cheaper per pair, and the gap widens with the dimension).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -106,14 +108,23 @@ def has_all(haystack: Column | str, needles: Column | str) -> Column:
     return F.size(F.array_except(_col(needles), _col(haystack))) == 0
 
 
-def mean_vector(df, vec: str = "data", by: list[str] | None = None):
-    """Mean per dimension as one array (one row per group of ``by``).
-
-    Explodes to (position, value) so that the average combines map-side: what is shuffled is at
-    most partitions x groups x dim partial sums, however many rows there are.
-    """
-    by = by or []
-    parts = df.select(*by, F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "v"))
-    means = parts.groupBy(*by, "pos").agg(F.avg("v").alias("v"))
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "v")))
-    return means.groupBy(*by).agg(F.transform(pairs, lambda p: p["v"]).alias(vec))
+def mean_vector(df: DataFrame, vec: str = "data") -> DataFrame:
+    """Mean per dimension as one array row. Every task sums its own batches, so tasks x dim
+    numbers are shuffled and nothing is exploded."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for b in batches:
+            if b.num_rows:
+                part = matrix(b.column(0)).sum(axis=0)
+                total = part if total is None else total + part
+                n += b.num_rows
+        if n:
+            pos = pa.array(np.arange(len(total), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pos, pa.array(total), pa.array(np.full(len(total), n))], ["pos", "s", "n"])
+
+    parts = df.select(vec).mapInArrow(sums, "pos int, s double, n long")
+    means = parts.groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("v"))
+    pairs = means.agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    return pairs.where(F.size("p") > 0).select(F.transform("p", lambda p: p["v"]).alias(vec))

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2_sql, register_l2
-from ..session import BROADCAST_LIMIT, checkpoint, fits_broadcast, partitions_for
-from .graph import is_edges
+from ..session import BROADCAST_LIMIT, checkpoint, fits_broadcast, partitions_for, written
+from .graph import is_edges, knn_graph, medoid
 from .knn import rank_nearest
 
 STATE = ["q", "id", "dist", "seen", "ok", "steps", "visited"]
@@ -145,17 +145,31 @@ def _with(ctes: list[str], select: str) -> str:
     return f"WITH {', '.join(ctes)} {select}"
 
 
-def _seed_ctes(beam: Beam, entry: int, score: str, spread: str) -> list[str]:
+def _seed_ctes(beam: Beam, score: str, spread: str) -> list[str]:
     """Every query starts with the entry vertex, scored whether or not it meets the filter."""
     ok = f"coalesce(b.{beam.on} = s.{beam.on}, false)" if beam.on else "true"
     return [
         f"""seeds AS (
-            SELECT {spread} s.q, b.id, {score} AS dist, false AS seen, {ok} AS ok,
+            SELECT {spread} s.q AS q, b.id AS id, {score} AS dist, false AS seen, {ok} AS ok,
                    0L AS steps, 0L AS visited
-            FROM {{queries}} s JOIN {{base}} b ON b.id = {int(entry)})"""
+            FROM {{start}})"""
     ]
 
 
+def with_entry(queries: DataFrame, base: DataFrame, entry: int) -> DataFrame:
+    """Every query ``s`` beside the entry vertex ``b``, fetched by key and carried as a literal:
+    one vector through the driver, and no join without a key."""
+    row = base.where(F.col("id") == entry).first()
+    if row is None:
+        raise ValueError(f"entry vertex {entry} is not in the base table")
+    fields = []
+    for f in base.schema.fields:
+        value = row[f.name]
+        value = list(value) if isinstance(value, list) else value
+        fields.append(F.lit(value).cast(f.dataType).alias(f.name))
+    return queries.select(F.struct(*queries.columns).alias("s"), F.struct(*fields).alias("b"))
+
+
 def asked_rows(table: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
     """The rows of a large table whose id occurs in ``asked``, which has ``rows`` rows.
 
@@ -190,9 +204,10 @@ class _Run:
         return _counted(
             df, "count_if(pick) AS picks", "count_if(active) AS active", "count(*) AS rows")
 
-    def seed(self, entry: int, start: DataFrame) -> tuple[DataFrame, dict]:
-        ctes = _seed_ctes(self.beam, entry, self.score, self.spread)
-        return self.close(ctes, "seeds", 1, queries=self.queries, base=start)
+    def seed(self, entry: int) -> tuple[DataFrame, dict]:
+        ctes = _seed_ctes(self.beam, self.score, self.spread)
+        start = with_entry(self.queries, self.base, entry)
+        return self.close(ctes, "seeds", 1, start=start)
 
     def step_small(self, state: DataFrame, picks: int, step: int) -> tuple[DataFrame, dict]:
         """Everything fits a broadcast: the whole step is one statement. Its two exchanges by q
@@ -257,15 +272,12 @@ def search(
         small = fits_broadcast(base, graph, queries, limit=SMALL_LIMIT)
     if score is None:
         score = l2_sql("b.data", "s.qv") if small else f"{register_l2(spark)}(b.data, s.qv)"
-    start = base.where(F.col("id") == entry)
-    if start.isEmpty():
-        raise ValueError(f"entry vertex {entry} is not in the base table")
     parts = partitions_for(spark, queries.count() * beam.l, ROW_BYTES, min_rows=256)
     run = _Run(base, graph, queries, beam, score, small, parts)
     advance = run.step_small if small else run.step_large
 
     step = 1
-    state, m = run.seed(entry, start)
+    state, m = run.seed(entry)
     finished: list[DataFrame] = []
     while m["picks"]:
         if 2 * m["active"] <= m["rows"]:
@@ -307,6 +319,19 @@ def two_phase_search(base, graph, queries, entry, l, k, w=4, t=10, **kw) -> Data
     return topk(search(base, graph, queries, entry, Beam(l, w, t), **kw), k)
 
 
+def approx_knn(base, queries, k, r=32, l=100, w=4, t=5, graph=None, entry=None, **kw) -> DataFrame:
+    """Approximate top k as an index would answer it: build graph and entry vertex unless they are
+    given, then search. Build once with ``build_index`` when more than one call follows."""
+    if graph is None or entry is None:
+        graph, entry = build_index(base, r)
+    return two_phase_search(base, graph, queries, entry, l, k, w, t, **kw)
+
+
+def build_index(base: DataFrame, r: int, **kw) -> tuple[DataFrame, int]:
+    """(graph table in the shared folder, entry vertex)."""
+    return written(knn_graph(base, r, **kw), "graph"), medoid(base).first()["id"]
+
+
 def hybrid_search(
     base, graph, queries, entry, l, k, on="a1", include_one_hop=False, w=1, t=1, **kw
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import l2_sql
 from ..session import written
+from .beam import with_entry
 from .graph import to_edges
 
 
@@ -37,16 +38,16 @@ def beam_search_cte(
     A vertex without neighbours stays in the walk (left join), so a dead end does not stop it.
     """
     dist = l2_sql("n.v", "s.qv")
-    first = l2_sql("b.data", "q.qv")
+    first = l2_sql("b.data", "s.qv")
     unseen = "filter(s.L, x -> NOT array_contains(s.V, x.id))"
     pick = f"get({unseen}, 0).id"
     scored = f"transform(coalesce(g.nb, array()), n -> struct({dist} AS dist, n.id AS id))"
     return base.sparkSession.sql(
         f"""
         WITH RECURSIVE walk(q, qv, step, L, V) MAX RECURSION LEVEL {int(max_steps)} AS (
-            SELECT q.q, q.qv, 0, array(struct({first} AS dist, b.id AS id)),
+            SELECT s.q, s.qv, 0, array(struct({first} AS dist, b.id AS id)),
                    cast(array() AS array<bigint>)
-            FROM {{queries}} q JOIN {{base}} b ON b.id = {int(entry)}
+            FROM {{start}}
             UNION ALL
             SELECT s.q, s.qv, s.step + 1,
                    slice(array_sort(array_union(s.L, {scored})), 1, {int(l)}),
@@ -56,7 +57,7 @@ def beam_search_cte(
         )
         SELECT q, step, pos + 1 AS rank, col.id AS id, col.dist AS dist
         FROM (SELECT q, step, posexplode(L) FROM walk)""",
-        payload=payload, base=base, queries=queries,
+        payload=payload, start=with_entry(queries, base.select("id", "data"), entry),
     )
 
 

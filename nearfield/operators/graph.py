@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vector import mean_vector
+from ..functions.vector import l2_arrow, mean_vector
+from ..session import written
+from . import codebook
 from .knn import exact_knn, nearest_to
 
 
@@ -26,21 +28,77 @@ def to_adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("id").agg(F.array_sort(F.collect_set("neighbor")).alias("nbs"))
 
 
-def knn_edges(base: DataFrame, r: int) -> DataFrame:
-    """Directed edges to the r nearest other vertices, exact, with rank and distance."""
-    queries = base.select(F.col("id").alias("q"), F.col("data").alias("qv"))
+def knn_edges(base: DataFrame, r: int, on: str | None = None, **kw) -> DataFrame:
+    """Directed edges to the r nearest other vertices, exact, with rank and distance. With ``on``
+    only vertices of the same value compete."""
+    extra = [on] if on else []
+    queries = base.select(F.col("id").alias("q"), F.col("data").alias("qv"), *extra)
     # one extra neighbour makes room for the vertex itself; with r+1 smaller-id copies it is absent
-    near = exact_knn(base, queries, r + 1).where("q <> id")
-    ranked = exact_rank(near)
-    return ranked.where(F.col("rank") <= r).select(
-        F.col("q").alias("id"), "rank", F.col("id").alias("neighbor"), "dist"
+    near = exact_knn(base, queries, r + 1, on, **kw).where("q <> id")
+    edges = near.select(F.col("q").alias("id"), F.col("id").alias("neighbor"), "dist")
+    return nearest_edges(edges, r)
+
+
+def nearest_edges(edges: DataFrame, r: int) -> DataFrame:
+    """Degree cap: the r nearest edges of every vertex (id, rank, neighbor, dist). The limit
+    applies map-side first, so a vertex that a third of all rows point at costs r rows per task."""
+    place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbor"))
+    return (
+        edges.withColumn("rank", place).where(F.col("rank") <= r)
+        .select("id", "rank", "neighbor", "dist")
     )
 
 
-def exact_rank(near: DataFrame) -> DataFrame:
-    """Close the gap the removed self-match left. ``near`` is already clustered by q."""
-    w = Window.partitionBy("q").orderBy("dist", "id")
-    return near.withColumn("rank", F.row_number().over(w))
+def with_reverse(edges: DataFrame, cap: int) -> DataFrame:
+    """Add every edge's reverse, then cap the degree."""
+    back = edges.select(F.col("neighbor").alias("id"), F.col("id").alias("neighbor"), "dist")
+    both = edges.select("id", "neighbor", "dist").unionByName(back)
+    unique = both.groupBy("id", "neighbor").agg(F.min("dist").alias("dist"))
+    return nearest_edges(unique, cap)
+
+
+def cell_edges(
+    base: DataFrame, r: int, cells: int, block_rows: int = 20_000, seed: int = 0
+) -> DataFrame:
+    """First guess of the neighbour graph with work linear in the rows: vectors are put into the
+    cell of their nearest sampled centroid, large cells are cut into blocks by a hash of the id,
+    and neighbours are exact within a block. Another seed draws other cells and blocks."""
+    dim = base.select(F.size("data")).first()[0]
+    book = codebook.initial_codebook(base, [0, dim], cells, salt=f"/{seed}")
+    placed = base.select("id", "data", F.col("data").alias("cell"))
+    placed = codebook.encode(placed, book, [0, dim], vec="cell")
+    placed = written(placed.withColumn("cell", F.col("cell")[0]), "cells")
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("n"))
+    sub = F.pmod(F.xxhash64("id", F.lit(seed)), "n")
+    keyed = placed.join(blocks, "cell").select("id", "data", F.xxhash64("cell", sub).alias("block"))
+    return knn_edges(keyed, r, "block", broadcast_bytes=0)
+
+
+def linear_edges(base: DataFrame, r: int, cells: int, passes: int = 2, rounds: int = 2, **kw):
+    """Approximate r-nearest-neighbour edges: several cell passes, whose edges together lead out
+    of every block, then rounds of neighbour descent."""
+    edges = cell_edges(base, r, cells, **kw).drop("rank")
+    for seed in range(1, passes):
+        edges = edges.unionByName(cell_edges(base, r, cells, seed=seed, **kw).drop("rank"))
+    edges = written(nearest_edges(edges.distinct(), r), "edges")
+    for _ in range(rounds):
+        edges = written(refine_edges(base, edges, r), "edges")
+    return edges
+
+
+def refine_edges(base: DataFrame, edges: DataFrame, r: int) -> DataFrame:
+    """One round of neighbour descent: a vertex's neighbours' neighbours, along edges and capped
+    reverse edges, compete for its r places. At most (2r)^2 candidates per vertex."""
+    links = written(with_reverse(edges, 2 * r).select("id", "neighbor", "dist"), "links")
+    hop = links.select(F.col("id").alias("q"), F.col("neighbor").alias("id"))
+    reached = one_hop(hop, links.select("id", "neighbor")).where("q <> neighbor")
+    known = links.select(F.col("id").alias("q"), "neighbor")
+    fresh = reached.join(known, ["q", "neighbor"], "left_anti")
+    left = base.select(F.col("id").alias("q"), F.col("data").alias("qv"))
+    right = base.select(F.col("id").alias("neighbor"), "data")
+    scored = fresh.join(right, "neighbor").join(left, "q").select(
+        F.col("q").alias("id"), "neighbor", l2_arrow("data", "qv").alias("dist"))
+    return nearest_edges(links.unionByName(scored), r)
 
 
 def ring_edges(base: DataFrame) -> DataFrame:
@@ -49,9 +107,24 @@ def ring_edges(base: DataFrame) -> DataFrame:
     return base.select("id", ((F.col("id") + 1) % F.lit(n)).alias("neighbor"))
 
 
-def knn_graph(base: DataFrame, r: int, ring: bool = True) -> DataFrame:
-    """Adjacency table of the exact r-nearest-neighbour graph, plus the ring edges."""
-    edges = knn_edges(base, r).select("id", "neighbor")
+def knn_graph(
+    base: DataFrame, r: int, ring: bool = True, reverse: bool = False,
+    cells: int | None = None, rounds: int = 2,
+) -> DataFrame:
+    """Adjacency table of the r-nearest-neighbour graph, plus the ring edges.
+
+    Exact by default, which is rows x rows distances. For tables beyond about a million rows give
+    ``cells`` (about rows / 20,000): neighbours are then found cell by cell and improved in
+    ``rounds`` of neighbour descent, with work linear in the rows. ``reverse`` adds reverse edges
+    and caps the degree at 2r.
+    """
+    if cells is None:
+        edges = knn_edges(base, r)
+    else:
+        edges = linear_edges(base, r, cells, rounds=rounds)
+    if reverse:
+        edges = with_reverse(edges, 2 * r)
+    edges = edges.select("id", "neighbor")
     if ring:
         edges = edges.unionByName(ring_edges(base))
     return to_adjacency(edges)

@@ -314,3 +314,29 @@ def test_product_quantisation(spark, tables_, skewed):
         assert {(r["q"], r["id"], round(r["dist"], 6)) for r in near.collect()} == want
     bk, even = pq.train(base, 2, 4, 3, 8)
     assert even == [0, 4, 8] and bk.count() == 8
+
+
+def test_linear_graph_building_finds_most_neighbours(spark):
+    """Half of the rows are near copies of one vector, so one cell is hot and is cut into blocks."""
+    x = RNG.normal(size=(600, 8)).astype("f4")
+    x[::2] = x[0] + RNG.normal(scale=0.01, size=(300, 8)).astype("f4")
+    base = vectors(spark, x)
+    exact = graph.knn_edges(base, 8).select("id", "neighbor")
+    first = graph.linear_edges(base, 8, 6, rounds=0, block_rows=100)
+    assert first.groupBy("id").count().where("count > 8").isEmpty()
+    better = written(graph.refine_edges(base, first, 8), "edges")
+    share = [e.select("id", "neighbor").intersect(exact).count() / exact.count() for e in (first, better)]
+    assert share[0] < share[1] and share[1] > 0.6
+    row = better.join(base.select("id", F.col("data").alias("a")), "id").join(
+        base.select(F.col("id").alias("neighbor"), F.col("data").alias("b")), "neighbor"
+    ).select(F.max(F.abs(F.col("dist") - l2("a", "b"))).alias("d")).first()
+    assert row["d"] < 1e-9
+    capped = graph.with_reverse(exact.withColumn("dist", F.lit(1.0)), 10)
+    assert capped.groupBy("id").count().agg(F.max("count")).first()[0] <= 10
+
+
+def test_approximate_search_builds_its_own_index(tables_, skewed):
+    base, queries, _ = tables_
+    x, _, q, _ = skewed
+    got = found(beam.approx_knn(base, queries, 10, r=8, l=240, w=60, t=2))
+    assert got == brute(x, q, 10)
