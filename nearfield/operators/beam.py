@@ -346,7 +346,7 @@ def post_filter_search(base, graph, queries, entry, l, k, on="a1", w=4, t=10, **
     found = search(base, graph, queries, entry, Beam(l, w, t), **kw)
     hits = (
         found.select("q", "id", "dist")
-        .join(base.select("id", on), "id")
+        .join(asked_rows(base.select("id", on), found, found.count()), "id")
         .join(queries.select("q", on), ["q", on])
     )
     return rank_nearest(hits.select("q", "id", "dist"), k)

@@ -15,12 +15,20 @@ from ..session import written
 from .beam import with_entry
 from .graph import to_edges
 
+#: Neighbours with their vectors that one row may hold.
+MAX_DEGREE = 4096
+
 
 def neighbour_payload(base: DataFrame, graph: DataFrame) -> DataFrame:
     """(id, nb array<struct<id, v>>), written once. It repeats every vector per in-edge, so it
-    suits tables that fit that many times over; the batched search does not need it."""
+    suits tables that fit that many times over; the batched search does not need it. A vertex
+    whose neighbours would not fit one row is refused: search such graphs in batched form."""
+    edges = to_edges(graph)
+    degree = edges.groupBy("id").count().agg(F.max("count")).first()[0] or 0
+    if degree > MAX_DEGREE:
+        raise ValueError(f"a vertex has {degree} neighbours, more than {MAX_DEGREE} in one row")
     pairs = (
-        to_edges(graph)
+        edges
         .join(base.select(F.col("id").alias("neighbor"), "data"), "neighbor")
         .select("id", F.struct(F.col("neighbor").alias("id"), F.col("data").alias("v")).alias("n"))
         .groupBy("id").agg(F.collect_list("n").alias("nb"))
