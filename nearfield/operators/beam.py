@@ -267,7 +267,8 @@ def search(
     """
     spark = base.sparkSession
     base = base.select("id", "data", *([beam.on] if beam.on else []))
-    queries = queries.select("q", "qv", *([beam.on] if beam.on else []))
+    # every step reads the queries again: store them, so that a derived table is computed once
+    queries = written(queries.select("q", "qv", *([beam.on] if beam.on else [])), "queries")
     if small is None:
         small = fits_broadcast(base, graph, queries, limit=SMALL_LIMIT)
     if score is None:
