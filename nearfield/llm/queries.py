@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lm, packing
 from . import quality as quality_filter
 from . import token_counts as counting
 
@@ -23,10 +24,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(
+        _table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 <> 2")
+
+
 def registered() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
