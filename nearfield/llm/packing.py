@@ -133,7 +133,7 @@ def harmonic(sized: DataFrame, capacity: int) -> DataFrame:
         rest = ranked.where("NOT full").select("uid", "length", "k")
         groups = -(-groups // FAN_IN) if groups > 1 else 0
     # At most k - 1 pieces of each of the few classes are left here, whatever the input.
-    last = rest.select("uid", "length").groupBy(F.lit(0)).applyInPandas(_first_fit(capacity), "uid long, sequence_id long, offset long")
+    last = rest.select("uid", "length", F.lit(0).alias("all")).groupBy("all").applyInPandas(_first_fit(capacity), "uid long, sequence_id long, offset long")
     return placed.unionByName(last)
 
 

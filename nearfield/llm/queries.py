@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm, packing
+from . import decontaminate, fingerprint, lm, packing, simhash_dedup
 from . import quality as quality_filter
 from . import token_counts as counting
 
@@ -29,10 +29,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 <> 2")
 
