@@ -24,15 +24,14 @@ def words(text: Column) -> Column:
 
 
 def _shingles(array: str, width: int) -> Column:
-    """Two independent hashes of each run of ``width`` words, 96 bits together."""
+    """The 64-bit hash of each run of ``width`` words. A false match of a whole item would take
+    equal hashes of different shingles for most of its shingles at once."""
     return F.when(F.size(array) >= width, F.transform(
-        F.sequence(F.lit(1), F.size(array) - (width - 1)),
-        lambda i: F.struct(
-            F.xxhash64(F.slice(array, i, F.lit(width))).alias("h"), F.hash(F.slice(array, i, F.lit(width))).alias("g"))))
+        F.sequence(F.lit(1), F.size(array) - (width - 1)), lambda i: F.xxhash64(F.slice(array, i, F.lit(width)))))
 
 
 def item_shingles(items: DataFrame, threshold: float) -> DataFrame:
-    """``item_id, width, n, h, g, sketch``: an item's distinct shingles, and which form its sketch.
+    """``item_id, width, n, h, sketch``: an item's distinct shingles, and which form its sketch.
 
     Items of fewer than ``WIDTH`` words are one shingle of all their words; items without words have none.
     """
@@ -46,8 +45,8 @@ def item_shingles(items: DataFrame, threshold: float) -> DataFrame:
     length = F.least(F.size("s"), (largest - F.ceil(F.lit(threshold) * largest) + 1).cast("int"))
     return (
         rows.withColumn("s", F.array_sort("s")).withColumn("length", length)
-        .select("item_id", "width", F.size("s").alias("n"), "length", F.posexplode("s").alias("pos", "shingle"))
-        .select("item_id", "width", "n", "shingle.*", (F.col("pos") < F.col("length")).alias("sketch"))
+        .select("item_id", "width", F.size("s").alias("n"), "length", F.posexplode("s").alias("pos", "h"))
+        .select("item_id", "width", "n", "h", (F.col("pos") < F.col("length")).alias("sketch"))
     )
 
 
@@ -64,11 +63,11 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> Data
     hits = None
     for width in widths or [WIDTH]:
         found = (
-            rows.select("doc_id", "text_hash", F.inline(_shingles("w", width)))
-            .join(asked.where(F.col("width") == width).drop("width"), ["h", "g"])
+            rows.select("doc_id", "text_hash", F.explode(_shingles("w", width)).alias("h"))
+            .join(asked.where(F.col("width") == width).drop("width"), "h")
         )
         hits = found if hits is None else hits.unionByName(found)
-    pairs = hits.groupBy("doc_id", "text_hash", "item_id", "n", "h", "g").agg(F.max("sketch").alias("sketch"))
+    pairs = hits.groupBy("doc_id", "text_hash", "item_id", "n", "h").agg(F.max("sketch").alias("sketch"))
     return (
         pairs.groupBy("doc_id", "text_hash", "item_id", "n").agg(F.count("*").alias("shared"), F.max("sketch").alias("candidate"))
         .where(F.col("candidate") & (F.col("shared") >= F.ceil(F.lit(threshold) * F.col("n"))))

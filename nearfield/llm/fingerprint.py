@@ -1,7 +1,7 @@
 """SimHash fingerprints of documents in DataFrame operations alone.
 
-Terms are pairs of neighbouring words, weighted by their length in code points (up to
-``MAX_WEIGHT``), so pairs of short function words weigh little. A term adds its weight to the votes
+Terms are words, each occurrence weighted by the square of its length in code points (up to
+``MAX_LENGTH``), so that short function words, which all texts share, weigh little. A term adds its weight to the votes
 of every set bit of its hash; a bit of the fingerprint is set where the votes exceed half of all
 weight. Three bits share a long while votes are added up: ``(hash >>> j) & LANES`` holds the bits
 ``j``, ``j + 22`` and ``j + 44`` in lanes of 22 bits, so 22 sums count all 64 bits.
@@ -16,29 +16,24 @@ from pyspark.sql import functions as F
 
 from .common import documents, text_bytes
 
-BITS, LANE, MAX_WEIGHT = 64, 22, 32
+BITS, LANE, MAX_LENGTH = 64, 22, 31
 LANES = 1 | 1 << LANE | 1 << 2 * LANE
-#: Terms summed in one row of lanes: 2^14 terms of weight 2^5 stay below a lane's limit.
-CHUNK = 1 << 14
+#: Terms summed in one row of lanes: 2^10 terms of weight 31^2 fit the shortest lane, of 20 bits.
+CHUNK = 1 << 10
 #: Text per bucket of the order by id.
 BUCKET_BYTES = 16 << 20
 
 
 def terms(text: Column) -> Column:
-    """Hash and weight of every pair of neighbouring words (of the word, if there is one alone)."""
-    pair = lambda w, i: F.slice(w, i, F.lit(2))
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))),
-        lambda i: F.struct(
-            F.xxhash64(pair(w, i)).alias("h"),
-            F.least(F.length(F.array_join(pair(w, i), "")), F.lit(MAX_WEIGHT)).alias("weight")))))[0]
+    """Lower-case runs of letters and digits; empty strings among them weigh nothing."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
 def votes_to_fingerprint(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` and the fingerprint ``fp`` (a long) of each row's text; ``keys`` identify the rows."""
     each = rows.select(*keys, F.posexplode_outer(terms(F.col(text))).alias("pos", "term"))
-    h, weight = F.col("term.h"), F.col("term.weight").cast("long")
+    length = F.least(F.length("term"), F.lit(MAX_LENGTH)).cast("long")
+    h, weight = F.xxhash64("term"), length * length
     lanes = [F.sum(weight * F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANES))).alias(f"v{j}") for j in range(LANE)]
     chunks = each.groupBy(*keys, F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(*lanes, F.sum(weight).alias("weight"))
     lane = lambda b: F.shiftrightunsigned(F.col(f"v{b % LANE}"), LANE * (b // LANE)).bitwiseAND(F.lit((1 << LANE) - 1))
