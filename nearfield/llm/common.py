@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import MB, shared_dir, written
 
-__all__ = ["MB", "documents", "pack", "text_bytes", "unpack", "written", "written_buckets"]
+__all__ = ["MB", "documents", "pack", "row_key", "text_bytes", "unpack", "written", "written_buckets"]
 
 
 def documents(df: DataFrame, *extra: Column | str) -> DataFrame:
@@ -21,6 +21,11 @@ def documents(df: DataFrame, *extra: Column | str) -> DataFrame:
     )
 
 
+def row_key() -> Column:
+    """A hash of id and text, which rows that agree in both share."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts; sizes shards and buckets, never decides a result."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

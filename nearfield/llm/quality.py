@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import documents, pack, text_bytes, unpack, written, written_buckets
+from .common import documents, pack, row_key, text_bytes, unpack, written, written_buckets
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
@@ -28,7 +28,7 @@ GAPS = (".", " ", "=")
 BUCKET_BYTES = 64 << 20
 
 _BLOCK = (
-    "block long, doc_id array<long>, lang array<string>, per_doc binary, step binary, freq binary, "
+    "block long, doc_id array<long>, lang array<string>, row_key array<long>, per_doc binary, step binary, freq binary, "
     "units array<string>, grams array<string>"
 )
 
@@ -69,7 +69,7 @@ def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_doc, step, freq = blocks.frequencies(local, counts, len(units))
         _, _, grams = grams_of(units)
         yield blocks.one_row(
-            block=block, doc_id=rows.column("doc_id"), lang=rows.column("lang"),
+            block=block, doc_id=rows.column("doc_id"), lang=rows.column("lang"), row_key=rows.column("row_key"),
             per_doc=pack(per_doc), step=pack(step), freq=pack(freq), units=units, grams=grams)
 
 
@@ -104,9 +104,9 @@ def _score_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             owner, unit = blocks.tokens_from_steps(unpack(get("per_doc").as_py()), unpack(get("step").as_py()))
             freq = unpack(get("freq").as_py())
             yield pa.RecordBatch.from_arrays([
-                ids, get("lang").values, pa.array(blocks.per_document(owner, freq * per_unit[unit], len(ids))),
+                ids, get("lang").values, get("row_key").values, pa.array(blocks.per_document(owner, freq * per_unit[unit], len(ids))),
                 pa.array(blocks.per_document(owner, freq * symbols[unit], len(ids)).astype(np.int64)),
-            ], names=["doc_id", "lang", "logp", "n_symbols"])
+            ], names=["doc_id", "lang", "row_key", "logp", "n_symbols"])
 
 
 def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame, float]:
@@ -159,9 +159,9 @@ def probabilities(grams: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """``doc_id, lang, n_symbols, perplexity`` of every row of ``docs``; the model learns from the
+    """``doc_id, lang, row_key, n_symbols, perplexity`` of every row of ``docs``; the model learns from the
     documents whose id is in ``trusted``. Perplexity is null for texts without words."""
-    rows = documents(docs, "lang")
+    rows = documents(docs, "lang", row_key().alias("row_key"))
     buckets = max(1, text_bytes(rows) // BUCKET_BYTES)
     table = written_buckets(rows.mapInArrow(_make_blocks, _BLOCK), "quality_blocks", "block", buckets)
     marks = (
@@ -169,7 +169,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         .join(trusted.select("doc_id").distinct(), "doc_id", "left_semi")
         .groupBy("block").agg(F.collect_list("pos").alias("trusted"))
     )
-    counts = table.drop("doc_id", "lang", "grams").join(marks, "block").mapInArrow(_count_trusted, "gram string, n long")
+    counts = table.drop("doc_id", "lang", "row_key", "grams").join(marks, "block").mapInArrow(_count_trusted, "gram string, n long")
     asked = table.select("block", F.posexplode("grams").alias("pos", "gram")).repartition(2 * buckets, "gram")
     known = probabilities(asked.groupBy("gram").agg(F.lit(1).alias("_")).drop("_"), counts)
     answers = (
@@ -177,8 +177,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("pos", F.col("logp").cast("float").alias("logp"))).alias("answers"))
     )
     scored = table.drop("grams").join(answers, "block", "left").mapInArrow(
-        _score_blocks, "doc_id long, lang string, logp double, n_symbols long")
-    return scored.select("doc_id", "lang", "n_symbols",
+        _score_blocks, "doc_id long, lang string, row_key long, logp double, n_symbols long")
+    return scored.select("doc_id", "lang", "row_key", "n_symbols",
                          F.pow(F.lit(10.0), F.try_divide(-F.col("logp"), F.col("n_symbols"))).alias("perplexity"))
 
 
@@ -210,7 +210,13 @@ def quality(docs: DataFrame, labels: DataFrame, tail: float = 0.01, fence: float
         scored.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left")
         .crossJoin(F.broadcast(overall))  # one row
         .select(
-            "doc_id", "lang", "n_symbols", "perplexity", F.exp(limit[0]).alias("lower"), F.exp(limit[1]).alias("upper"))
+            "doc_id", "lang", "row_key", "n_symbols", "perplexity", F.exp(limit[0]).alias("lower"), F.exp(limit[1]).alias("upper"))
         .withColumn("keep", F.col("perplexity").isNotNull()
                     & F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(True)))
     )
+
+
+def kept(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality`` keeps."""
+    good = quality(docs, labels, **options).where("keep").select(F.col("row_key").alias("good_key")).distinct()
+    return docs.join(good, row_key() == F.col("good_key"), "left_semi")

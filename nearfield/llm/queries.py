@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, lm, packing, simhash_dedup
+from . import chat, decontaminate, fingerprint, lm, packing, pii, simhash_dedup, warc
 from . import quality as quality_filter
 from . import token_counts as counting
 
@@ -19,6 +20,16 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Key of the pseudonyms in the registered queries; a real one comes from a secret store.
+KEY = b"key of the registered queries"
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms, and how many values were replaced."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pii.pseudonyms("text", KEY).alias("p")).select("doc_id", "p.text", F.col("p.found").alias("n_found"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity, limits and verdict of every document."""
     return quality_filter.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -37,6 +48,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def aged_replica(records: DataFrame) -> DataFrame:
+    """A second copy with known damage: of each 101 pages one is lost, one cut short, one altered."""
+    case = F.pmod(F.col("page_id"), F.lit(101))
+    payload = (
+        F.when(case == 7, F.overlay("payload", F.lit("?"), F.lit(12)))
+        .when(case == 13, F.substring(F.col("payload"), F.lit(1), F.length("payload") - 5)).otherwise(F.col("payload")))
+    return records.where(F.coalesce(case != 11, F.lit(True))).withColumn("payload", payload).withColumn("length", F.octet_length("payload").cast("long"))
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between the pages laid out as WARC files and an aged replica of them."""
+    records = warc.layout(_table(spark, sf_dir, "pages"))
+    return warc.audit(warc.manifest(records), warc.manifest(aged_replica(records)))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +71,25 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """Raw passages of the turns: markers in one of four styles, left out at every seventh turn, no role."""
+    style = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
+    names = {"system": ("System: ", "Context: ", "### System\n", "SYSTEM: "), "user": ("User: ", "Human: ", "### Instruction\n", "Q: "),
+             "assistant": ("Assistant: ", "AI: ", "### Response\n", "A: ")}
+    mark = F.lit("")
+    for role, styles in names.items():
+        for n, name in enumerate(styles):
+            mark = F.when((F.col("role") == role) & (style == n), name).otherwise(mark)
+    mark = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)) == 0, "").otherwise(mark)
+    return conversations.select("conv_id", F.col("turn").alias("seq"), "role", F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from the raw transcripts of all conversations."""
+    passages = transcripts(_table(spark, sf_dir, "conversations"))
+    return chat.formatted(passages.drop("role"), passages)
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 <> 2")
 
@@ -54,4 +99,26 @@ def registered() -> dict:
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op6_warc_fixity": OP6}
+
+
+OP6 = """
+WITH r AS (
+  SELECT page_id, CAST(floor(page_id / 4096) AS BIGINT) AS file,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+         || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS payload
+  FROM pages
+), o AS (
+  SELECT *, strlen(payload) AS n, CAST(coalesce(sum(strlen(payload)) OVER (
+      PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at
+  FROM r
+), b AS (
+  SELECT *, CASE page_id % 101 WHEN 7 THEN substr(payload, 1, 11) || '?' || substr(payload, 13)
+                               WHEN 13 THEN substr(payload, 1, length(payload) - 5) END AS other
+  FROM o WHERE page_id % 101 IN (7, 11, 13)
+)
+SELECT file, start_at AS "offset", CASE WHEN other IS NULL THEN 'missing' ELSE 'corrupt' END AS kind,
+       CAST(n AS BIGINT) AS length_a, CAST(coalesce(strlen(other), 0) AS BIGINT) AS length_b, sha256(payload) AS digest_a, coalesce(sha256(other), '') AS digest_b
+FROM b
+"""

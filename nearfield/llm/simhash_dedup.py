@@ -9,7 +9,9 @@ of all fingerprints by partition value, and candidates are verified.
 A fingerprint that expects many candidates under every choice lies in a crowd of near copies. For
 an even radius such fingerprints are linked through all points within ``radius / 2`` bits instead:
 two of them share such a point if and only if they are within the radius. That is exact, and linear
-where pairs would be quadratic.
+where pairs would be quadratic. For an odd radius each is linked to the least of its crowd in every
+partition value they share, up to twice the radius; that serves as a blocking for ``representatives``,
+which compares texts in the end.
 """
 
 from __future__ import annotations
@@ -22,24 +24,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, row_key, written
 from .components import components
 
 BITS = 64
 #: Estimated candidates from which a fingerprint counts as part of a crowd.
 CROWD = 256
+#: Representatives chosen one after the other in a group whose members are not all alike.
+ROUNDS = 20
 #: Cost of one index probe in candidates.
 PROBE = 0.2
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles: bit set where over half of the shingle hashes have it set."""
+def fingerprint(text: str, width: int = 3, seed: int = 42, weighted: bool = False) -> int:
+    """SimHash of the word shingles: bit set where over half of the shingle hashes have it set.
+
+    ``weighted`` counts a shingle by its length in bytes, up to 31.
+    """
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
         return 0
     joined = b" ".join(words)
+    sizes = None
     if len(words) <= width:
         hashes = [xxhash.xxh64_intdigest(joined, seed)]
     else:
@@ -47,25 +55,29 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
         start = np.concatenate([[0], stop[:-1] + 1])
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], seed) for a, b in zip(start.tolist(), stop[width - 1:].tolist())]  # noqa: B905
+        sizes = np.minimum(stop[width - 1:] - start[: len(stop) - width + 1], 31) if weighted else None
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         chunk = np.array(hashes[at: at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(chunk, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")[0])
+        bits = np.unpackbits(chunk, axis=1, bitorder="little")
+        votes += bits.sum(0, dtype=np.int64) if sizes is None else sizes[at: at + (1 << 16)] @ bits.astype(np.int64)
+    total = len(hashes) if sizes is None else int(sizes.sum())
+    return int(np.packbits(votes * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(width: int, seed: int):
+def _fingerprints(width: int, seed: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, width, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t, width, seed, weighted) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(fp.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a long) of every row; null text is empty."""
-    return documents(docs).mapInArrow(_fingerprints(width, seed), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, weighted: bool = False) -> DataFrame:
+    """``doc_id, row_key, fp`` (the fingerprint's bits as a long) of every row; null text is empty."""
+    return documents(docs, row_key().alias("row_key")).mapInArrow(_fingerprints(width, seed, weighted), "doc_id long, row_key long, fp long")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -179,9 +191,8 @@ def _probes(groups: list[list[int]], share: np.ndarray, total: int, radius: int,
 
 def near_links(distinct: DataFrame, radius: int = 2, parts: int | None = None, crowd: float = CROWD) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp``, with the same components as all pairs
-    within ``radius`` bits. Outside crowds every pair within the radius is a link."""
+    within ``radius`` bits (for an even radius). Outside crowds every pair within the radius is a link."""
     parts = parts or radius + 1
-    crowd = crowd if radius % 2 == 0 else float("inf")
     total = distinct.count()
     sums = (
         distinct.mapInArrow(_moments, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # BITS x BITS rows
@@ -202,10 +213,15 @@ def near_links(distinct: DataFrame, radius: int = 2, parts: int | None = None, c
         .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
         .select("a", "b")
     )
+    crowded = probes.where("part = -1").select("fp")
     if radius % 2:
-        return found
+        inside = index.join(crowded, "fp")
+        least = inside.groupBy("part", "value").agg(F.min("fp").alias("a"))
+        stars = inside.withColumnRenamed("fp", "b").join(least, ["part", "value"]).where(
+            (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * radius))
+        return found.unionByName(stars.select("a", "b"))
     masks = [0] + [int(x) for t in range(1, radius // 2 + 1) for x in _flips(BITS, t)]
-    points = probes.where("part = -1").select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    points = crowded.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
     # A point has at most len(masks) fingerprints around it.
     stars = (
         points.groupBy(F.col("fp").bitwiseXOR(F.col("mask")).alias("point")).agg(F.collect_list("fp").alias("near"))
@@ -215,6 +231,15 @@ def near_links(distinct: DataFrame, radius: int = 2, parts: int | None = None, c
     return found.unionByName(stars)
 
 
+def _grouped(rows: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
+    """``rows (doc_id, row_key, fp)`` with ``root``, the least fingerprint of the component, and ``component_id``."""
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
+    of = components(near_links(distinct.select("fp"), radius, parts))
+    rooted = distinct.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(rooted.select("fp", "root").join(ids, "root"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row.
 
@@ -223,10 +248,57 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int
     fingerprint zero and are linked like any other. Repeated rows and null ids give one row each; a
     component of null ids alone has a null id. An empty table gives no rows; further columns are ignored.
     """
-    rows = written(fingerprints(docs, width, seed), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
-    of = components(near_links(distinct.select("fp"), radius))
-    rooted = distinct.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(ids, "root"), "fp").select(
+    return _grouped(written(fingerprints(docs, width, seed), "fingerprints"), radius).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_set(text: Column, width: int) -> Column:
+    """Distinct hashes of the runs of ``width`` lower-case words; shorter texts are one run."""
+    words = F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: w != "")
+    return F.transform(F.array(words), lambda w: F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))))[0]
+
+
+def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 5) -> DataFrame:
+    """``docs``, with all their columns, without the near copies of documents that stay.
+
+    Groups are components of weighted single-word fingerprints within ``radius`` bits. In each the
+    smallest id stays, and members whose shingles of ``width`` words have a Jaccard similarity of at
+    least ``similarity`` with it go. Members that differ more choose the smallest of themselves, for up
+    to ``ROUNDS`` rounds; what is left then stays. So a document goes only if a near copy of it stays.
+
+    Null and empty texts are copies of each other. Of rows that agree in id and text any one stays;
+    of equal ids with different texts the smaller row key comes first, null ids come last.
+    """
+    rows = written(fingerprints(docs, 1, weighted=True), "fingerprints")
+    grouped = _grouped(rows, radius, parts=3)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    keyed = written(grouped.groupBy("root", "row_key", "doc_id").agg(F.lit(1).alias("_")).select("root", "row_key", "doc_id"), "group_members")
+    several = keyed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    texts = (
+        docs.select(row_key().alias("row_key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).dropDuplicates(["row_key"])
+        .join(keyed.join(several, "root"), "row_key").withColumn("text_key", F.xxhash64("text"))
+    )
+    # Exact copies first: one member per text, so a group of copies costs one comparison.
+    alike = texts.groupBy("root", "text_key").agg(F.min(rank).alias("rank"), F.first("text").alias("text"))
+    left = written(alike.select("root", "rank", _shingle_set(F.col("text"), width).alias("set")), "group_texts")
+    single = keyed.join(several, "root", "left_anti").select("doc_id", "row_key")
+    chosen = []
+    for _ in range(ROUNDS):
+        first = left.groupBy("root").agg(F.min(F.struct("rank", "set")).alias("first"))
+        compared = left.join(first, "root").where(F.col("rank") != F.col("first.rank"))
+        common = F.size(F.array_intersect("set", "first.set"))
+        near = common >= similarity * (F.size("set") + F.size("first.set") - common)
+        chosen.append(first.select("first.rank.doc_id", "first.rank.row_key"))
+        left = written(compared.where(~near).select("root", "rank", "set"), "group_rest")
+        if left.isEmpty():
+            break
+    else:
+        chosen.append(left.select("rank.doc_id", "rank.row_key"))
+    for part in chosen:
+        single = single.unionByName(part)
+    staying = single.select(F.col("doc_id").alias("chosen_id"), F.col("row_key").alias("chosen_key"))
+    return (
+        docs.join(staying, row_key() == F.col("chosen_key")).where(F.col("doc_id").eqNullSafe(F.col("chosen_id")))
+        .dropDuplicates(["chosen_key"]).select(*[docs[c] for c in docs.columns])
+    )
