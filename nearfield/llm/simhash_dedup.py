@@ -36,10 +36,11 @@ ROUNDS = 20
 PROBE = 0.2
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42, weighted: bool = False) -> int:
+def fingerprint(text: str, width: int = 3, seed: int = 42, damped: bool = False) -> int:
     """SimHash of the word shingles: bit set where over half of the shingle hashes have it set.
 
-    ``weighted`` counts a shingle by its length in bytes, up to 31.
+    Every occurrence counts, or with ``damped`` a shingle of ``n`` occurrences counts ``1 + log2 n``
+    times, so that common words don't decide the fingerprints of long texts.
     """
     import xxhash
 
@@ -47,37 +48,36 @@ def fingerprint(text: str, width: int = 3, seed: int = 42, weighted: bool = Fals
     if not words:
         return 0
     joined = b" ".join(words)
-    sizes = None
-    if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        start = np.concatenate([[0], stop[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(start.tolist(), stop[width - 1:].tolist())]  # noqa: B905
-        sizes = np.minimum(stop[width - 1:] - start[: len(stop) - width + 1], 31) if weighted else None
-    votes = np.zeros(BITS, np.int64)
+    stop = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = np.concatenate([[0], stop[:-1] + 1])
+    last = min(width, len(words)) - 1
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(joined[a:b], seed) for a, b in zip(start.tolist(), stop[last:].tolist())]  # noqa: B905
+    hashes, weights = np.array(hashes, "<u8"), None
+    if damped:
+        hashes, n = np.unique(hashes, return_counts=True)
+        weights = 1 + np.log2(n)
+    votes = np.zeros(BITS)
     for at in range(0, len(hashes), 1 << 16):
-        chunk = np.array(hashes[at: at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        bits = np.unpackbits(chunk, axis=1, bitorder="little")
-        votes += bits.sum(0, dtype=np.int64) if sizes is None else sizes[at: at + (1 << 16)] @ bits.astype(np.int64)
-    total = len(hashes) if sizes is None else int(sizes.sum())
+        bits = np.unpackbits(hashes[at: at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += bits.sum(0, dtype=np.int64) if weights is None else weights[at: at + (1 << 16)] @ bits
+    total = len(hashes) if weights is None else weights.sum()
     return int(np.packbits(votes * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(width: int, seed: int, weighted: bool):
+def _fingerprints(width: int, seed: int, damped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, width, seed, weighted) for t in batch.column("text").to_pylist()], np.uint64)
+            fp = np.array([fingerprint(t, width, seed, damped) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_key"), pa.array(fp.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, weighted: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, damped: bool = False) -> DataFrame:
     """``doc_id, row_key, fp`` (the fingerprint's bits as a long) of every row; null text is empty."""
-    return documents(docs, row_key().alias("row_key")).mapInArrow(_fingerprints(width, seed, weighted), "doc_id long, row_key long, fp long")
+    return documents(docs, row_key().alias("row_key")).mapInArrow(_fingerprints(width, seed, damped), "doc_id long, row_key long, fp long")
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -262,7 +262,7 @@ def _shingle_set(text: Column, width: int) -> Column:
 def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 5) -> DataFrame:
     """``docs``, with all their columns, without the near copies of documents that stay.
 
-    Groups are components of weighted single-word fingerprints within ``radius`` bits. In each the
+    Groups are components of damped single-word fingerprints within ``radius`` bits. In each the
     smallest id stays, and members whose shingles of ``width`` words have a Jaccard similarity of at
     least ``similarity`` with it go. Members that differ more choose the smallest of themselves, for up
     to ``ROUNDS`` rounds; what is left then stays. So a document goes only if a near copy of it stays.
@@ -270,7 +270,7 @@ def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, ra
     Null and empty texts are copies of each other. Of rows that agree in id and text any one stays;
     of equal ids with different texts the smaller row key comes first, null ids come last.
     """
-    rows = written(fingerprints(docs, 1, weighted=True), "fingerprints")
+    rows = written(fingerprints(docs, 1, damped=True), "fingerprints")
     grouped = _grouped(rows, radius, parts=3)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     keyed = written(grouped.groupBy("root", "row_key", "doc_id").agg(F.lit(1).alias("_")).select("root", "row_key", "doc_id"), "group_members")
