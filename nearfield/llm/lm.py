@@ -24,6 +24,8 @@ from .common import documents, pack, text_bytes, unpack, written, written_bucket
 
 #: Text per shard of the counts and per bucket of the block table.
 SHARD_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+#: Text per block; its distinct bigrams are held several times over while they are sorted.
+BLOCK_BYTES = 10 << 20
 #: The end of a text and its beginning; no word contains white space.
 END, BEGIN = "end of text", "beginning of text"
 #: Buckets of context frequency; the last takes all above.
@@ -97,7 +99,7 @@ class Block:
 def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    for block, rows in blocks.runs(batches):
+    for block, rows in blocks.runs(batches, BLOCK_BYTES):
         words, counts = blocks.words_of(rows.column("text"), lower=True)
         ids, distinct = blocks.encode(words)
         hashes = [xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()] + [xxhash.xxh3_64_intdigest(w) for w in (BEGIN, END)]

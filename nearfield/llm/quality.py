@@ -145,17 +145,29 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame, float]:
 
 
 def probabilities(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(gram, logp)``: log10 probability of the last symbol of every asked distinct gram."""
+    """``(gram, p)``: probability of the last symbol of every asked distinct gram, and of its suffixes.
+
+    Suffixes are shared by many grams, so the interpolation goes up level by level over distinct ones.
+    """
     alpha, gamma, floor = kneser_ney(counts)
-    parts = grams.select("gram", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k"))
-    parts = parts.withColumn("part", F.expr("substring(gram, length(gram) - k + 1)"))
-    parts = parts.withColumn("context", F.expr("substring(part, 1, k - 1)"))
-    joined = (
-        parts.join(alpha.withColumnRenamed("gram", "part"), "part", "left").join(gamma, ["context", "k"], "left")
-        .groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(
-            "k", F.coalesce("alpha", F.lit(0.0)).alias("a"), F.coalesce("gamma", F.lit(1.0)).alias("g")))).alias("orders"))
-    )
-    return joined.select("gram", F.log10(F.aggregate("orders", F.lit(floor), lambda p, o: o["a"] + o["g"] * p)).alias("logp"))
+    asked = written(grams, "asked_grams").withColumn("k", F.length("gram"))
+    needed = {ORDER: asked.where(F.col("k") == ORDER).select("gram")}
+    for k in range(ORDER - 1, 0, -1):
+        suffixes = needed[k + 1].select(F.expr("substring(gram, 2)").alias("gram"))
+        needed[k] = suffixes.unionByName(asked.where(F.col("k") == k).select("gram")).distinct()
+    out, below = None, None
+    for k in range(1, ORDER + 1):
+        rows = needed[k].join(alpha, "gram", "left").withColumn("context", F.lit("") if k == 1 else F.expr(f"substring(gram, 1, {k - 1})"))
+        rows = rows.join(gamma.where(F.col("k") == k).drop("k"), "context", "left")
+        lower = F.lit(floor)
+        if below is not None:
+            rows = rows.withColumn("suffix", F.expr("substring(gram, 2)")).join(
+                below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+            lower = F.col("lower")
+        p = F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * lower
+        below = written(rows.select("gram", p.alias("p")), f"p{k}")
+        out = below if out is None else out.unionByName(below)
+    return out
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -174,7 +186,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     known = probabilities(asked.groupBy("gram").agg(F.lit(1).alias("_")).drop("_"), counts)
     answers = (
         asked.join(known, "gram").groupBy("block")
-        .agg(F.collect_list(F.struct("pos", F.col("logp").cast("float").alias("logp"))).alias("answers"))
+        .agg(F.collect_list(F.struct("pos", F.log10("p").cast("float").alias("logp"))).alias("answers"))
     )
     scored = table.drop("grams").join(answers, "block", "left").mapInArrow(
         _score_blocks, "doc_id long, lang string, row_key long, logp double, n_symbols long")
