@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 
 #: Text per block. Documents are never split; a larger document is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def runs(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
@@ -33,6 +33,7 @@ def runs(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterato
             if stop < len(batch):
                 yield (part << 32) + number, pa.Table.from_batches(held)
                 number, held, size = number + 1, [], 0
+                pa.default_memory_pool().release_unused()
             start = stop
     if held:
         yield (part << 32) + number, pa.Table.from_batches(held)

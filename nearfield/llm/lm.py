@@ -23,9 +23,9 @@ from . import blocks
 from .common import documents, pack, text_bytes, unpack, written, written_buckets
 
 #: Text per shard of the counts and per bucket of the block table.
-SHARD_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+SHARD_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 #: Text per block; its distinct bigrams are held several times over while they are sorted.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 6 << 20
 #: The end of a text and its beginning; no word contains white space.
 END, BEGIN = "end of text", "beginning of text"
 #: Buckets of context frequency; the last takes all above.

@@ -25,7 +25,7 @@ from .common import documents, pack, row_key, text_bytes, unpack, written, writt
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
 GAPS = (".", " ", "=")
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 24 << 20
 
 _BLOCK = (
     "block long, doc_id array<long>, lang array<string>, row_key array<long>, per_doc binary, step binary, freq binary, "
@@ -43,7 +43,7 @@ def units_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     previous = np.roll(ids, 1)
     ends = pc.match_substring_regex(words, r"[.!?:]$").to_numpy(zero_copy_only=False)
     gap = np.where(first, 0, np.where(previous == ids, 2, np.where(ends[previous] if len(words) else False, 0, 1)))
-    distinct, local = np.unique(ids * 3 + gap, return_inverse=True)
+    distinct, local = np.unique((ids * 3 + gap).astype(np.int32), return_inverse=True)
     units = pc.binary_join_element_wise(pa.array(GAPS).take(pa.array(distinct % 3)), words.take(pa.array(distinct // 3)), "")
     return local, units, counts
 
@@ -55,7 +55,7 @@ def grams_of(units: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         s = BEGIN + unit + END
         held += [s[max(0, i - ORDER): i] for i in range(2, len(s) + 1)]
         owner.append(len(s) - 1)
-        if len(held) > 200_000:
+        if len(held) > 50_000:
             chunks.append(pa.array(held, pa.string()))
             held = []
     chunks.append(pa.array(held, pa.string()))

@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from . import blocks
 from .common import documents, pack, text_bytes, unpack, written_buckets
 
 #: Text per bucket of the block table and per partition of the join.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 24 << 20
 
 # Characters on which this module's splitter and the tokenizer's own provably agree: ASCII and
 # Latin letters that normalisation leaves alone. Other texts go through the tokenizer's splitter.
@@ -87,7 +86,7 @@ def _split_blocks(path: str):
                 counts.append(len(tokens))
                 special.append(found)
                 held += tokens
-                if len(held) > 200_000:
+                if len(held) > 50_000:
                     chunks.append(pa.array(held, pa.string()))
                     held = []
             chunks.append(pa.array(held, pa.string()))
@@ -100,6 +99,25 @@ def _split_blocks(path: str):
     return run
 
 
+def _count_pieces(path: str):
+    """Pieces of sorted pre-tokens, each counted once: ``block`` and ``pos << 32 | pieces``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, last, pieces = piece_counter(path), None, 0
+        for batch in batches:
+            ids, tokens = blocks.encode(batch.column("token"))
+            if len(tokens) == 0:
+                continue
+            names = tokens.to_pylist()
+            fresh = count(names[1:] if names[0] == last else names)
+            n = np.concatenate([[pieces], fresh]) if names[0] == last else fresh
+            last, pieces = names[-1], n[-1]
+            coded = (batch.column("pos").to_numpy().astype(np.int64) << 32) | n[ids]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(coded)], names=["block", "coded"])
+
+    return run
+
+
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(len(batch)):
@@ -125,18 +143,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     buckets = max(1, text_bytes(rows) // BUCKET_BYTES)
     table = written_buckets(rows.mapInArrow(_split_blocks(path), _BLOCK), "token_blocks", "block", buckets)
 
-    @F.pandas_udf("long")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = piece_counter(path)
-        for tokens in batches:
-            yield pd.Series(count(tokens.tolist()))
-
-    asked = table.select("block", F.posexplode("tokens").alias("pos", "token")).repartition(4 * buckets, "token")
-    counted = asked.groupBy("token").agg(F.lit(1).alias("_")).select("token", pieces("token").alias("n"))
-    answers = (
-        asked.join(counted.hint("shuffle_hash"), "token")
-        .groupBy("block").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")).alias("pieces"))
-    )
+    asked = table.select("block", F.posexplode("tokens").alias("pos", "token"))
+    counted = asked.repartition(4 * buckets, "token").sortWithinPartitions("token").mapInArrow(_count_pieces(path), "block long, coded long")
+    answers = counted.groupBy("block").agg(F.collect_list("coded").alias("pieces"))
     return (
         table.drop("tokens").join(answers, "block", "left")
         .mapInArrow(_sum_blocks, "doc_id long, n_bytes long, n_tokens long")
