@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import MB, shared_dir, written
 
-__all__ = ["MB", "documents", "pack", "row_key", "text_bytes", "unpack", "written", "written_buckets"]
+__all__ = ["MB", "bucket_count", "documents", "pack", "row_key", "text_bytes", "unpack", "written", "written_buckets"]
 
 
 def documents(df: DataFrame, *extra: Column | str) -> DataFrame:
@@ -31,6 +31,11 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
+def bucket_count(docs: DataFrame, size: int, each: int) -> int:
+    """Buckets for ``size`` bytes of text; no fewer than shuffle partitions, else joins would not read them in place."""
+    return max(1, size // each, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def written_buckets(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """Write ``df`` to the shared folder hashed into ``buckets`` files sets by ``key``.
 

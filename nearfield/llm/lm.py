@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import documents, pack, text_bytes, unpack, written, written_buckets
+from .common import bucket_count, documents, pack, text_bytes, unpack, written, written_buckets
 
 #: Text per shard of the counts and per bucket of the block table.
 SHARD_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
@@ -220,7 +220,7 @@ def score(docs: DataFrame, train: str, deleted: str = "pmod(xxhash64(doc_id), 10
     part = F.when(~F.coalesce(F.expr(train), F.lit(True)), 0).when(F.coalesce(F.expr(deleted), F.lit(False)), 2).otherwise(1)
     rows = documents(docs).withColumn("part", part)
     size = text_bytes(rows)
-    buckets, shards = max(1, size // BUCKET_BYTES), max(1, size // SHARD_BYTES)
+    buckets, shards = bucket_count(rows, size, BUCKET_BYTES), max(1, size // SHARD_BYTES)
     table = written_buckets(rows.mapInArrow(_make_blocks, _BLOCK), "lm_blocks", "block", buckets)
     asked = table.drop("doc_id").mapInArrow(_ask(shards), _ASKED)
     answers = written(asked.groupBy("shard").applyInArrow(_add_up, _ANSWER), "lm_counts")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import documents, pack, row_key, text_bytes, unpack, written, written_buckets
+from .common import bucket_count, documents, pack, row_key, text_bytes, unpack, written, written_buckets
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
@@ -174,7 +174,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``doc_id, lang, row_key, n_symbols, perplexity`` of every row of ``docs``; the model learns from the
     documents whose id is in ``trusted``. Perplexity is null for texts without words."""
     rows = documents(docs, "lang", row_key().alias("row_key"))
-    buckets = max(1, text_bytes(rows) // BUCKET_BYTES)
+    buckets = bucket_count(rows, text_bytes(rows), BUCKET_BYTES)
     table = written_buckets(rows.mapInArrow(_make_blocks, _BLOCK), "quality_blocks", "block", buckets)
     marks = (
         table.select("block", F.posexplode("doc_id").alias("pos", "doc_id"))
@@ -182,7 +182,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         .groupBy("block").agg(F.collect_list("pos").alias("trusted"))
     )
     counts = table.drop("doc_id", "lang", "row_key", "grams").join(marks, "block").mapInArrow(_count_trusted, "gram string, n long")
-    asked = table.select("block", F.posexplode("grams").alias("pos", "gram")).repartition(2 * buckets, "gram")
+    asked = table.select("block", F.posexplode("grams").alias("pos", "gram")).repartition(buckets, "gram")
     known = probabilities(asked.groupBy("gram").agg(F.lit(1).alias("_")).drop("_"), counts)
     answers = (
         asked.join(known, "gram").groupBy("block")

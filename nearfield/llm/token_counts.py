@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import documents, pack, text_bytes, unpack, written_buckets
+from .common import bucket_count, documents, pack, text_bytes, unpack, written_buckets
 
 #: Text per bucket of the block table and per partition of the join.
 BUCKET_BYTES = 24 << 20
@@ -140,11 +140,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     table gives no rows; further columns of ``docs`` are ignored.
     """
     rows = documents(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    buckets = max(1, text_bytes(rows) // BUCKET_BYTES)
+    buckets = bucket_count(rows, text_bytes(rows), BUCKET_BYTES)
     table = written_buckets(rows.mapInArrow(_split_blocks(path), _BLOCK), "token_blocks", "block", buckets)
 
     asked = table.select("block", F.posexplode("tokens").alias("pos", "token"))
-    counted = asked.repartition(4 * buckets, "token").sortWithinPartitions("token").mapInArrow(_count_pieces(path), "block long, coded long")
+    counted = asked.repartition(buckets, "token").sortWithinPartitions("token").mapInArrow(_count_pieces(path), "block long, coded long")
     answers = counted.groupBy("block").agg(F.collect_list("coded").alias("pieces"))
     return (
         table.drop("tokens").join(answers, "block", "left")
