@@ -85,7 +85,7 @@ def tokens_from_steps(per_doc: np.ndarray, step: np.ndarray) -> tuple[np.ndarray
 
 
 def per_document(owner: np.ndarray, values: np.ndarray, documents: int) -> np.ndarray:
-    return np.bincount(owner, weights=values, minlength=documents)
+    return np.bincount(owner, weights=values, minlength=documents).astype(float)  # also without any pair
 
 
 def one_row(**values) -> pa.RecordBatch:
