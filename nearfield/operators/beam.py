@@ -98,15 +98,17 @@ def _merge_ctes(beam: Beam, score: str, fresh: str, spread: str = "", hint: str
     With ``spread`` both sides of the union are partitioned by q in the same way: the union keeps
     that, and the ranking after it needs no further exchange."""
     same = f"WHERE b.{beam.on} = s.{beam.on}" if beam.on else ""
+    # A query's counters travel with its new rows too, which may push all its old rows off the list.
     return [
+        "counters AS (SELECT q, max(steps) AS steps, max(visited) AS visited FROM {state} GROUP BY q)",
         f"""scored AS (
-            SELECT {hint} c.q, c.id, {score} AS dist
-            FROM {fresh} c JOIN {{base}} b ON c.id = b.id JOIN {{queries}} s ON c.q = s.q {same})""",
+            SELECT {hint} c.q, c.id, {score} AS dist, k.steps, k.visited
+            FROM {fresh} c JOIN {{base}} b ON c.id = b.id JOIN {{queries}} s ON c.q = s.q {same}
+            JOIN counters k ON c.q = k.q)""",
         f"""merged AS (
             SELECT {spread} q, id, dist, seen OR pick AS seen, ok, steps, visited FROM {{state}}
             UNION ALL
-            SELECT q, id, dist, false, true, CAST(NULL AS bigint), CAST(NULL AS bigint)
-            FROM scored)""",
+            SELECT q, id, dist, false, true, steps, visited FROM scored)""",
     ]
 
 

@@ -249,8 +249,8 @@ found AS MATERIALIZED (
             SELECT p.q, p.id, round(p.dist, 6) AS dist FROM pairs p JOIN entry ON entry.id = p.id"""),
         "unvisited": _with(*snap, select="SELECT q, id, round(dist, 6) AS dist FROM open"),
         "unvisited_notin": _with(*snap, select="""
-            SELECT q, id, round(dist, 6) AS dist FROM lst
-            WHERE (q, id) NOT IN (SELECT (q, id) FROM vis)"""),
+            SELECT l.q, l.id, round(l.dist, 6) AS dist
+            FROM lst l LEFT JOIN vis v ON v.q = l.q AND v.id = l.id WHERE v.id IS NULL"""),
         "unvisited_except": _with(*snap, select="""
             SELECT q, id FROM lst EXCEPT SELECT q, id FROM vis"""),
         "nearest_unvisited": _with(*snap, select="SELECT q, id, round(dist, 6) AS dist FROM nearest"),

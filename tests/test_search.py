@@ -120,6 +120,8 @@ def reference_walk(x, nbs, v, entry, l, w=1, t=1, ties=False, ok=lambda i: True)
     (Beam(15, 3, 1), "edges", True),
     (Beam(8, 3, 2, ties=True), "adjacency", True),
     (Beam(8, 3, 2, ties=True), "adjacency", False),
+    (Beam(3), "adjacency", True),  # new rows push all old rows off a list shorter than the degree
+    (Beam(3), "edges", False),
 ])
 def test_search_follows_the_definition(tables_, skewed, case, form, small):
     base, queries, g = tables_
