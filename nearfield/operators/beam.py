@@ -265,12 +265,13 @@ def search(
     registered function); Euclidean by default.
 
     ``small`` says that graph, base and queries all fit a broadcast; by default Catalyst's size
-    estimates decide. Results do not depend on it.
+    estimates decide. Results do not depend on it: both forms of the distance add up in one order.
+    Rows without a vector take no part.
     """
     spark = base.sparkSession
-    base = base.select("id", "data", *([beam.on] if beam.on else []))
+    base = base.select("id", "data", *([beam.on] if beam.on else [])).where("data IS NOT NULL")
     # every step reads the queries again: store them, so that a derived table is computed once
-    queries = written(queries.select("q", "qv", *([beam.on] if beam.on else [])), "queries")
+    queries = written(queries.select("q", "qv", *([beam.on] if beam.on else [])).where("qv IS NOT NULL"), "queries")
     if small is None:
         small = fits_broadcast(base, graph, queries, limit=SMALL_LIMIT)
     if score is None:

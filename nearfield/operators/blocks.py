@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 
+from ..functions.vector import sum_squares
+
 #: Cells (queries x base rows) of one distance matrix held in memory at a time.
 BLOCK_CELLS = 1 << 22
 #: Base rows in one distance matrix: wide enough that the bookkeeping per query row is small.
 BLOCK_WIDTH = 1 << 13
+#: Numbers (pairs x dim) gathered at a time when preselected pairs are recomputed.
+EXACT_CELLS = 1 << 21
 
 
 class L2:
     """Euclidean metric. The matrix product only preselects; what is kept is recomputed in
-    difference form, so results equal the SQL expression to rounding of the last bit."""
+    difference form and added up in the order of the SQL expression, so results are the same."""
 
     def rough(self, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         qn, bn = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", b, b)
-        d = qn[:, None] + bn[None, :] - 2.0 * (q @ b.T)
+        norms = qn[:, None] + bn[None, :]
         # rounding error bound of the expansion: a small multiple of dim * eps * norms
-        slack = 8.0 * (q.shape[1] + 4) * np.finfo(float).eps * (qn + (bn.max() if len(bn) else 0))
-        return d, slack
+        return norms - 2.0 * (q @ b.T), 8.0 * (q.shape[1] + 4) * np.finfo(float).eps * norms
 
     def exact(self, q: np.ndarray, b: np.ndarray) -> np.ndarray:
-        diff = q - b
-        return np.einsum("ij,ij->i", diff, diff)
+        return sum_squares(q - b)
 
     def finish(self, d: np.ndarray) -> np.ndarray:
         return np.sqrt(d)
@@ -40,7 +42,7 @@ class PQTable:
         d = np.zeros((len(q), len(b)))
         for m in range(self.lut.shape[0]):
             d += self.lut[m][q[:, m]][:, b[:, m]]
-        return np.round(d, 9), np.zeros(len(q))
+        return np.round(d, 9), np.zeros((1, 1))
 
     def exact(self, q: np.ndarray, b: np.ndarray) -> np.ndarray:
         d = np.zeros(len(q))
@@ -53,12 +55,15 @@ class PQTable:
 
 
 class TopK:
-    """The k nearest base rows per query seen so far, in total order (distance, id)."""
+    """The k nearest base rows per query seen so far, in total order (distance, id).
+
+    Infinite distances come after all finite ones and NaN after them, as in SQL."""
 
     def __init__(self, metric, q_ids: np.ndarray, q: np.ndarray, k: int):
         self.metric, self.q_ids, self.q, self.k = metric, q_ids, q, k
         self.dist = np.full((len(q), k), np.inf)
-        self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
+        self.ids = np.zeros((len(q), k), np.int64)
+        self.held = np.zeros((len(q), k), bool)
 
     def add(self, ids: np.ndarray, vecs: np.ndarray, rows: np.ndarray | None = None) -> None:
         """Offer base rows to the queries at positions ``rows`` (all when None)."""
@@ -73,19 +78,25 @@ class TopK:
                 self._merge(rows[r : r + height], ids[c : c + width], vecs[c : c + width])
 
     def _merge(self, rows: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> None:
-        rough, slack = self.metric.rough(self.q[rows], vecs)
+        with np.errstate(invalid="ignore", over="ignore"):
+            rough, slack = self.metric.rough(self.q[rows], vecs)
+            unsure = ~np.isfinite(rough)  # overflow, NaN: only the exact form tells
+            least, most = rough - slack, np.where(unsure, np.inf, rough + slack)
         kept = self.dist[rows]
-        bound = kept[:, -1]
-        near = rough <= (bound + slack)[:, None]
+        bound = np.where(np.isnan(kept[:, -1]), np.inf, kept[:, -1])
+        near = unsure | (least <= bound[:, None])
         if len(ids) > self.k and np.count_nonzero(near) > 4 * self.k * len(rows):
             # the k-th best of this block is a tighter bound than what was kept so far
-            bound = np.minimum(bound, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack)
-            near = rough <= (bound + slack)[:, None]
+            bound = np.minimum(bound, np.partition(most, self.k - 1, axis=1)[:, self.k - 1])
+            near = unsure | (least <= bound[:, None])
         r, c = np.nonzero(near)
         if not len(r):
             return
-        dist = self.metric.exact(self.q[rows[r]], vecs[c])
-        old_r, old_c = np.nonzero(np.isfinite(kept))
+        step = max(1, EXACT_CELLS // max(1, vecs.shape[1]))
+        with np.errstate(invalid="ignore", over="ignore"):
+            dist = np.concatenate([
+                self.metric.exact(self.q[rows[r[n : n + step]]], vecs[c[n : n + step]]) for n in range(0, len(r), step)])
+        old_r, old_c = np.nonzero(self.held[rows])
         row = np.concatenate([r, old_r])
         d = np.concatenate([dist, kept[old_r, old_c]])
         i = np.concatenate([ids[c], self.ids[rows[old_r], old_c]])
@@ -97,7 +108,8 @@ class TopK:
         row, rank, d, i = row[keep], rank[keep], d[keep], i[keep]
         self.dist[rows[row], rank] = d
         self.ids[rows[row], rank] = i
+        self.held[rows[row], rank] = True
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        r, c = np.nonzero(np.isfinite(self.dist))
+        r, c = np.nonzero(self.held)
         return self.q_ids[r], self.ids[r, c], self.metric.finish(self.dist[r, c])

@@ -83,9 +83,7 @@ def _scan_plan(base, queries, k, on, metric, dtype) -> DataFrame:
         yield _batch(top)
 
     cols = ["id", "data"] + ([on] if on else [])
-    # a task emits k rows per query, so bound the number of tasks, not only their size
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    return base.select(cols).coalesce(tasks).mapInArrow(scan, OUT)
+    return base.select(cols).mapInArrow(scan, OUT)
 
 
 def _block_plan(base, queries, k, on, metric, dtype, block_rows) -> DataFrame:
@@ -93,15 +91,20 @@ def _block_plan(base, queries, k, on, metric, dtype, block_rows) -> DataFrame:
     key: Column = F.col(on) if on else F.lit(0)
     b = base.select("id", "data", key.alias("a")).where("a is not null")
     q = queries.select("q", "qv", key.alias("a")).where("a is not null")
-    grid = (
-        q.groupBy("a").agg(F.ceil(F.count("*") / block_rows).alias("gq"))
-        .join(b.groupBy("a").agg(F.ceil(F.count("*") / block_rows).alias("gb")), "a")
-    )
-    q_blocks = q.join(grid, "a").select(
+    if on:
+        grid = (
+            q.groupBy("a").agg(F.ceil(F.count("*") / block_rows).alias("gq"))
+            .join(b.groupBy("a").agg(F.ceil(F.count("*") / block_rows).alias("gb")), "a")
+        )
+        b, q = b.join(grid, "a"), q.join(grid, "a")
+    else:  # one grid for all: two numbers, not a join without a key
+        sides = [F.lit(max(1, -(-side.count() // block_rows))).cast("long") for side in (q, b)]
+        b, q = (side.withColumns(dict(zip(("gq", "gb"), sides, strict=True))) for side in (b, q))
+    q_blocks = q.select(
         "a", F.pmod(F.xxhash64("q"), "gq").alias("i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("gb") - 1)).alias("j"), "q", "qv",
     )
-    b_blocks = b.join(grid, "a").select(
+    b_blocks = b.select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gq") - 1)).alias("i"),
         F.pmod(F.xxhash64("id"), "gb").alias("j"), "id", "data",
     )
@@ -132,9 +135,11 @@ def exact_knn(
     """The k nearest base rows of every query, ties by id.
 
     ``on`` names an attribute both sides carry: only base rows with the query's value compete
-    (filtered search, the exact answer of a hybrid query).
+    (filtered search, the exact answer of a hybrid query). Rows without a vector take no part;
+    infinite distances and NaN come last.
     """
     metric = metric or L2()
+    base, queries = base.where("data IS NOT NULL"), queries.where("qv IS NOT NULL")
     nq, dim = queries.agg(F.count("*"), F.max(F.size("qv"))).first()
     dim = max(1, dim or 1)
     if nq * dim * 8 <= broadcast_bytes:

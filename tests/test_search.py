@@ -342,3 +342,34 @@ def test_approximate_search_builds_its_own_index(tables_, skewed):
     x, _, q, _ = skewed
     got = found(beam.approx_knn(base, queries, 10, r=8, l=240, w=60, t=2))
     assert got == brute(x, q, 10)
+
+
+def test_permuted_vectors_tie_in_the_same_way(spark):
+    """Equal values in another order: sums differ in the last bits, and every form must agree on them."""
+    v = RNG.normal(size=64)
+    x = np.array([RNG.permutation(v) for _ in range(40)], "f4")
+    base, queries = vectors(spark, x), vectors(spark, np.zeros((1, 64), "f4"), None, "q", "qv")
+    nbs = spark.createDataFrame([(i, [j for j in range(40) if j != i]) for i in range(40)], "id long, nbs array<long>")
+    ranked = lambda df: [(r["id"], r["dist"]) for r in df.orderBy("rank").collect()]
+    want = ranked(knn.exact_knn(base, queries, 10))
+    assert ranked(knn.exact_knn(base, queries, 10, broadcast_bytes=0, block_bytes=8 * 64 * 7)) == want
+    for small in (True, False):
+        assert ranked(topk(search(base, nbs, queries, 0, Beam(10, 4, 2), small=small), 10)) == want
+
+
+@pytest.mark.parametrize("plan", [{}, {"broadcast_bytes": 0, "block_bytes": 8 * 4 * 3}])
+def test_exact_knn_with_bad_vectors(spark, plan):
+    rows = [(0, [1.0] * 4), (1, [float("nan")] * 4), (2, [float("inf")] * 4), (3, None), (4, [0.5] * 4), (5, [float("nan")] * 4)]
+    base = spark.createDataFrame(rows, "id long, data array<double>")
+    queries = spark.createDataFrame([(0, [0.0] * 4), (1, None)], "q long, qv array<double>")
+    got = knn.exact_knn(base, queries, 10, **plan).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [4, 0, 2, 1, 5]
+    assert [r["id"] for r in knn.exact_knn(base, queries, 4, **plan).orderBy("rank").collect()] == [4, 0, 2, 1]
+    pairs = base.select("id", l2_arrow("data", F.array(*[F.lit(0.0)] * 4)).alias("d"))
+    assert {r["id"]: r["d"] for r in pairs.where("id IN (3, 4)").collect()} == {3: None, 4: 1.0}
+
+
+def test_block_plan_has_no_join_without_a_key(tables_):
+    base, queries, _ = tables_
+    plan = knn.exact_knn(base, queries, 5, broadcast_bytes=0, block_bytes=8 * 8 * 50)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
