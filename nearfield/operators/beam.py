@@ -103,8 +103,8 @@ def _merge_ctes(beam: Beam, score: str, fresh: str, spread: str = "", hint: str
         "counters AS (SELECT q, max(steps) AS steps, max(visited) AS visited FROM {state} GROUP BY q)",
         f"""scored AS (
             SELECT {hint} c.q, c.id, {score} AS dist, k.steps, k.visited
-            FROM {fresh} c JOIN {{base}} b ON c.id = b.id JOIN {{queries}} s ON c.q = s.q {same}
-            JOIN counters k ON c.q = k.q)""",
+            FROM {fresh} c JOIN {{base}} b ON c.id = b.id JOIN {{queries}} s ON c.q = s.q
+            JOIN counters k ON c.q = k.q {same})""",
         f"""merged AS (
             SELECT {spread} q, id, dist, seen OR pick AS seen, ok, steps, visited FROM {{state}}
             UNION ALL
