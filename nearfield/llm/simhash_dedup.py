@@ -9,9 +9,10 @@ of all fingerprints by partition value, and candidates are verified.
 A fingerprint that expects many candidates under every choice lies in a crowd of near copies. For
 an even radius such fingerprints are linked through all points within ``radius / 2`` bits instead:
 two of them share such a point if and only if they are within the radius. That is exact, and linear
-where pairs would be quadratic. For an odd radius each is linked to the least of its crowd in every
-partition value they share, up to twice the radius; that serves as a blocking for ``representatives``,
-which compares texts in the end.
+where pairs would be quadratic. For an odd radius no such point lies in the middle. There each is
+linked, if within the radius, to the least of those that agree with it in a partition up to its
+threshold, and through points within one bit. That leaves few components, and only fingerprints
+that meet one other than the main one of their surroundings probe, for the missing links.
 """
 
 from __future__ import annotations
@@ -189,9 +190,61 @@ def _probes(groups: list[list[int]], share: np.ndarray, total: int, radius: int,
     return run
 
 
+def _within(a: str, b: str, radius: int) -> Column:
+    return (F.col(a) != F.col(b)) & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius)
+
+
+def _shared_points(fps: DataFrame, bits: int) -> DataFrame:
+    """Links ``(a, b)`` with the components of all pairs of ``fps (fp)`` within twice ``bits``."""
+    masks = [0] + [int(x) for t in range(1, bits + 1) for x in _flips(BITS, t)]
+    points = fps.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    # A point has at most len(masks) fingerprints around it.
+    return (
+        points.groupBy(F.col("fp").bitwiseXOR(F.col("mask")).alias("point")).agg(F.collect_list("fp").alias("near"))
+        .where(F.size("near") > 1).select(F.array_min("near").alias("a"), F.explode("near").alias("b"))
+        .where("a <> b").distinct()
+    )
+
+
+def _kept_bits(groups: list[list[int]], radius: int) -> list[int]:
+    """Masks of which any two fingerprints within the radius agree under at least one: the thresholds
+    are dealt evenly, and of each partition all choices of as many bits are left out."""
+    out = []
+    for i, g in enumerate(groups):
+        t = (radius + 1) // len(groups) + (i < (radius + 1) % len(groups)) - 1
+        if t >= 0:
+            out += [sum(1 << b for b in g if b not in gone) for gone in combinations(g, min(t, len(g)))]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in out]
+
+
+def _odd_crowd(crowded: DataFrame, index: DataFrame, probing, groups: list[list[int]], radius: int) -> DataFrame:
+    """Links ``(a, b)`` within the radius, with the components of all such pairs of ``crowded (fp)``.
+
+    ``probing(fps)`` gives the index probes of ``fps``, whatever they cost."""
+    keys = written(crowded.select("fp", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for n, m in enumerate(_kept_bits(groups, radius))
+    ]))), "crowd_keys")
+    least = keys.groupBy("mask", "value").agg(F.min("fp").alias("a"))
+    stars = keys.withColumnRenamed("fp", "b").join(least, ["mask", "value"]).where(_within("a", "b", radius)).select("a", "b")
+    links = written(stars.unionByName(_shared_points(crowded, min(1, radius // 2))).distinct(), "crowd_links")
+    rooted = written(
+        crowded.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "crowd_roots")
+    # Of a pair in different components at least one is outside the main component of a key they share.
+    met = keys.join(rooted, "fp")
+    main = (
+        met.groupBy("mask", "value", "root").agg(F.count("*").alias("n")).groupBy("mask", "value")
+        .agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root"))["root"].alias("main")).where("kinds > 1")
+    )
+    apart = met.join(main, ["mask", "value"]).where("root <> main").select("fp").distinct()
+    probes = written(probing(apart), "crowd_probes").join(rooted, "fp").withColumnsRenamed({"fp": "a", "root": "root_a"})
+    inside = index.join(rooted, "fp").withColumnsRenamed({"fp": "b", "root": "root_b"})
+    missing = probes.join(inside, ["part", "value"]).where((F.col("root_a") != F.col("root_b")) & _within("a", "b", radius))
+    return links.unionByName(missing.select("a", "b"))
+
+
 def near_links(distinct: DataFrame, radius: int = 2, parts: int | None = None, crowd: float = CROWD) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp``, with the same components as all pairs
-    within ``radius`` bits (for an even radius). Outside crowds every pair within the radius is a link."""
+    within ``radius`` bits. Outside crowds every pair within the radius is a link."""
     parts = parts or radius + 1
     total = distinct.count()
     sums = (
@@ -206,29 +259,22 @@ def near_links(distinct: DataFrame, radius: int = 2, parts: int | None = None, c
     sizes = index.groupBy("part", "value").agg(F.count("*").alias("n"))
     counted = index.join(sizes, ["part", "value"]).groupBy("fp").agg(
         *[F.sum(F.when(F.col("part") == i, F.col("n"))).alias(f"n{i}") for i in range(parts)])
-    probes = written(counted.mapInArrow(_probes(groups, share, total, radius, crowd), "part long, value long, fp long"), "probes")
 
+    def probing(fps: DataFrame, limit: float) -> DataFrame:
+        return fps.mapInArrow(_probes(groups, share, total, radius, limit), "part long, value long, fp long")
+
+    probes = written(probing(counted, crowd), "probes")
     found = (
         probes.where("part >= 0").withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), ["part", "value"])
-        .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-        .select("a", "b")
+        .where(_within("a", "b", radius)).select("a", "b")
     )
     crowded = probes.where("part = -1").select("fp")
-    if radius % 2:
-        inside = index.join(crowded, "fp")
-        least = inside.groupBy("part", "value").agg(F.min("fp").alias("a"))
-        stars = inside.withColumnRenamed("fp", "b").join(least, ["part", "value"]).where(
-            (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2 * radius))
-        return found.unionByName(stars.select("a", "b"))
-    masks = [0] + [int(x) for t in range(1, radius // 2 + 1) for x in _flips(BITS, t)]
-    points = crowded.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    # A point has at most len(masks) fingerprints around it.
-    stars = (
-        points.groupBy(F.col("fp").bitwiseXOR(F.col("mask")).alias("point")).agg(F.collect_list("fp").alias("near"))
-        .where(F.size("near") > 1).select(F.array_min("near").alias("a"), F.explode("near").alias("b"))
-        .where("a <> b").distinct()
-    )
-    return found.unionByName(stars)
+    if radius % 2 == 0:
+        return found.unionByName(_shared_points(crowded, radius // 2))
+    if crowded.isEmpty():
+        return found
+    return found.unionByName(_odd_crowd(
+        crowded, index, lambda fps: probing(counted.join(fps, "fp", "left_semi"), float("inf")), groups, radius))
 
 
 def _grouped(rows: DataFrame, radius: int, parts: int | None = None) -> DataFrame:

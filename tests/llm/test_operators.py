@@ -165,6 +165,31 @@ def test_links_have_the_right_components(spark, radius, crowd):
     assert dict(rows(got)) == {f: r for f, r in root.items() if size[r] > 1}
 
 
+@pytest.mark.parametrize(("radius", "parts", "crowd"), [(5, 3, 0.0), (5, 3, 20.0), (5, None, 0.0), (3, None, 0.0), (1, None, 0.0), (7, 3, 0.0)])
+def test_crowds_with_an_odd_radius_keep_every_link(spark, radius, parts, crowd):
+    """Pairs and chains exactly ``radius`` bits apart, away from the least fingerprint of their crowd."""
+    rng = np.random.default_rng(2)
+    flip = lambda f, n: f ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    fps = {int(x) for x in rng.integers(0, 2**63, 40)}
+    for far in (0, 9, 14, 20):
+        centre = flip(12345678901, far)
+        for _ in range(25):
+            one = flip(centre, int(rng.integers(0, 10)))
+            fps |= {one, flip(one, radius)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in sorted(fps)]
+    got = components(simhash_dedup.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius, parts, crowd))
+    root = {f: f for f in signed}
+    changed = True
+    while changed:
+        changed = False
+        for a in signed:
+            for b in signed:
+                if ((a ^ b) & (2**64 - 1)).bit_count() <= radius and root[a] < root[b]:
+                    root[b], changed = root[a], True
+    size = Counter(root.values())
+    assert dict(rows(got)) == {f: r for f, r in root.items() if size[r] > 1}
+
+
 def test_representatives(spark, odd, none):
     base = [f"w{i}" for i in range(60)]
     near = base[:58] + ["x", "y"]
