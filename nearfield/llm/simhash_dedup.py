@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, row_key, written
@@ -31,8 +31,6 @@ from .components import components
 BITS = 64
 #: Estimated candidates from which a fingerprint counts as part of a crowd.
 CROWD = 256
-#: Representatives chosen one after the other in a group whose members are not all alike.
-ROUNDS = 20
 #: Cost of one index probe in candidates.
 PROBE = 0.2
 
@@ -305,13 +303,65 @@ def _shingle_set(text: Column, width: int) -> Column:
         F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))))[0]
 
 
+def _prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """``root, rank, n, token, keys``: the shingles that near copies cannot all differ in.
+
+    A near copy shares at least ``similarity`` of the ``n`` shingles, so in any common order of the
+    shingles it shares one of the first ``n - similarity n + 1``. Rare ones come first, and those that
+    one text of the group has alone need no row. ``keys`` is the number of rows of the text.
+    """
+    tokens = texts.select("root", "rank", F.size("set").alias("n"), F.explode("set").alias("token"))
+    shared = tokens.groupBy("root", "token").agg(F.count("*").alias("texts")).where("texts > 1")
+    listed = tokens.join(shared, ["root", "token"]).groupBy("root", "rank", "n").agg(
+        F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("shared"))
+    length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    first = listed.select("root", "rank", "n", F.slice("shared", 1, F.greatest(length, F.lit(0)).cast("int"))["token"].alias("first"))
+    return first.select("root", "rank", "n", F.size("first").alias("keys"), F.explode("first").alias("token"))
+
+
+def _copies(texts: DataFrame, similarity: float) -> DataFrame:
+    """``root, rank`` of those ``texts (root, rank, set)`` that go because a near copy of less rank stays.
+
+    In each round the texts that share a key are compared with the ``width`` least of it. A text that
+    is among these under all its keys, and near no lesser one, stays, and its near copies go. The
+    least of a root always stays, so every round decides some. A round that decides less than half
+    doubles the width. The outcome is that of taking the least of what is left, one after the other.
+    """
+    left = written(_prefixes(texts, similarity), "group_keys")
+    sets = written(texts.join(left.select("root", "rank").distinct(), ["root", "rank"], "left_semi").select("root", "rank", "set"), "group_sets")
+    other = sets.withColumnsRenamed({"rank": "head", "set": "head_set"})
+    gone = left.select("root", "rank").limit(0)
+    width, open_keys = 1, left.count()
+    while open_keys:
+        place = F.row_number().over(Window.partitionBy("root", "token").orderBy("rank"))
+        heads = written(left.withColumn("place", place).where(F.col("place") <= width), "group_heads")
+        whole = heads.groupBy("root", "rank").agg(F.count("*").alias("n"), F.first("keys").alias("keys")).where("n = keys").select("root", "rank")
+        pairs = (
+            left.select("root", "token", "rank", "n").join(heads.select("root", "token", F.col("rank").alias("head"), F.col("n").alias("m")), ["root", "token"])
+            .where((F.col("head") < F.col("rank")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)).select("root", "rank", "head").distinct()
+        )
+        common = F.size(F.array_intersect("set", "head_set"))
+        near = written(
+            pairs.join(sets, ["root", "rank"]).join(other, ["root", "head"])
+            .where(common >= similarity * (F.size("set") + F.size("head_set") - common)).select("root", "rank", "head"), "group_near")
+        stays = written(whole.join(near.select("root", "rank").distinct(), ["root", "rank"], "left_anti"), "group_stays")
+        goes = near.join(stays.withColumnRenamed("rank", "head"), ["root", "head"], "left_semi").select("root", "rank").distinct()
+        gone, before = written(gone.unionByName(goes), "group_gone"), open_keys
+        left = written(left.join(stays.unionByName(gone), ["root", "rank"], "left_anti"), "group_rest")
+        open_keys = left.count()
+        if 2 * open_keys > before:
+            width *= 2
+    return gone
+
+
 def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 5) -> DataFrame:
     """``docs``, with all their columns, without the near copies of documents that stay.
 
     Groups are components of damped single-word fingerprints within ``radius`` bits. In each the
     smallest id stays, and members whose shingles of ``width`` words have a Jaccard similarity of at
-    least ``similarity`` with it go. Members that differ more choose the smallest of themselves, for up
-    to ``ROUNDS`` rounds; what is left then stays. So a document goes only if a near copy of it stays.
+    least ``similarity`` with it go. Members that differ more choose the smallest of themselves, and so
+    on to the end. So a document goes only if a near copy of it stays, and no two near copies of a
+    group stay.
 
     Null and empty texts are copies of each other. Of rows that agree in id and text any one stays;
     of equal ids with different texts the smaller row key comes first, null ids come last.
@@ -329,20 +379,8 @@ def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, ra
     alike = texts.groupBy("root", "text_key").agg(F.min(rank).alias("rank"), F.first("text").alias("text"))
     left = written(alike.select("root", "rank", _shingle_set(F.col("text"), width).alias("set")), "group_texts")
     single = keyed.join(several, "root", "left_anti").select("doc_id", "row_key")
-    chosen = []
-    for _ in range(ROUNDS):
-        first = left.groupBy("root").agg(F.min(F.struct("rank", "set")).alias("first"))
-        compared = left.join(first, "root").where(F.col("rank") != F.col("first.rank"))
-        common = F.size(F.array_intersect("set", "first.set"))
-        near = common >= similarity * (F.size("set") + F.size("first.set") - common)
-        chosen.append(first.select("first.rank.doc_id", "first.rank.row_key"))
-        left = written(compared.where(~near).select("root", "rank", "set"), "group_rest")
-        if left.isEmpty():
-            break
-    else:
-        chosen.append(left.select("rank.doc_id", "rank.row_key"))
-    for part in chosen:
-        single = single.unionByName(part)
+    chosen = left.select("root", "rank").join(_copies(left, similarity), ["root", "rank"], "left_anti")
+    single = single.unionByName(chosen.select("rank.doc_id", "rank.row_key"))
     staying = single.select(F.col("doc_id").alias("chosen_id"), F.col("row_key").alias("chosen_key"))
     return (
         docs.join(staying, row_key() == F.col("chosen_key")).where(F.col("doc_id").eqNullSafe(F.col("chosen_id")))

@@ -202,6 +202,25 @@ def test_representatives(spark, odd, none):
     assert rows(simhash_dedup.representatives(none)) == []
 
 
+def test_representatives_of_many_families(spark):
+    """More families than a few rounds can name, all with the same words and so in one group."""
+    rng = np.random.default_rng(3)
+    data, words = [], [f"w{i}" for i in range(60)]
+    for _ in range(30):
+        text = list(rng.permutation(words))
+        for _ in range(4):
+            data.append((int(rng.integers(0, 10**6)), " ".join(text)))
+            at = int(rng.integers(0, 59))  # drifts, so that the first and the last may differ too much
+            text[at], text[at + 1] = text[at + 1], text[at]
+    sets = {i: {tuple(w[a: a + 5]) for a in range(56)} for i, t in data for w in [t.split()]}
+    want = []
+    for i in sorted(sets):
+        if all(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for j in want):
+            want.append(i)
+    got = simhash_dedup.representatives(spark.createDataFrame(data, "doc_id long, text string"))
+    assert 30 <= len(want) < len(sets) and sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_decontamination(spark, docs, odd, none):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda t: " ".join("".join(c.lower() if c.isalnum() else " " for c in t or "").split())
