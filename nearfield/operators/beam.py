@@ -345,12 +345,34 @@ def hybrid_search(
     return topk(search(base, graph, queries, entry, beam, **kw), k)
 
 
-def post_filter_search(base, graph, queries, entry, l, k, on="a1", w=4, t=10, **kw) -> DataFrame:
-    """Unfiltered wide beam first, then the filter on what it found. May return fewer than k."""
-    found = search(base, graph, queries, entry, Beam(l, w, t), **kw)
-    hits = (
-        found.select("q", "id", "dist")
-        .join(asked_rows(base.select("id", on), found, found.count()), "id")
-        .join(queries.select("q", on), ["q", on])
-    )
-    return rank_nearest(hits.select("q", "id", "dist"), k)
+def post_filter_search(
+    base, graph, queries, entry, l, k, on="a1", w=4, t=10, widen=True, **kw
+) -> DataFrame:
+    """Unfiltered wide beam first, then the filter on what it found.
+
+    Queries left with fewer than k, while more rows share their attribute, search again with twice
+    the list, until it is long enough or holds all that can be reached. With ``widen=False`` there
+    is one search, which may return fewer than k."""
+    matching = base.where("data IS NOT NULL").groupBy(on).agg(F.least(F.count("*"), F.lit(k)).alias("due"))
+    parts = None
+    while True:
+        found = written(search(base, graph, queries, entry, Beam(l, w, t), **kw).select("q", "id", "dist"), "found")
+        hits = (
+            found.join(asked_rows(base.select("id", on), found, found.count()), "id")
+            .join(queries.select("q", on), ["q", on]).select("q", "id", "dist")
+        )
+        if not widen:
+            return rank_nearest(hits, k)
+        hits = written(hits, "hits")
+        full = found.groupBy("q").agg(F.count("*").alias("listed")).where(F.col("listed") >= l)
+        short = (
+            queries.join(full, "q").join(matching, on)
+            .join(hits.groupBy("q").agg(F.count("*").alias("got")), "q", "left")
+            .where(F.coalesce("got", F.lit(0)) < F.col("due")).select(queries.columns)
+        )
+        queries = written(short, "short")
+        settled = hits.join(queries.select("q"), "q", "left_anti")
+        parts = settled if parts is None else parts.unionByName(settled)
+        if queries.isEmpty():
+            return rank_nearest(parts, k)
+        l *= 2

@@ -183,6 +183,29 @@ match AS MATERIALIZED (
 hop2 AS MATERIALIZED (
     SELECT DISTINCT a.id, b.neighbor FROM edges a JOIN edges b ON a.neighbor = b.id)"""
     hybrid = _walk("walk", _SEED, "hop2", L, pairs="match")
+    lists = [WIDE_L << i for i in range(6)]
+    widened = [_walk(f"walk{l}", _SEED, "edges", l, W, T) for l in lists]
+    # per list length the matching rows; the answer comes from the first that is long enough
+    tried = " UNION ALL ".join(
+        f"SELECT {l} AS l, q, id, dist, count(*) OVER (PARTITION BY q) AS listed FROM walk{l}_rows" for l in lists)
+    settled = f"""
+tried AS MATERIALIZED ({tried}),
+due AS (SELECT q, least({K}, count(*)) AS due FROM match GROUP BY q),
+hits AS MATERIALIZED (
+    SELECT t.l, t.q, t.id, t.dist FROM tried t JOIN match m ON m.q = t.q AND m.id = t.id),
+enough AS (
+    SELECT q, min(l) AS l FROM (
+        SELECT l, q FROM hits JOIN due USING (q) GROUP BY l, q HAVING count(*) >= any_value(due)
+        UNION ALL SELECT l, q FROM tried WHERE listed < l)
+    GROUP BY q),
+settled AS (SELECT h.q, h.id, h.dist FROM hits h JOIN enough e ON e.q = h.q AND e.l = h.l)"""
+    filtered_recall = f"""
+        SELECT (SELECT count(DISTINCT q) FROM match) AS queries, count(*) AS hits,
+               round(count(*) / ({K} * (SELECT count(DISTINCT q) FROM match)), 6) AS recall
+        FROM ({_top("match")}) t JOIN ({{found}}) f ON f.q = t.q AND f.id = t.id"""
+    hybrid_top = _top(
+        "(SELECT w.q, w.id, w.dist FROM walk_rows w JOIN qs ON qs.q = w.q"
+        " JOIN base b ON b.id = w.id WHERE b.a1 = qs.a1)")
     pq = (_TABLES, _PAIRS, _GRAPH, _MEAN, _BOOK, _codes(), _LUT, _PQ_PAIRS)
     pq_walk = _walk(
         "walk",
@@ -304,6 +327,11 @@ found AS MATERIALIZED (
             *search, _walk("walk", _SEED, "edges", WIDE_L, W, T), recursive=True, select=_top(
                 "(SELECT w.q, w.id, w.dist FROM walk_rows w JOIN qs ON qs.q = w.q"
                 " JOIN base b ON b.id = w.id WHERE b.a1 = qs.a1)")),
+        "post_filter_widened": _with(*search, match, *widened, settled, recursive=True, select=_top("settled")),
+        "post_filter_recall": _with(*search, match, *widened, settled, recursive=True,
+                                    select=filtered_recall.format(found=_top("settled"))),
+        "hybrid_recall": _with(*search, match, hop2, hybrid, recursive=True,
+                               select=filtered_recall.format(found=hybrid_top)),
         "recall_at_k": _with(*search, _EXACT, wide, recursive=True, select=f"""
             SELECT (SELECT count(*) FROM qs) AS queries, count(*) AS hits,
                    round(count(*) / ({K} * (SELECT count(*) FROM qs)), 6) AS recall

@@ -339,7 +339,29 @@ def hybrid_search(d):
 @_query
 def post_filter_search(d):
     return _rounded(beam.post_filter_search(
-        d.base, d.graph, d.queries, d.entry, WIDE_L, K, w=W, t=T))
+        d.base, d.graph, d.queries, d.entry, WIDE_L, K, w=W, t=T, widen=False))
+
+
+def _widened(d):
+    return beam.post_filter_search(d.base, d.graph, d.queries, d.entry, WIDE_L, K, w=W, t=T)
+
+
+@_query
+def post_filter_widened(d):
+    """Post-filter search with longer lists for the queries that have too few hits."""
+    return _rounded(_widened(d))
+
+
+@_query
+def post_filter_recall(d):
+    truth = knn.filtered_knn(d.base, d.queries, K)
+    return _rounded(evaluate.recall(_widened(d), truth, K), "recall")
+
+
+@_query
+def hybrid_recall(d):
+    truth = knn.filtered_knn(d.base, d.queries, K)
+    return _rounded(evaluate.recall(beam.hybrid_search(d.base, d.graph, d.queries, d.entry, L, K), truth, K), "recall")
 
 
 @_query

@@ -174,6 +174,16 @@ def test_post_filter(tables_, skewed):
     assert got == brute(x, q, 4, a1, qa)
 
 
+def test_post_filter_widens_until_k_are_found(tables_, skewed):
+    base, queries, g = tables_
+    x, a1, q, qa = skewed
+    got = found(beam.post_filter_search(base, g, queries, 0, 60, 4, w=60, t=2))
+    want = brute(x, q, 4, a1, qa)
+    assert {r[:2] for r in got} == {r[:2] for r in want}
+    once = found(beam.post_filter_search(base, g, queries, 0, 60, 4, w=60, t=2, widen=False))
+    assert len(once) < len(want)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_awkward_graphs(spark, small):
     x = RNG.normal(size=(5, 4)).astype("f4")
