@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, lm, packing, pii, simhash_dedup, warc
+from . import alignment, chat, decontaminate, fingerprint, langid, lm, packing, pii, simhash_dedup, spelling, warc
 from . import quality as quality_filter
 from . import token_counts as counting
 
@@ -94,12 +94,29 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 7 <> 2")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent spellings that they are variants of."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the held-out third."""
+    return langid.identify(_table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 3 = 1")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of a byte-level vocabulary and of a piece vocabulary meet in every document."""
+    return alignment.aligned(
+        _table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"),
+        tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def registered() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def statements() -> dict[str, str]:
-    return {"op6_warc_fixity": OP6}
+    return {"op6_warc_fixity": OP6, "op11_spelling": OP11}
 
 
 OP6 = """
@@ -122,3 +139,43 @@ SELECT file, start_at AS "offset", CASE WHEN other IS NULL THEN 'missing' ELSE '
        CAST(n AS BIGINT) AS length_a, CAST(coalesce(strlen(other), 0) AS BIGINT) AS length_b, sha256(payload) AS digest_a, coalesce(sha256(other), '') AS digest_b
 FROM b
 """
+
+OP11 = r"""
+WITH RECURSIVE crc AS (  -- checksum of each byte, by the polynomial
+  SELECT list(c ORDER BY n) AS of_byte FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) t(n))
+), runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+    FROM documents)
+  WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(range(1, length(hex) + 1, 2), lambda i: CAST('0x' || substr(hex, i, 2) AS BIGINT))),
+      lambda c, b: xor(c >> 8, of_byte[xor(c & 255, b) + 1]))) AS h
+  FROM (SELECT run, times, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS hex FROM runs), crc
+), counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed
+), w AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM counted WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), less AS (  -- each word without each of its letters
+  SELECT word, n, length(word) AS size, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.size = b.size AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN w b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS top, min(other) FILTER (n = most) AS form
+  FROM (SELECT *, max(n) OVER (PARTITION BY word) AS most FROM near) GROUP BY word
+), v AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * w.n THEN form END AS form, CASE WHEN top >= 5 * w.n THEN top END AS form_n
+  FROM w LEFT JOIN best USING (word)
+), up AS (
+  SELECT word, word AS at FROM v
+  UNION ALL SELECT up.word, v.form FROM up JOIN v ON up.at = v.word WHERE v.form IS NOT NULL
+)
+SELECT v.word, v.form, up.at AS root, v.n, v.n_near, v.form_n
+FROM v JOIN up USING (word) JOIN v AS ends ON up.at = ends.word WHERE ends.form IS NULL
+"""
