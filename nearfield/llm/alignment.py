@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,31 +106,48 @@ class Aligner:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.a = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         b = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.b = lambda text: b.encode(text, num_threads=1)
+        self.b = lambda texts: b.encode(texts, num_threads=1)
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if b.is_byte(n) else p.replace("▁", " ").encode()
             for n, p in ((n, b.id_to_piece(n)) for n in range(b.get_piece_size()))]
-
-    def align(self, unit: str) -> tuple[int, int, list[tuple[int, int]], str] | None:
-        """Numbers of tokens, pairs (a, b) that end together, and the groups as text, of a space and
-        ``unit``; None if the tokens' bytes are not those of the unit."""
-        whole = f" {unit}"
-        a, b = self.a(whole), self.b(unit)
-        left, right = [self.a_bytes[n] for n in a], [self.b_bytes[n] for n in b]
-        if not b"".join(left) == b"".join(right) == whole.encode():
-            return None
-        links, groups, i, at_a, at_b = [], [], 0, 0, 0
-        from_a = from_b = 0
-        for j, part in enumerate(right):
-            at_b += len(part)
-            while at_a < at_b:
-                at_a += len(left[i])
-                i += 1
-            if at_a == at_b:
-                links.append((a[i - 1], b[j]))
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j + 1]))}")
-                from_a, from_b = i, j + 1
-        return len(a), len(b), links, ";".join(groups)
+        top = max(self.a_bytes) + 1
+        self.a_size, self.b_size = np.zeros(top, np.int64), np.array([len(p) for p in self.b_bytes])
+        for n, entry in self.a_bytes.items():
+            self.a_size[n] = len(entry)
+        self.b_from = 2 * top
+        self.labels = pa.array([f"{n}{sign}" for n in range(top) for sign in ",|"] + [f"{n}{sign}" for n in range(len(self.b_bytes)) for sign in ",;"])
+
+    def align(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Aligns a space and each unit: numbers of A tokens, B tokens and groups per unit; whether the
+        tokens' bytes are the unit's; pairs (a, b) that end together, unit by unit; and each unit's groups
+        as text, with a semicolon behind every group. A unit that is spelled otherwise has no tokens."""
+        spelled = [f" {u}".encode() for u in units]
+        left, right = [self.a(f" {u}") for u in units], self.b(units)
+        good = np.ones(len(units), bool)
+        whole = b"".join(spelled)
+        for side, table in ((left, self.a_bytes), (right, self.b_bytes)):
+            joined = b"".join([table[n] for ids in side for n in ids])
+            sizes = [sum([len(table[n]) for n in ids]) for ids in side] if joined != whole else None
+            if sizes is not None:
+                at = 0
+                for k, size in enumerate(sizes):
+                    good[k] &= joined[at: at + size] == spelled[k]
+                    at += size
+        if not good.all():
+            left, right = ([ids if ok else [] for ids, ok in zip(side, good, strict=True)] for side in (left, right))
+        n_a, n_b = (np.array([len(ids) for ids in side], np.int64) for side in (left, right))
+        a, b = (np.array([n for ids in side for n in ids], np.int64) for side in (left, right))
+        # Every unit has the same bytes on both sides, so one running offset serves all.
+        _, last_a, last_b = np.intersect1d(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), assume_unique=True, return_indices=True)
+        groups = np.bincount(np.repeat(np.arange(len(units)), n_a)[last_a], minlength=len(units))
+        # In the text the A ids of a group come first, then its B ids, each with the sign that follows it.
+        group_a, group_b = (np.searchsorted(last, np.arange(len(x))) for last, x in ((last_a, a), (last_b, b)))
+        text = np.empty(len(a) + len(b), np.int64)
+        text[np.arange(len(a)) + np.append(0, last_b + 1)[group_a]] = a * 2 + (np.arange(len(a)) == last_a[group_a])
+        text[np.arange(len(b)) + last_a[group_b] + 1] = self.b_from + b * 2 + (np.arange(len(b)) == last_b[group_b])
+        bounds = pa.array(np.cumsum(np.append(0, n_a + n_b)), pa.int32())
+        named = pc.binary_join(pa.ListArray.from_arrays(bounds, self.labels.take(pa.array(text))), "").to_pylist()
+        return np.stack([n_a, n_b, groups], 1), good, np.stack([a[last_a], b[last_b]], 1), named
 
 
 def _spill(aligner: Aligner, block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -138,13 +156,10 @@ def _spill(aligner: Aligner, block: int, rows: pa.Table) -> Iterator[pa.RecordBa
     ids = []
     for text in (t for chunk in rows.column("text").chunks for t in chunk.to_pylist()):
         ids.append(np.array([index.setdefault(u, len(index)) for u in aligner.cut.split(text)] if text else [], np.int64))
-    found = [aligner.align(u) for u in index]
+    sizes, good, links, named = aligner.align(list(index))
     index.clear()
-    bad = np.array([x is None for x in found], bool)
-    sizes = np.array([(0, 0, 0) if x is None else (x[0], x[1], len(x[2])) for x in found], np.int64).reshape(-1, 3)
-    named = [x and x[3] for x in found]
-    ids = [i[:0] if bad[i].any() else i for i in ids]
-    sha = [hashlib.sha256(";".join([named[k] for k in i.tolist()]).encode()).hexdigest() if len(i) else "" for i in ids]
+    ids = [i if good[i].all() else i[:0] for i in ids]
+    sha = [hashlib.sha256("".join([named[k] for k in i.tolist()])[:-1].encode()).hexdigest() if len(i) else "" for i in ids]
     per_doc = np.array([sizes[i].sum(0) for i in ids], np.int64).reshape(-1, 3)
     counts = np.array([len(i) for i in ids], np.int64)
     empty = lambda kind: pa.nulls(len(ids), kind)
@@ -153,9 +168,8 @@ def _spill(aligner: Aligner, block: int, rows: pa.Table) -> Iterator[pa.RecordBa
         pa.array(np.arange(len(ids), dtype=np.int32)), rows.column("doc_id").combine_chunks(),
         *[pa.array(per_doc[:, k]) for k in (0, 1, 2, 2)], pa.array(sha, pa.string())], names=[c.split()[0] for c in _RUNS.split(", ")])
 
-    per_pair, step, freq = blocks.frequencies(np.concatenate([*ids, np.zeros(0, np.int64)]), counts, len(found))
+    per_pair, step, freq = blocks.frequencies(np.concatenate([*ids, np.zeros(0, np.int64)]), counts, len(sizes))
     doc, unit = blocks.tokens_from_steps(per_pair, step)
-    links = np.array([link for x in found if x for link in x[2]], np.int64).reshape(-1, 2)
     if not len(links):
         return
     radix = links[:, 1] % RADIXES
