@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import blocks
 from .common import bucket_count, documents, pack, text_bytes, unpack, written_buckets
 
+#: Text per block, whose distinct pre-tokens are held as Python strings.
+BLOCK_BYTES = 4 << 20
 #: Text per bucket of the block table and per partition of the join.
 BUCKET_BYTES = 24 << 20
 
@@ -79,19 +81,17 @@ def piece_counter(path: str):
 def _split_blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(path)
-        for block, rows in blocks.runs(batches):
-            counts, special, chunks, held = [], [], [], []
-            for text in (t for c in rows.column("text").chunks for t in c.to_pylist()):
+        for block, rows in blocks.runs(batches, BLOCK_BYTES):
+            index: dict[str, int] = {}
+            ids, special = [], []
+            for text in (t.as_py() for c in rows.column("text").chunks for t in c):
                 tokens, found = split(text)
-                counts.append(len(tokens))
+                ids.append(np.array([index.setdefault(t, len(index)) for t in tokens], np.int32))
                 special.append(found)
-                held += tokens
-                if len(held) > 50_000:
-                    chunks.append(pa.array(held, pa.string()))
-                    held = []
-            chunks.append(pa.array(held, pa.string()))
-            ids, tokens = blocks.encode(pa.chunked_array(chunks, pa.string()))
-            per_doc, step, freq = blocks.frequencies(ids, np.array(counts), len(tokens))
+            tokens = pa.array(list(index), pa.string())
+            per_doc, step, freq = blocks.frequencies(
+                np.concatenate([*ids, np.zeros(0, np.int64)]), np.array([len(i) for i in ids]), len(tokens))
+            del ids, index
             yield blocks.one_row(
                 block=block, doc_id=rows.column("doc_id"), n_bytes=rows.column("n_bytes"), special=np.array(special, np.int64),
                 per_doc=pack(per_doc), step=pack(step), freq=pack(freq), tokens=tokens)
