@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import MB, shared_dir, written
 
-__all__ = ["MB", "bucket_count", "documents", "pack", "row_key", "text_bytes", "unpack", "written", "written_buckets"]
+__all__ = ["MB", "bucket_count", "documents", "pack", "row_key", "text_bytes", "unpack", "unused", "written", "written_buckets"]
 
 
 def documents(df: DataFrame, *extra: Column | str) -> DataFrame:
@@ -26,6 +26,14 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts; sizes shards and buckets, never decides a result."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -20,16 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import bucket_count, documents, pack, row_key, text_bytes, unpack, written, written_buckets
+from .common import bucket_count, documents, pack, row_key, text_bytes, unpack, unused, written, written_buckets
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
 GAPS = (".", " ", "=")
 BUCKET_BYTES = 24 << 20
+#: Text per block, whose distinct units are held as symbols.
+BLOCK_BYTES = 6 << 20
+#: Answers are sent as whole steps of this size of a log10 probability.
+STEP = 1e-7
 
 _BLOCK = (
     "block long, doc_id array<long>, lang array<string>, row_key array<long>, per_doc binary, step binary, freq binary, "
-    "units array<string>, grams array<string>"
+    "units array<string>"
 )
 
 
@@ -49,28 +53,54 @@ def units_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def grams_of(units: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """N-grams that predict each symbol of each unit: owner unit and gram number, and the distinct grams."""
-    chunks, owner, held = [], [], []
-    for n, unit in enumerate(units.to_pylist()):
-        s = BEGIN + unit + END
-        held += [s[max(0, i - ORDER): i] for i in range(2, len(s) + 1)]
-        owner.append(len(s) - 1)
-        if len(held) > 50_000:
-            chunks.append(pa.array(held, pa.string()))
-            held = []
-    chunks.append(pa.array(held, pa.string()))
-    ids, grams = blocks.encode(pa.chunked_array(chunks, pa.string()))
-    return np.repeat(np.arange(len(units)), np.array(owner, np.int64)), ids, grams
+    """N-grams that predict each symbol of each unit: owner unit and gram number, and the distinct grams.
+
+    Grams are numbered in an order that depends on the units alone.
+    """
+    framed = [BEGIN + unit + END for unit in units.to_pylist()]
+    whole = "".join(framed)
+    sizes = np.array([len(s) for s in framed], np.int64)
+    symbols, codes = np.unique(np.frombuffer(whole.encode("utf-32-le"), "<u4"), return_inverse=True)
+    del framed
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    packed = codes.astype(np.int64) + 1  # of the last symbol; zero stands before a unit's first
+    base = len(symbols) + 1
+    power = 1
+    for back in range(1, ORDER):
+        power *= base
+        if power > 2**62 // base:  # many symbols: number the shorter grams first
+            distinct, packed = np.unique(packed, return_inverse=True)
+            power = len(distinct)
+        earlier = np.zeros(len(codes), np.int64)
+        earlier[back:] = codes[: len(codes) - back] + 1
+        packed = packed + power * np.where(place >= back, earlier, 0)
+    asked = np.flatnonzero(place > 0)
+    _, first, ids = np.unique(packed[asked], return_index=True, return_inverse=True)
+    ends = asked[first]
+    starts = ends - np.minimum(place[ends], ORDER - 1)
+    grams = [whole[i: j + 1] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return owner[asked], ids, pa.array(grams, pa.string())
 
 
 def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, rows in blocks.runs(batches):
+    for block, rows in blocks.runs(batches, BLOCK_BYTES):
         local, units, counts = units_of(rows.column("text"))
         per_doc, step, freq = blocks.frequencies(local, counts, len(units))
-        _, _, grams = grams_of(units)
         yield blocks.one_row(
             block=block, doc_id=rows.column("doc_id"), lang=rows.column("lang"), row_key=rows.column("row_key"),
-            per_doc=pack(per_doc), step=pack(step), freq=pack(freq), units=units, grams=grams)
+            per_doc=pack(per_doc), step=pack(step), freq=pack(freq), units=units)
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct grams of each block with their numbers."""
+    for batch in batches:
+        for row in range(len(batch)):
+            grams = grams_of(batch.column("units")[row].values)[2]
+            size = len(grams)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, batch.column("block")[row].as_py())), pa.array(np.arange(size, dtype=np.int32)), grams],
+                names=["block", "pos", "gram"])
 
 
 def _count_trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +127,8 @@ def _score_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             unit_of, gram, grams = grams_of(units)
             logp = np.zeros(len(grams))
             if get("answers").is_valid:
-                answer = get("answers").values
-                logp[answer.field("pos").to_numpy()] = answer.field("logp").to_numpy()
+                answer = get("answers").values.to_numpy()
+                logp[answer >> 32] = -STEP * (answer & 0xFFFFFFFF)
             per_unit = np.bincount(unit_of, logp[gram], len(units))
             symbols = np.bincount(unit_of, minlength=len(units))
             owner, unit = blocks.tokens_from_steps(unpack(get("per_doc").as_py()), unpack(get("step").as_py()))
@@ -130,10 +160,12 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     adjusted = written(adjusted.select(
         "gram", "n", size.alias("k"), F.expr("substring(gram, 1, length(gram) - 1)").alias("context")), "gram_levels")
     seen = adjusted.groupBy("k").agg(*[F.sum(F.when(F.col("n") == i, 1).otherwise(0)).alias(f"n{i}") for i in (1, 2, 3, 4)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    # Without grams of a count the estimate is undefined, and half the count is taken off.
+    estimate = lambda i: i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
     cut = seen.select("k", *[
-        F.coalesce(F.least(F.greatest(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.1 * i)), F.lit(0.9 * i)),
-                   F.lit(0.5 * i)).alias(f"d{i}") for i in (1, 2, 3)])
+        F.when(estimate(i).isNull(), 0.5 * i).otherwise(F.least(F.greatest(estimate(i), F.lit(0.1 * i)), F.lit(0.9 * i))).alias(f"d{i}")
+        for i in (1, 2, 3)])
     rows = adjusted.join(F.broadcast(cut), "k")  # ORDER rows
     discount = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = rows.withColumn("d", discount)
@@ -181,14 +213,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         .join(trusted.select("doc_id").distinct(), "doc_id", "left_semi")
         .groupBy("block").agg(F.collect_list("pos").alias("trusted"))
     )
-    counts = table.drop("doc_id", "lang", "row_key", "grams").join(marks, "block").mapInArrow(_count_trusted, "gram string, n long")
-    asked = table.select("block", F.posexplode("grams").alias("pos", "gram")).repartition(buckets, "gram")
+    counts = table.drop("doc_id", "lang", "row_key").join(marks, "block").mapInArrow(_count_trusted, "gram string, n long")
+    asked = table.select("block", "units").mapInArrow(_ask, "block long, pos int, gram string").repartition(buckets, "gram")
     known = probabilities(asked.groupBy("gram").agg(F.lit(1).alias("_")).drop("_"), counts)
-    answers = (
-        asked.join(known, "gram").groupBy("block")
-        .agg(F.collect_list(F.struct("pos", F.log10("p").cast("float").alias("logp"))).alias("answers"))
-    )
-    scored = table.drop("grams").join(answers, "block", "left").mapInArrow(
+    coded = F.shiftleft(F.col("pos").cast("long"), 32) + F.round(-F.log10("p") / STEP).cast("long")
+    answers = asked.join(known, "gram").groupBy("block").agg(F.collect_list(coded).alias("answers"))
+    scored = table.join(answers, "block", "left").mapInArrow(
         _score_blocks, "doc_id long, lang string, row_key long, logp double, n_symbols long")
     return scored.select("doc_id", "lang", "row_key", "n_symbols",
                          F.pow(F.lit(10.0), F.try_divide(-F.col("logp"), F.col("n_symbols"))).alias("perplexity"))
@@ -230,5 +260,6 @@ def quality(docs: DataFrame, labels: DataFrame, tail: float = 0.01, fence: float
 
 def kept(docs: DataFrame, labels: DataFrame, **options: float) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``quality`` keeps."""
-    good = quality(docs, labels, **options).where("keep").select(F.col("row_key").alias("good_key")).distinct()
-    return docs.join(good, row_key() == F.col("good_key"), "left_semi")
+    key = unused(docs, "good_key")
+    good = quality(docs, labels, **options).where("keep").select(F.col("row_key").alias(key)).distinct()
+    return docs.join(good, row_key() == F.col(key), "left_semi")
