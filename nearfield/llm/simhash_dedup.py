@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, written
+from .common import documents, row_key, unused, written
 from .components import components
 
 BITS = 64
@@ -381,8 +381,9 @@ def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, ra
     single = keyed.join(several, "root", "left_anti").select("doc_id", "row_key")
     chosen = left.select("root", "rank").join(_copies(left, similarity), ["root", "rank"], "left_anti")
     single = single.unionByName(chosen.select("rank.doc_id", "rank.row_key"))
-    staying = single.select(F.col("doc_id").alias("chosen_id"), F.col("row_key").alias("chosen_key"))
+    own_id, own_key = unused(docs, "chosen_id"), unused(docs, "chosen_key")
+    staying = single.select(F.col("doc_id").alias(own_id), F.col("row_key").alias(own_key))
     return (
-        docs.join(staying, row_key() == F.col("chosen_key")).where(F.col("doc_id").eqNullSafe(F.col("chosen_id")))
-        .dropDuplicates(["chosen_key"]).select(*[docs[c] for c in docs.columns])
+        docs.join(staying, row_key() == F.col(own_key)).where(F.col("doc_id").eqNullSafe(F.col(own_id)))
+        .dropDuplicates([own_key]).select(*docs.columns)
     )

@@ -351,3 +351,119 @@ def test_pipeline(spark):
     assert ids == {r.doc_id for r in data.select("doc_id").collect()} and 0 < len(ids) < docs.count()
     leaks = {r.doc_id for r in decontaminate.contained(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert not ids & leaks
+
+
+def test_columns_named_like_the_helpers(spark):
+    """Stages keep every column, also those whose names they use inside."""
+    names = ["good_key", "leak_id", "leak_hash", "chosen_id", "chosen_key", "row_key", "doc_key", "item_key", "root", "fp", "w", "h"]
+    df = spark.createDataFrame([(i, t, g, *[7] * len(names)) for i, t, g in ODD], "doc_id long, text string, lang string, " + ", ".join(f"{c} long" for c in names))
+    labels = spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "Quick, brown")], "item_id long, text string")
+    for got in (quality.kept(df, labels), decontaminate.clean(df, items), simhash_dedup.representatives(df), pii.pseudonymise(df, b"k")):
+        assert got.columns == df.columns and all(r.good_key == 7 for r in got.collect())
+
+
+def test_items_that_share_an_id_are_separate(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta"), (None, "alpha"), (None, "alpha")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "alpha"), (5, "beta"), (5, "beta"), (None, "gamma"), (6, "delta"), (7, None)], "item_id long, text string")
+    got = rows(decontaminate.contained(docs, items).select("doc_id", "item_id", "shared", "n_shingles", "containment"))
+    assert sorted(got, key=str) == sorted([(1, 5, 1, 1, 1.0), (1, 5, 1, 1, 1.0), (1, None, 1, 1, 1.0), (2, 5, 1, 1, 1.0), (None, 5, 1, 1, 1.0)], key=str)
+
+
+def test_decontamination_goes_through_the_sketch(spark, monkeypatch):
+    """Without sketch rows there are no candidates, however much a document shares."""
+    whole = decontaminate.item_shingles
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven eight")], "doc_id long, text string")
+    assert decontaminate.contained(docs, items).count() == 1
+    monkeypatch.setattr(decontaminate, "item_shingles", lambda *a: whole(*a).withColumn("sketch", F.lit(False)))
+    assert decontaminate.contained(docs, items).count() == 0
+
+
+def plain_probabilities(counts):
+    """Interpolated modified Kneser-Ney over symbol n-grams, by the definition."""
+    levels = [{g: n for g, n in counts.items() if len(g) == quality.ORDER}]
+    for k in range(quality.ORDER - 1, 0, -1):
+        lower = Counter(g[1:] for g in levels[-1])
+        if k > 1:
+            lower.update({g: n for g, n in counts.items() if len(g) == k})
+        levels.append(dict(lower))
+    model = {}
+    for level in levels:
+        k = len(next(iter(level)))
+        seen = Counter(level.values())
+        y = seen[1] / (seen[1] + 2 * seen[2]) if seen[1] + seen[2] else None
+        cut = {i: 0.5 * i if y is None or not seen[i] else min(max(i - (i + 1) * y * seen[i + 1] / seen[i], 0.1 * i), 0.9 * i) for i in (1, 2, 3)}
+        total, off = Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            off[g[:-1]] += cut[min(n, 3)]
+        model[k] = (level, total, off, cut)
+    floor = 1 / (len(levels[-1]) + 1)
+
+    def p(g):
+        if not g:
+            return floor
+        level, total, off, cut = model[len(g)]
+        n, all_of = level.get(g, 0), total[g[:-1]]
+        share = (n - cut[min(n, 3)]) / all_of if n else 0.0
+        return share + (off[g[:-1]] / all_of if all_of else 1.0) * p(g[1:])
+
+    return p
+
+
+def plain_units(text):
+    out, last = [], None
+    for n, word in enumerate((text or "").split()):
+        gap = "." if n == 0 else "=" if word == last else "." if last[-1] in ".!?:" else " "
+        out.append(gap + word)
+        last = word
+    return out
+
+
+def plain_grams(unit):
+    s = quality.BEGIN + unit + quality.END
+    return [s[max(0, i - quality.ORDER): i] for i in range(2, len(s) + 1)]
+
+
+def plain_perplexities(data, trusted):
+    counts = Counter(g for i, t in data if i in trusted for u in plain_units(t) for g in plain_grams(u))
+    p = plain_probabilities(counts)
+    out = {}
+    for i, t in data:
+        grams = [g for u in plain_units(t) for g in plain_grams(u)]
+        out[i] = 10 ** (-sum(math.log10(p(g)) for g in grams) / len(grams)) if grams else None
+    return out
+
+
+def test_perplexities_against_plain_python(spark, docs):
+    data = [(r.doc_id, r.text) for r in docs.collect() if all(c not in (r.text or "") for c in "\x1c\x1d\x1e\x1f\x85\xa0")]
+    trusted = {i for i, _ in data if i % 3 == 0}
+    want = plain_perplexities(data, trusted)
+    df = docs.where(F.col("doc_id").isin([i for i, _ in data]))
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-5) if want[i] else got[i] is None for i in want)
+
+
+def test_quality_without_rare_counts(spark):
+    """Copies of one trusted text leave count classes empty; the discounts are still defined."""
+    text = "aaaa bbbb abab baba aaaa bbbb"
+    data = [(i, text) for i in range(1, 7)] + [(9, "zz aa")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in data], "doc_id long, text string, lang string")
+    want = plain_perplexities(data, set(range(1, 7)))
+    got = {r.doc_id: r.perplexity for r in quality.perplexities(df, spark.createDataFrame([(i,) for i in range(1, 7)], "doc_id long")).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
+    assert quality.quality(df, spark.createDataFrame([(i, 1) for i in range(1, 7)], "doc_id long, quality int")).count() == 7
+
+
+def test_grams_of_many_symbols():
+    """More symbols than five of them fit in a number are numbered step by step, with the same grams."""
+    import pyarrow as pa
+
+    for units in ([".ab", " abc", "=x"], ["." + "".join(map(chr, range(0x4E00, 0x4E00 + 9000))), " aa"], []):
+        owner, ids, grams = quality.grams_of(pa.array(units, pa.string()))
+        got = [[] for _ in units]
+        for o, i in zip(owner.tolist(), ids.tolist(), strict=True):
+            got[o].append(grams[i].as_py())
+        assert got == [plain_grams(u) for u in units] and len(set(grams.to_pylist())) == len(grams)
