@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2_sql, register_l2
-from ..session import BROADCAST_LIMIT, checkpoint, fits_broadcast, partitions_for, written
+from ..session import BROADCAST_LIMIT, bucketed, checkpoint, fits_broadcast, partitions_for, written
 from .graph import is_edges, knn_graph, medoid
-from .knn import rank_nearest
+from .knn import filtered_knn, rank_nearest
 
 STATE = ["q", "id", "dist", "seen", "ok", "steps", "visited"]
 #: Bytes of one state row in a shuffle, for partition counts.
@@ -337,23 +337,52 @@ def build_index(base: DataFrame, r: int, **kw) -> tuple[DataFrame, int]:
 
 
 def hybrid_search(
-    base, graph, queries, entry, l, k, on="a1", include_one_hop=False, w=1, t=1, **kw
+    base, graph, queries, entry, l, k, on="a1", include_one_hop=False, w=1, t=1, fill=True, **kw
 ) -> DataFrame:
     """Attribute-filtered search that looks two hops ahead, so that matching vertices stay
-    connected through non-matching ones."""
+    connected through non-matching ones.
+
+    Matching vertices that lie further apart than that leave some queries with fewer than k although
+    more rows match. Those queries are answered exactly from the rows of their attribute value;
+    with ``fill=False`` they keep what the walk found."""
     beam = Beam(l, w, t, hops=2, include_one_hop=include_one_hop, on=on)
-    return topk(search(base, graph, queries, entry, beam, **kw), k)
+    hits = topk(search(base, graph, queries, entry, beam, **kw), k)
+    if not fill:
+        return hits
+    hits = written(hits, "hits")
+    short = written(_short(queries, hits, _due(base, k, on), on), "short")
+    return hits.join(short.select("q"), "q", "left_anti").unionByName(_exactly(base, short, k, on))
+
+
+def _due(base: DataFrame, k: int, on: str) -> DataFrame:
+    """``(value, due)``: how many of k rows each attribute value has."""
+    return written(base.where("data IS NOT NULL").groupBy(on).agg(F.least(F.count("*"), F.lit(k)).alias("due")), "due")
+
+
+def _short(queries: DataFrame, hits: DataFrame, due: DataFrame, on: str) -> DataFrame:
+    """The queries with fewer hits than are due to them."""
+    got = hits.groupBy("q").agg(F.count("*").alias("got"))
+    rows = queries.where("qv IS NOT NULL")
+    return rows.join(due, on).join(got, "q", "left").where(F.coalesce("got", F.lit(0)) < F.col("due")).select(queries.columns)
+
+
+def _exactly(base: DataFrame, queries: DataFrame, k: int, on: str) -> DataFrame:
+    if queries.isEmpty():
+        return queries.sparkSession.createDataFrame([], "q long, rank int, id long, dist double")
+    return filtered_knn(base, queries, k, on)
 
 
 def post_filter_search(
-    base, graph, queries, entry, l, k, on="a1", w=4, t=10, widen=True, **kw
+    base, graph, queries, entry, l, k, on="a1", w=4, t=10, widen=True, most=None, **kw
 ) -> DataFrame:
     """Unfiltered wide beam first, then the filter on what it found.
 
     Queries left with fewer than k, while more rows share their attribute, search again with twice
-    the list, until it is long enough or holds all that can be reached. With ``widen=False`` there
-    is one search, which may return fewer than k."""
-    matching = base.where("data IS NOT NULL").groupBy(on).agg(F.least(F.count("*"), F.lit(k)).alias("due"))
+    the list (and twice the width), until it holds all that can be reached or would exceed ``most``
+    (four times ``l`` by default): what is then still short is answered exactly from the rows of its
+    attribute value. With ``widen=False`` there is one search, which may return fewer than k."""
+    due = _due(base, k, on) if widen else None
+    most = most or 4 * l
     parts = None
     while True:
         found = written(search(base, graph, queries, entry, Beam(l, w, t), **kw).select("q", "id", "dist"), "found")
@@ -364,15 +393,29 @@ def post_filter_search(
         if not widen:
             return rank_nearest(hits, k)
         hits = written(hits, "hits")
-        full = found.groupBy("q").agg(F.count("*").alias("listed")).where(F.col("listed") >= l)
-        short = (
-            queries.join(full, "q").join(matching, on)
-            .join(hits.groupBy("q").agg(F.count("*").alias("got")), "q", "left")
-            .where(F.coalesce("got", F.lit(0)) < F.col("due")).select(queries.columns)
-        )
-        queries = written(short, "short")
+        queries = written(_short(queries, hits, due, on), "short")
         settled = hits.join(queries.select("q"), "q", "left_anti")
         parts = settled if parts is None else parts.unionByName(settled)
-        if queries.isEmpty():
-            return rank_nearest(parts, k)
-        l *= 2
+        l, w = 2 * l, 2 * w
+        if l > most or queries.isEmpty():
+            return rank_nearest(parts, k).unionByName(_exactly(base, queries, k, on))
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Base and graph written by ``store``."""
+
+    base: DataFrame
+    graph: DataFrame
+
+
+def store(base: DataFrame, graph: DataFrame, name: str, buckets: int) -> Stored:
+    """Write base and graph hashed into ``buckets`` by id and sorted by id, for searches of large tables.
+
+    Every step then joins them where they lie: only the ids and pairs of the step move."""
+    return Stored(bucketed(base, f"{name}_base", buckets), bucketed(graph, f"{name}_graph", buckets))
+
+
+def drop_stored(spark, name: str) -> None:
+    for table in (f"{name}_base", f"{name}_graph"):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import l2_arrow, mean_vector
 from ..session import written
-from . import codebook
-from .knn import exact_knn, nearest_to
+from . import cells
+from .knn import exact_knn, knn_within, nearest_to
 
 
 def is_edges(graph: DataFrame) -> bool:
@@ -40,65 +40,82 @@ def knn_edges(base: DataFrame, r: int, on: str | None = None, **kw) -> DataFrame
 
 
 def nearest_edges(edges: DataFrame, r: int) -> DataFrame:
-    """Degree cap: the r nearest edges of every vertex (id, rank, neighbor, dist). The limit
-    applies map-side first, so a vertex that a third of all rows point at costs r rows per task."""
+    """Degree cap: the r nearest edges of every vertex (id, rank, neighbor, dist, and what else an edge
+    has). The limit applies map-side first, so a vertex that a third of all rows point at costs r rows
+    per task."""
     place = F.row_number().over(Window.partitionBy("id").orderBy("dist", "neighbor"))
+    more = [c for c in edges.columns if c not in ("id", "rank", "neighbor", "dist")]
     return (
         edges.withColumn("rank", place).where(F.col("rank") <= r)
-        .select("id", "rank", "neighbor", "dist")
+        .select("id", "rank", "neighbor", "dist", *more)
     )
 
 
 def with_reverse(edges: DataFrame, cap: int) -> DataFrame:
-    """Add every edge's reverse, then cap the degree."""
-    back = edges.select(F.col("neighbor").alias("id"), F.col("id").alias("neighbor"), "dist")
-    both = edges.select("id", "neighbor", "dist").unionByName(back)
-    unique = both.groupBy("id", "neighbor").agg(F.min("dist").alias("dist"))
+    """Add every edge's reverse, then cap the degree. An edge is ``fresh`` if either direction is."""
+    fresh = ["fresh"] if "fresh" in edges.columns else []
+    back = edges.select(F.col("neighbor").alias("id"), F.col("id").alias("neighbor"), "dist", *fresh)
+    both = edges.select("id", "neighbor", "dist", *fresh).unionByName(back)
+    unique = both.groupBy("id", "neighbor").agg(F.min("dist").alias("dist"), *[F.max(c).alias(c) for c in fresh])
     return nearest_edges(unique, cap)
 
 
 def cell_edges(
-    base: DataFrame, r: int, cells: int, block_rows: int = 20_000, seed: int = 0
+    base: DataFrame, r: int, cell_count: int, overlap: int = 4, block_rows: int = 20_000, seed: int = 0
 ) -> DataFrame:
-    """First guess of the neighbour graph with work linear in the rows: vectors are put into the
-    cell of their nearest sampled centroid, large cells are cut into blocks by a hash of the id,
-    and neighbours are exact within a block. Another seed draws other cells and blocks."""
-    dim = base.select(F.size("data")).first()[0]
-    book = codebook.initial_codebook(base, [0, dim], cells, salt=f"/{seed}")
-    placed = base.select("id", "data", F.col("data").alias("cell"))
-    placed = codebook.encode(placed, book, [0, dim], vec="cell")
-    placed = written(placed.withColumn("cell", F.col("cell")[0]), "cells")
+    """First guess of the neighbour graph with work linear in the rows: every vector is put into its
+    ``overlap`` nearest cells, so that cells overlap at their borders, and neighbours are exact within
+    a cell. Rows of a cell beyond ``block_rows`` (vectors that no centroids tell apart) are cut by a hash."""
+    index = cells.fit(base, cell_count, seed)
+    base = base.select("id", "data")
+    placed = written(cells.place(base, index, overlap, overlap), "cells")
     blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("n"))
     sub = F.pmod(F.xxhash64("id", F.lit(seed)), "n")
-    keyed = placed.join(blocks, "cell").select("id", "data", F.xxhash64("cell", sub).alias("block"))
-    return knn_edges(keyed, r, "block", broadcast_bytes=0)
+    placed = placed.join(blocks, "cell").select("id", F.xxhash64("cell", sub).alias("block"))
+    keyed = written(base.join(placed, "id"), "cells")
+    queries = keyed.select(F.col("id").alias("q"), F.col("data").alias("qv"), "block")
+    near = knn_within(keyed, queries, r + 1, "block").where("q <> id")
+    return nearest_edges(near.select(F.col("q").alias("id"), F.col("id").alias("neighbor"), "dist"), r)
 
 
-def linear_edges(base: DataFrame, r: int, cells: int, passes: int = 2, rounds: int = 2, **kw):
-    """Approximate r-nearest-neighbour edges: several cell passes, whose edges together lead out
-    of every block, then rounds of neighbour descent."""
-    edges = cell_edges(base, r, cells, **kw).drop("rank")
-    for seed in range(1, passes):
-        edges = edges.unionByName(cell_edges(base, r, cells, seed=seed, **kw).drop("rank"))
-    edges = written(nearest_edges(edges.distinct(), r), "edges")
+def linear_edges(
+    base: DataFrame, r: int, cell_count: int, rounds: int = 2, pool: int | None = None, reverse_cap: int | None = None, **kw
+) -> DataFrame:
+    """Approximate r-nearest-neighbour edges with exact distances: overlapping cells, then rounds of
+    neighbour descent over ``pool`` neighbours a vertex (3r by default) and ``reverse_cap`` links both
+    ways (pool + r by default), of which the r nearest remain."""
+    pool = max(r, pool or 3 * r)
+    reverse_cap = reverse_cap or pool + r
+    edges = written(cell_edges(base, pool, cell_count, **kw).drop("rank"), "edges")
     for _ in range(rounds):
-        edges = written(refine_edges(base, edges, r), "edges")
-    return edges
+        edges = written(refine_edges(base, edges, pool, reverse_cap), "edges")
+    return nearest_edges(edges.select("id", "neighbor", "dist"), r)
+
 
+def refine_edges(base: DataFrame, edges: DataFrame, r: int, reverse_cap: int | None = None) -> DataFrame:
+    """One round of neighbour descent: a vertex's neighbours' neighbours, along edges and reverse edges
+    (``reverse_cap`` links a vertex, 2r by default), compete for its r places.
 
-def refine_edges(base: DataFrame, edges: DataFrame, r: int) -> DataFrame:
-    """One round of neighbour descent: a vertex's neighbours' neighbours, along edges and capped
-    reverse edges, compete for its r places. At most (2r)^2 candidates per vertex."""
-    links = written(with_reverse(edges, 2 * r).select("id", "neighbor", "dist"), "links")
-    hop = links.select(F.col("id").alias("q"), F.col("neighbor").alias("id"))
-    reached = one_hop(hop, links.select("id", "neighbor")).where("q <> neighbor")
+    Two links that both were there in the round before have met already: only pairs with a ``fresh``
+    one are tried (all, if ``edges`` does not say). At most ``reverse_cap`` squared candidates per vertex.
+    """
+    if "fresh" not in edges.columns:
+        edges = edges.withColumn("fresh", F.lit(True))
+    links = written(with_reverse(edges, reverse_cap or 2 * r).select("id", "neighbor", "dist", "fresh"), "links")
+    first = links.select(F.col("id").alias("q"), F.col("neighbor").alias("id"), "fresh")
+    second = links.select("id", "neighbor", "fresh")
+    reached = (
+        first.where("fresh").drop("fresh").join(second.drop("fresh"), "id")
+        .unionByName(first.where("NOT fresh").drop("fresh").join(second.where("fresh").drop("fresh"), "id"))
+        .select("q", "neighbor").where("q <> neighbor").distinct()
+    )
     known = links.select(F.col("id").alias("q"), "neighbor")
-    fresh = reached.join(known, ["q", "neighbor"], "left_anti")
+    untried = reached.join(known, ["q", "neighbor"], "left_anti")
     left = base.select(F.col("id").alias("q"), F.col("data").alias("qv"))
     right = base.select(F.col("id").alias("neighbor"), "data")
-    scored = fresh.join(right, "neighbor").join(left, "q").select(
-        F.col("q").alias("id"), "neighbor", l2_arrow("data", "qv").alias("dist"))
-    return nearest_edges(links.unionByName(scored), r)
+    scored = untried.join(right, "neighbor").join(left, "q").select(
+        F.col("q").alias("id"), "neighbor", l2_arrow("data", "qv").alias("dist"), F.lit(True).alias("fresh"))
+    return nearest_edges(links.withColumn("fresh", F.lit(False)).unionByName(scored), r)
 
 
 def ring_edges(base: DataFrame) -> DataFrame:
@@ -109,19 +126,19 @@ def ring_edges(base: DataFrame) -> DataFrame:
 
 def knn_graph(
     base: DataFrame, r: int, ring: bool = True, reverse: bool = False,
-    cells: int | None = None, rounds: int = 2,
+    cells: int | None = None, rounds: int = 2, overlap: int = 4,
 ) -> DataFrame:
     """Adjacency table of the r-nearest-neighbour graph, plus the ring edges.
 
     Exact by default, which is rows x rows distances. For tables beyond about a million rows give
-    ``cells`` (about rows / 20,000): neighbours are then found cell by cell and improved in
-    ``rounds`` of neighbour descent, with work linear in the rows. ``reverse`` adds reverse edges
+    ``cells`` (about rows / 1,000): neighbours are then found cell by cell, a row lying in its
+    ``overlap`` nearest cells, and improved in ``rounds`` of neighbour descent, with work linear in the rows. ``reverse`` adds reverse edges
     and caps the degree at 2r.
     """
     if cells is None:
         edges = knn_edges(base, r)
     else:
-        edges = linear_edges(base, r, cells, rounds=rounds)
+        edges = linear_edges(base, r, cells, rounds=rounds, overlap=overlap)
     if reverse:
         edges = with_reverse(edges, 2 * r)
     edges = edges.select("id", "neighbor")

@@ -150,6 +150,15 @@ def exact_knn(
     return rank_nearest(scored, k)
 
 
+def knn_within(base: DataFrame, queries: DataFrame, k: int, on: str, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The k nearest rows among those that share a value of ``on`` with the query, where both sides may
+    have a row in several values: pairs that meet more than once count once."""
+    base, queries = base.where("data IS NOT NULL"), queries.where("qv IS NOT NULL")
+    dim = max(1, queries.agg(F.max(F.size("qv"))).first()[0] or 1)
+    scored = _block_plan(base, queries, k, on, L2(), np.float64, max(1, block_bytes // (8 * dim)))
+    return rank_nearest(scored.groupBy("q", "id").agg(F.min("dist").alias("dist")), k)
+
+
 def filtered_knn(base: DataFrame, queries: DataFrame, k: int, on: str = "a1") -> DataFrame:
     """Pre-filter search: exact neighbours among the rows whose attribute equals the query's."""
     return exact_knn(base, queries, k, on)

@@ -16,11 +16,40 @@ KEY = ["q", "id"]
 
 
 def unvisited(L: DataFrame, V: DataFrame) -> DataFrame:
-    """Candidates not visited yet. Ids are never null, so the anti join also answers NOT IN; the
-    row-pair NOT IN form would plan as a nested loop."""
+    """Candidates not visited yet (NOT EXISTS: a row with a null in its key is never visited)."""
     return L.join(V.select(KEY), KEY, "left_anti")
 
 
+def unvisited_not_in(L: DataFrame, V: DataFrame) -> DataFrame:
+    """``(q, id) NOT IN (SELECT q, id FROM V)`` with SQL's rule for nulls, in equi-joins only.
+
+    A row stays if it differs from every row of V for certain: in some column both are known and
+    unequal. So a row of V that is null in both columns removes all; one that is null in one column
+    removes all that agree in the other or are null there; and a row that is itself null in a column
+    stays only if the other column agrees with no row of V and is null in none. With an empty V all
+    rows stay. (As a row-pair predicate Spark plans this as a nested loop over both tables.)
+    """
+    q, at = KEY
+    state = V.agg(
+        F.count("*").alias("rows"), F.count_if(F.col(q).isNull() & F.col(at).isNull()).alias("open"),
+        F.count_if(F.col(q).isNull()).alias(q), F.count_if(F.col(at).isNull()).alias(at)).first()
+    if not state["rows"]:
+        return L
+    if state["open"]:
+        return L.limit(0)
+    whole = L.where(F.col(q).isNotNull() & F.col(at).isNotNull()).join(V.select(KEY), KEY, "left_anti")
+    parts = []
+    for known, other in ((q, at), (at, q)):
+        if state[other]:  # rows of V that say nothing about the other column
+            whole = whole.join(V.where(F.col(other).isNull()).select(known), known, "left_anti")
+        if not state[known]:
+            half = L.where(F.col(known).isNotNull() & F.col(other).isNull())
+            parts.append(half.join(V.select(known), known, "left_anti"))
+    for part in parts:
+        whole = whole.unionByName(part)
+    return whole.select(L.columns)
+
+
 def unvisited_except(L: DataFrame, V: DataFrame) -> DataFrame:
     """Set difference of the (q, id) pairs."""
     return L.select(KEY).subtract(V.select(KEY))

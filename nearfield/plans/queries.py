@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import has_all, l2, l2sq
-from ..operators import beam, beam_cte, evaluate, graph, knn, pq, steps, tables
-from ..session import shared_dir
+from ..operators import beam, beam_cte, cells, evaluate, graph, knn, pq, steps, tables
+from ..session import shared_dir, written
 from ..sources import text
 from .dataset import Dataset
-from .params import K, L, PQ_K, PQ_L, PQ_T, PQ_W, R, T, W, WIDE_L
+from .params import CELL_ROWS, K, L, POST_L, POST_W, PQ_K, PQ_L, PQ_T, PQ_W, R, T, W, WIDE_L
 
 Query = Callable[[Dataset], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -127,6 +127,45 @@ def knn_graph(d):
     return _rounded(graph.knn_edges(d.base, R))
 
 
+def _cell_count(d) -> int:
+    return max(4, d.base.count() // CELL_ROWS)
+
+
+@_query
+def knn_graph_cells(d):
+    """The graph built in linear work, held against the exact one: per vertex its edges and those whose
+    distance is wrong, and whether at least 0.9 of all exact edges were found."""
+    edges = written(graph.linear_edges(d.base, R, _cell_count(d)), "edges")
+    exact = graph.knn_edges(d.base, R).select("id", "neighbor")
+    enough = edges.join(exact, ["id", "neighbor"], "left_semi").count() >= 0.9 * exact.count()
+    left, right = (d.base.select(F.col("id").alias(i), F.col("data").alias(v)) for i, v in (("id", "a"), ("neighbor", "b")))
+    off = F.abs(F.col("dist") - l2("a", "b")) > 1e-9
+    return edges.join(left, "id").join(right, "neighbor").groupBy("id").agg(
+        F.count("*").alias("degree"), F.count_if(off).alias("off")).withColumn("enough", F.lit(int(enough)))
+
+
+@_query
+def index_recall(d):
+    """Top k of every query by the cell index, against exact search: hits whose distance is wrong, and
+    whether at least 0.9 of the true neighbours were found."""
+    count = _cell_count(d)
+    index = cells.build(d.base.select("id", "data"), count)
+    found = written(cells.search(index, d.queries, K, 3 * count // 4), "found")
+    share = evaluate.recall(found, d.truth, K).first()
+    pairs = found.join(d.base.select("id", "data"), "id").join(d.queries.select("q", "qv"), "q")
+    off = F.abs(F.col("dist") - l2("data", "qv")) > 1e-9
+    return pairs.groupBy("q").agg(F.count("*").alias("hits"), F.count_if(off).alias("off")).withColumn(
+        "enough", F.lit(int(share["recall"] >= 0.9)))
+
+
+@_query
+def index_all_cells(d):
+    """With every cell probed the index answers exactly."""
+    count = _cell_count(d)
+    index = cells.build(d.base.select("id", "data"), count)
+    return _rounded(cells.search(index, d.queries, K, 2 * count))
+
+
 @_query
 def ring_edges(d):
     return graph.ring_edges(d.base)
@@ -178,7 +217,8 @@ def unvisited(d):
 
 @_query
 def unvisited_notin(d):
-    return _rounded(_open(d))
+    """NOT IN over the pair of columns, with its rule for nulls."""
+    return _rounded(steps.unvisited_not_in(d.listed, d.visited))
 
 
 @_query
@@ -211,6 +251,15 @@ def new_neighbors_only(d):
     return steps.new_neighbors_only(_nearest(d), d.graph, d.listed)
 
 
+@_query
+def new_only_saving(d):
+    """Pairs that a step would score per query, and those that it scores as only new ones count."""
+    picked = _nearest(d)
+    reached = steps.expand_distinct(picked, d.graph).groupBy("q").agg(F.count("*").alias("reached"))
+    scored = steps.new_neighbors_only(picked, d.graph, d.listed).groupBy("q").agg(F.count("*").alias("scored"))
+    return reached.join(scored, "q", "left").select("q", "reached", F.coalesce("scored", F.lit(0)).alias("scored"))
+
+
 @_query
 def semi_neighbors(d):
     return steps.semi_neighbors(d.base.select("id", "label"), _nearest(d), d.graph)
@@ -313,6 +362,16 @@ def beam_two_phase(d):
     return _rounded(beam.two_phase_search(d.base, d.graph, d.queries, d.entry, L, K, W, T))
 
 
+@_query
+def beam_stored(d):
+    """The two-phase search over tables stored by id, which no step shuffles."""
+    name = f"stored_{uuid.uuid4().hex}"
+    at = beam.store(d.base.select("id", "data"), d.graph, name, d.spark_partitions)
+    found = written(beam.two_phase_search(at.base, at.graph, d.queries, d.entry, L, K, W, T, small=False), "found")
+    beam.drop_stored(d.spark, name)
+    return _rounded(found)
+
+
 @_query
 def beam_single(d):
     return _rounded(beam.beam_search(d.base, d.graph, d.mean_query, d.entry, L, K))
@@ -338,8 +397,9 @@ def hybrid_search(d):
 
 @_query
 def post_filter_search(d):
+    """The filter after a search with a long list, longer or exact for queries with too few hits."""
     return _rounded(beam.post_filter_search(
-        d.base, d.graph, d.queries, d.entry, WIDE_L, K, w=W, t=T, widen=False))
+        d.base, d.graph, d.queries, d.entry, POST_L, K, w=POST_W, t=T, most=2 * POST_L))
 
 
 def _widened(d):
