@@ -15,18 +15,19 @@ from ..session import written
 from .beam import with_entry
 from .graph import to_edges
 
-#: Neighbours with their vectors that one row may hold.
-MAX_DEGREE = 4096
+#: Bytes of neighbours with their vectors that one row may hold: a hub of 500,000 neighbours of 64 numbers.
+ROW_BYTES = 256 << 20
 
 
 def neighbour_payload(base: DataFrame, graph: DataFrame) -> DataFrame:
     """(id, nb array<struct<id, v>>), written once. It repeats every vector per in-edge, so it
     suits tables that fit that many times over; the batched search does not need it. A vertex
-    whose neighbours would not fit one row is refused: search such graphs in batched form."""
+    whose neighbours exceed what Spark can hold in one row is refused: search such graphs in batched form."""
     edges = to_edges(graph)
     degree = edges.groupBy("id").count().agg(F.max("count")).first()[0] or 0
-    if degree > MAX_DEGREE:
-        raise ValueError(f"a vertex has {degree} neighbours, more than {MAX_DEGREE} in one row")
+    size = base.agg(F.max(F.size("data"))).first()[0] or 0
+    if degree * (8 * size + 16) > ROW_BYTES:
+        raise ValueError(f"a vertex has {degree} neighbours, more than {ROW_BYTES} bytes in one row")
     pairs = (
         edges
         .join(base.select(F.col("id").alias("neighbor"), "data"), "neighbor")
@@ -39,12 +40,14 @@ def neighbour_payload(base: DataFrame, graph: DataFrame) -> DataFrame:
 
 def beam_search_cte(
     payload: DataFrame, base: DataFrame, queries: DataFrame, entry: int, l: int,
-    max_steps: int = 1000,
+    max_steps: int | None = None,
 ) -> DataFrame:
     """Every step's candidate list -> (q, step, rank, id, dist); step 0 holds the entry vertex.
 
-    A vertex without neighbours stays in the walk (left join), so a dead end does not stop it.
+    A vertex without neighbours stays in the walk (left join), so a dead end does not stop it. A step
+    visits a vertex that was not visited, so by default there may be as many steps as vertices.
     """
+    max_steps = max_steps or base.count() + 1
     dist = l2_sql("n.v", "s.qv")
     first = l2_sql("b.data", "s.qv")
     unseen = "filter(s.L, x -> NOT array_contains(s.V, x.id))"

@@ -30,8 +30,11 @@ def initial_codebook(
     base: DataFrame, bounds: list[int], ksub: int, salt: str = ""
 ) -> DataFrame:
     """``ksub`` vectors sampled by hash of their id, cut into subspaces -> (m, c, centroid)."""
-    order = [F.md5(F.concat(F.col("id").cast("string"), F.lit(salt))), F.col("id")]
-    sample = base.orderBy(*order).limit(ksub).select("id", "data").collect()
+    digest = F.md5(F.concat(F.col("id").cast("string"), F.lit(salt)))
+    # The least digests first, from the ids alone: every task passes on at most ksub of them, and no
+    # vector moves that is not chosen.
+    chosen = [r["id"] for r in base.select("id", digest.alias("digest")).orderBy("digest", "id").limit(ksub).collect()]
+    sample = base.where(F.col("id").isin(chosen)).select("id", "data").collect()
     sample.sort(key=lambda r: r["id"])
     rows = [
         (m, c, [float(x) for x in r["data"][s:e]])
@@ -98,12 +101,8 @@ def train_step(base: DataFrame, codebook: DataFrame, bounds: list[int]) -> DataF
                 ["m", "c", "n", "pos", "s"],
             )
 
-    # each task emits up to one codebook of sums, so bound the number of tasks
-    tasks = 2 * base.sparkSession.sparkContext.defaultParallelism
-    parts = (
-        base.select("data").coalesce(tasks)
-        .mapInArrow(sums, "m int, c int, n long, pos int, s double")
-    )
+    # each task emits at most one codebook of sums, which the exchange adds up before and after it
+    parts = base.select("data").mapInArrow(sums, "m int, c int, n long, pos int, s double")
     moved = (
         parts.groupBy("m", "c", "pos").agg((F.sum("s") / F.sum("n")).alias("v"))
         .groupBy("m", "c").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("p"))

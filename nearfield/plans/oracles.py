@@ -70,6 +70,10 @@ sub AS MATERIALIZED (SELECT unnest(range({M})) AS m),
 book AS MATERIALIZED (
     SELECT m, c, data[m * {DIM // M} + 1 : (m + 1) * {DIM // M}] AS centroid FROM sample, sub)"""
 
+_ELEMENTS = """
+SELECT vec_id AS id, pos, {x} AS x
+FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"""
+
 
 def _codes(center: bool = False, sizes: list[int] | None = None) -> str:
     if sizes is None:
@@ -264,6 +268,15 @@ found AS MATERIALIZED (
             FROM embeddings""",
         "attr_query": "SELECT vec_id AS q, (vec_id * 7) % 24 + 1 AS a1 FROM embeddings",
         "graph_csv_load": _with(*graph, select="SELECT id, neighbor FROM edges"),
+        "fvecs_round_trip": _ELEMENTS.format(x="x::DOUBLE"),
+        "fbin_round_trip": _ELEMENTS.format(x="x::DOUBLE"),
+        "vectors_csv_load": _ELEMENTS.format(x="x::DOUBLE"),
+        "bvecs_round_trip": _ELEMENTS.format(x="floor(x::DOUBLE * 127 + 128)::BIGINT"),
+        "ivecs_round_trip": _with(_TABLES, _PAIRS, _EXACT, select=f"SELECT q, rank, id FROM truth WHERE rank <= {K}"),
+        "truth_round_trip": _with(_TABLES, _PAIRS, _EXACT, select="SELECT q, rank, id, round(dist::FLOAT::DOUBLE, 4) AS dist FROM truth"),
+        "codes_round_trip": _with(_TABLES, _BOOK, _codes(), select="SELECT id, m AS pos, code AS x FROM codes"),
+        "bulk_stream_load": _with(_TABLES, _BOOK, _codes(), select="SELECT id, m AS pos, code AS x FROM codes"),
+        "edges_csv_load": _with(*graph, select="SELECT id, neighbor FROM edges"),
         "graph_edges": _with(*graph, select="SELECT id, neighbor FROM edges"),
         # graph
         "knn_graph": _with(*graph, select="""
@@ -326,6 +339,8 @@ found AS MATERIALIZED (
         "exact_knn": _with(_TABLES, _PAIRS, select=_top("pairs")),
         "exact_knn_one": _with(_TABLES, _MEAN, one, select=f"""
             SELECT id, round(dist, 6) AS dist FROM onepairs ORDER BY onepairs.dist, id LIMIT {K}"""),
+        "knn_where": _with(_TABLES, _MEAN, one, select=f"""
+            SELECT p.id, round(p.dist, 6) AS dist FROM onepairs p JOIN base b ON b.id = p.id WHERE b.label = 3 ORDER BY p.dist, p.id LIMIT {K}"""),
         "filtered_knn": _with(_TABLES, _PAIRS, match, select=_top("match")),
         "beam_batch": _with(*search, greedy, recursive=True, select=_top("walk_rows")),
         "beam_edges": _with(*search, greedy, recursive=True, select=_top("walk_rows")),
@@ -355,6 +370,10 @@ found AS MATERIALIZED (
         "pq_lut": _with(_TABLES, _BOOK, _codes(), _LUT, select="""
             SELECT m, c1, c2, round(d2, 6) AS d2 FROM lut"""),
         "pq_encode": _with(_TABLES, _BOOK, _codes(), select="SELECT id, m, code FROM codes"),
+        "pq_lut_file": _with(_TABLES, _BOOK, _codes(), _LUT, select="""
+            SELECT m, c1, c2, round(d2, 6) AS d2 FROM lut"""),
+        "pq_encode_pivots": _with(_TABLES, _MEAN, _BOOK, _codes(True, uneven),
+                                  select="SELECT id, m, code FROM codes"),
         "pq_encode_centered": _with(_TABLES, _MEAN, _BOOK, _codes(True, uneven),
                                     select="SELECT id, m, code FROM codes"),
         "pq_train_1": _with(_TABLES, _BOOK, _codes(), select="""

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.vector import has_all, l2, l2sq
 from ..operators import beam, beam_cte, cells, evaluate, graph, knn, pq, steps, tables
 from ..session import shared_dir, written
-from ..sources import text
+from ..sources import text, vecs
 from .dataset import Dataset
-from .params import CELL_ROWS, K, L, POST_L, POST_W, PQ_K, PQ_L, PQ_T, PQ_W, R, T, W, WIDE_L
+from .params import CELL_ROWS, K, KSUB, L, POST_L, POST_W, PQ_K, PQ_L, PQ_T, PQ_W, R, T, W, WIDE_L
 
 Query = Callable[[Dataset], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -119,6 +119,80 @@ def graph_edges(d):
     return graph.to_edges(d.graph)
 
 
+def _path(d, name: str) -> str:
+    return f"{shared_dir(d.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _elements(df: DataFrame, value: str) -> DataFrame:
+    return df.select("id", F.posexplode("data").alias("pos", "x")).withColumn("x", F.col("x").cast(value))
+
+
+def _round_trip(d, df: DataFrame, kind: str, value: str, **options) -> DataFrame:
+    """Write a folder of binary files, read it back, one row per element."""
+    path = _path(d, kind)
+    vecs.write_vecs(df, path, kind, **options)
+    return _elements(vecs.read_vecs(d.spark, path, kind, **options), value)
+
+
+@_query
+def fvecs_round_trip(d):
+    return _round_trip(d, d.base.select("id", "data"), "fvecs", "double")
+
+
+@_query
+def fbin_round_trip(d):
+    return _round_trip(d, d.base.select("id", "data"), "fbin", "double", dtype="float64")
+
+
+@_query
+def bvecs_round_trip(d):
+    as_bytes = F.transform("data", lambda x: F.floor(x.cast("double") * 127 + 128).cast("int"))
+    return _round_trip(d, d.base.select("id", as_bytes.alias("data")), "bvecs", "long")
+
+
+@_query
+def ivecs_round_trip(d):
+    """Neighbour lists as vectors of integers, back as ground truth."""
+    path = _path(d, "ivecs")
+    lists = beam.topk_lists(d.truth).select(F.col("q").alias("id"), F.col("ids").alias("data"))
+    vecs.write_vecs(lists, path, "ivecs")
+    return vecs.neighbour_lists(vecs.read_vecs(d.spark, path, "ivecs"), K)
+
+
+@_query
+def truth_round_trip(d):
+    path = _path(d, "truth")
+    vecs.write_vecs(d.truth, path, "truth")
+    return vecs.read_vecs(d.spark, path, "truth").select("q", "rank", "id", F.round("dist", 4).alias("dist"))
+
+
+@_query
+def codes_round_trip(d):
+    return _round_trip(d, d.codes, "codes", "long")
+
+
+@_query
+def edges_csv_load(d):
+    path = _path(d, "edge-list")
+    d.edges.select("id", "neighbor").write.csv(path, header=True)
+    return text.read_edges(d.spark, path)
+
+
+@_query
+def vectors_csv_load(d):
+    path = _path(d, "vectors")
+    text.write_vectors(d.base, path)
+    return _elements(text.read_vectors(d.spark, path), "double")
+
+
+@_query
+def bulk_stream_load(d):
+    """The bulk-load stream: fields apart by a bar."""
+    path = _path(d, "bulk")
+    text.write_vectors(d.codes, path, sep="|")
+    return _elements(text.read_vectors(d.spark, path, element="int", sep="|"), "long")
+
+
 # graph ----------------------------------------------------------------------------------------
 
 
@@ -321,6 +395,12 @@ def exact_knn_one(d):
     return _rounded(knn.nearest_to(d.base, d.mean, K))
 
 
+@_query
+def knn_where(d):
+    """A constant condition on a stored column, which reaches the scan, before ORDER BY distance LIMIT k."""
+    return _rounded(knn.nearest_to(d.base, d.mean, K, F.col("label") == 3))
+
+
 @_query
 def filtered_knn(d):
     return _rounded(knn.filtered_knn(d.base, d.queries, K))
@@ -457,6 +537,26 @@ def pq_encode_centered(d):
     return _flat_codes(pq.encode(d.base.select("id", "data"), book, UNEVEN, mean=mean))
 
 
+@_query
+def pq_encode_pivots(d):
+    """The same codebook by way of a pivots file: centroids, mean and borders in blocks at three places."""
+    mean = d.mean
+    centred = d.base.select("id", F.zip_with(
+        F.col("data").cast("array<double>"), F.lit(mean), lambda x, y: x - y).alias("data"))
+    path = _path(d, "pivots")
+    vecs.write_pivots(d.spark, path, pq.codebook_arrays(pq.initial_codebook(centred, UNEVEN, 16)), UNEVEN, mean)
+    book, bounds, centre = vecs.read_pivots(d.spark, path)
+    return _flat_codes(pq.encode(d.base.select("id", "data"), book, bounds, mean=centre))
+
+
+@_query
+def pq_lut_file(d):
+    """The distance table as a flat file without a header, read back."""
+    path = _path(d, "lut")
+    vecs.write_table(pq.lut(d.book), path, "float64")
+    return _rounded(vecs.read_table(d.spark, path, KSUB, "float64"), "d2")
+
+
 @_query
 def pq_train_1(d):
     book = pq.train_step(d.base, d.book, d.bounds)
