@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import documents, pack, unpack, written
+from .common import documents, squeezed, widened, written
 
 #: Text per block; its distinct units are held with their tokens.
 BLOCK_BYTES = 4 << 20
@@ -51,19 +51,6 @@ def _byte_level() -> dict[str, int]:
 BYTE_OF = _byte_level()
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """Non-negative integers below 2^32 as a zstd frame."""
-    import zstandard
-
-    return zstandard.compress(pack(values), 1)
-
-
-def widened(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return unpack(zstandard.decompress(data))
-
-
 def squeezed_long(values: np.ndarray) -> bytes:
     """Non-negative integers below 2^63, as their steps if they ascend."""
     import zstandard

@@ -7,6 +7,8 @@ which is what keeps the joins of the language models and token counts small.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,13 @@ from pyspark import TaskContext
 BLOCK_BYTES = 12 << 20
 
 
+def release() -> None:
+    """Give memory that a finished block has left back to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def runs(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Table]]:
     """Group the documents of a partition into blocks ``(block id, rows)``."""
     part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -33,7 +42,7 @@ def runs(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterato
             if stop < len(batch):
                 yield (part << 32) + number, pa.Table.from_batches(held)
                 number, held, size = number + 1, [], 0
-                pa.default_memory_pool().release_unused()
+                release()
             start = stop
     if held:
         yield (part << 32) + number, pa.Table.from_batches(held)

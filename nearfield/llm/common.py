@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import MB, shared_dir, written
 
-__all__ = ["MB", "bucket_count", "documents", "pack", "row_key", "text_bytes", "unpack", "unused", "written", "written_buckets"]
+__all__ = ["MB", "bucket_count", "documents", "pack", "row_key", "squeezed", "squeezed_strings", "text_bytes", "unpack", "unused",
+           "widened", "widened_strings", "written", "written_buckets"]
 
 
 def documents(df: DataFrame, *extra: Column | str) -> DataFrame:
@@ -67,3 +69,30 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(data, np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Non-negative integers below 2^32 as a zstd frame, so that rows of a table stay small on the JVM side."""
+    import zstandard
+
+    return zstandard.compress(pack(values), 1)
+
+
+def widened(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return unpack(zstandard.decompress(data))
+
+
+def squeezed_strings(strings: pa.Array) -> bytes:
+    """Strings without line ends as a zstd frame."""
+    import zstandard
+
+    return zstandard.compress("\n".join([str(len(strings)), *strings.to_pylist()]).encode(), 1)
+
+
+def widened_strings(data: bytes) -> pa.Array:
+    import zstandard
+
+    count, *strings = zstandard.decompress(data).decode().split("\n")
+    return pa.array(strings[: int(count)], pa.string())

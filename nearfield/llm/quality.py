@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import bucket_count, documents, pack, row_key, text_bytes, unpack, unused, written, written_buckets
+from .common import bucket_count, documents, row_key, squeezed, squeezed_strings, text_bytes, unused, widened, widened_strings, written, written_buckets
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
@@ -33,7 +33,7 @@ STEP = 1e-7
 
 _BLOCK = (
     "block long, doc_id array<long>, lang array<string>, row_key array<long>, per_doc binary, step binary, freq binary, "
-    "units array<string>"
+    "units binary"
 )
 
 
@@ -89,18 +89,22 @@ def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_doc, step, freq = blocks.frequencies(local, counts, len(units))
         yield blocks.one_row(
             block=block, doc_id=rows.column("doc_id"), lang=rows.column("lang"), row_key=rows.column("row_key"),
-            per_doc=pack(per_doc), step=pack(step), freq=pack(freq), units=units)
+            per_doc=squeezed(per_doc), step=squeezed(step), freq=squeezed(freq), units=squeezed_strings(units))
+        del rows, local, units, per_doc, step, freq
+        blocks.release()
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct grams of each block with their numbers."""
     for batch in batches:
         for row in range(len(batch)):
-            grams = grams_of(batch.column("units")[row].values)[2]
+            grams = grams_of(widened_strings(batch.column("units")[row].as_py()))[2]
             size = len(grams)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(size, batch.column("block")[row].as_py())), pa.array(np.arange(size, dtype=np.int32)), grams],
                 names=["block", "pos", "gram"])
+            del grams
+            blocks.release()
 
 
 def _count_trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,22 +112,23 @@ def _count_trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for row in range(len(batch)):
             get = lambda name: batch.column(name)[row]
-            per_doc, units = unpack(get("per_doc").as_py()), get("units").values
+            per_doc, units = widened(get("per_doc").as_py()), widened_strings(get("units").as_py())
             trusted = np.zeros(len(per_doc))
             trusted[get("trusted").values.to_numpy()] = 1
-            owner, unit = blocks.tokens_from_steps(per_doc, unpack(get("step").as_py()))
-            weight = np.bincount(unit, trusted[owner] * unpack(get("freq").as_py()), len(units))
+            owner, unit = blocks.tokens_from_steps(per_doc, widened(get("step").as_py()))
+            weight = np.bincount(unit, trusted[owner] * widened(get("freq").as_py()), len(units))
             used = np.flatnonzero(weight)
             owner, ids, grams = grams_of(units.take(pa.array(used)))
             count = np.bincount(ids, weight[used][owner], len(grams)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([grams, pa.array(count)], names=["gram", "n"])
+            blocks.release()
 
 
 def _score_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(len(batch)):
             get = lambda name: batch.column(name)[row]
-            ids, units = get("doc_id").values, get("units").values
+            ids, units = get("doc_id").values, widened_strings(get("units").as_py())
             unit_of, gram, grams = grams_of(units)
             logp = np.zeros(len(grams))
             if get("answers").is_valid:
@@ -131,12 +136,13 @@ def _score_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 logp[answer >> 32] = -STEP * (answer & 0xFFFFFFFF)
             per_unit = np.bincount(unit_of, logp[gram], len(units))
             symbols = np.bincount(unit_of, minlength=len(units))
-            owner, unit = blocks.tokens_from_steps(unpack(get("per_doc").as_py()), unpack(get("step").as_py()))
-            freq = unpack(get("freq").as_py())
+            owner, unit = blocks.tokens_from_steps(widened(get("per_doc").as_py()), widened(get("step").as_py()))
+            freq = widened(get("freq").as_py())
             yield pa.RecordBatch.from_arrays([
                 ids, get("lang").values, get("row_key").values, pa.array(blocks.per_document(owner, freq * per_unit[unit], len(ids))),
                 pa.array(blocks.per_document(owner, freq * symbols[unit], len(ids)).astype(np.int64)),
             ], names=["doc_id", "lang", "row_key", "logp", "n_symbols"])
+            blocks.release()
 
 
 def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame, float]:

@@ -8,6 +8,7 @@ to the blocks' pre-tokens, and every document sums frequency times pieces. No id
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import bucket_count, documents, pack, text_bytes, unpack, written_buckets
+from .common import bucket_count, documents, squeezed, squeezed_strings, text_bytes, widened, widened_strings, written_buckets
 
 #: Text per block, whose distinct pre-tokens are held as Python strings.
 BLOCK_BYTES = 4 << 20
@@ -32,7 +33,7 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LET
 
 _BLOCK = (
     "block long, doc_id array<long>, n_bytes array<long>, special array<long>, "
-    "per_doc binary, step binary, freq binary, tokens array<string>"
+    "per_doc binary, step binary, freq binary, tokens binary"
 )
 
 
@@ -45,11 +46,7 @@ class Splitter:
         self.tok = Tokenizer.from_file(path)
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        with open(path, encoding="utf-8") as f:
-            first = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
-        from tokenizers import Regex, pre_tokenizers
-
-        self.split = pre_tokenizers.Split(Regex(first["pattern"]["Regex"]), first["behavior"].lower(), first["invert"])
+        self.split = self.tok.pre_tokenizer[0]  # the splitter before the byte-level step
 
     def __call__(self, text: str) -> tuple[list[str], int]:
         parts, found = [text], 0
@@ -67,6 +64,7 @@ class Splitter:
 
 def piece_counter(path: str):
     """Counts the pieces of pre-tokens: the tokenizer's model without its text splitting."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
@@ -94,11 +92,23 @@ def _split_blocks(path: str):
             del ids, index
             yield blocks.one_row(
                 block=block, doc_id=rows.column("doc_id"), n_bytes=rows.column("n_bytes"), special=np.array(special, np.int64),
-                per_doc=pack(per_doc), step=pack(step), freq=pack(freq), tokens=tokens)
+                per_doc=squeezed(per_doc), step=squeezed(step), freq=squeezed(freq), tokens=squeezed_strings(tokens))
+            del rows, tokens, per_doc, step, freq
+            blocks.release()
 
     return run
 
 
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pre-tokens of each block with their numbers."""
+    for batch in batches:
+        for row in range(len(batch)):
+            tokens = widened_strings(batch.column("tokens")[row].as_py())
+            block = pa.array(np.full(len(tokens), batch.column("block")[row].as_py(), np.int64))
+            yield pa.RecordBatch.from_arrays([block, pa.array(np.arange(len(tokens), dtype=np.int32)), tokens], names=["block", "pos", "token"])
+            blocks.release()
+
+
 def _count_pieces(path: str):
     """Pieces of sorted pre-tokens, each counted once: ``block`` and ``pos << 32 | pieces``."""
 
@@ -114,6 +124,7 @@ def _count_pieces(path: str):
             last, pieces = names[-1], n[-1]
             coded = (batch.column("pos").to_numpy().astype(np.int64) << 32) | n[ids]
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(coded)], names=["block", "coded"])
+        blocks.release()
 
     return run
 
@@ -124,12 +135,13 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             get = lambda name: batch.column(name)[row]
             coded = np.sort(get("pieces").values.to_numpy()) if get("pieces").is_valid else np.zeros(0, np.int64)
             pieces = coded & 0xFFFFFFFF
-            owner, token = blocks.tokens_from_steps(unpack(get("per_doc").as_py()), unpack(get("step").as_py()))
+            owner, token = blocks.tokens_from_steps(widened(get("per_doc").as_py()), widened(get("step").as_py()))
             ids = get("doc_id").values
-            n = blocks.per_document(owner, pieces[token] * unpack(get("freq").as_py()), len(ids)).astype(np.int64)
+            n = blocks.per_document(owner, pieces[token] * widened(get("freq").as_py()), len(ids)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [ids, get("n_bytes").values, pa.array(n + get("special").values.to_numpy())],
                 names=["doc_id", "n_bytes", "n_tokens"])
+    blocks.release()
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
@@ -143,7 +155,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     buckets = bucket_count(rows, text_bytes(rows), BUCKET_BYTES)
     table = written_buckets(rows.mapInArrow(_split_blocks(path), _BLOCK), "token_blocks", "block", buckets)
 
-    asked = table.select("block", F.posexplode("tokens").alias("pos", "token"))
+    asked = table.select("block", "tokens").mapInArrow(_ask, "block long, pos int, token string")
     counted = asked.repartition(buckets, "token").sortWithinPartitions("token").mapInArrow(_count_pieces(path), "block long, coded long")
     answers = counted.groupBy("block").agg(F.collect_list("coded").alias("pieces"))
     return (
