@@ -221,6 +221,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     )
     counts = table.drop("doc_id", "lang", "row_key").join(marks, "block").mapInArrow(_count_trusted, "gram string, n long")
     asked = table.select("block", "units").mapInArrow(_ask, "block long, pos int, gram string").repartition(buckets, "gram")
+    asked = written_buckets(asked, "quality_asked", "gram", buckets)  # made once, read twice where it lies
     known = probabilities(asked.groupBy("gram").agg(F.lit(1).alias("_")).drop("_"), counts)
     coded = F.shiftleft(F.col("pos").cast("long"), 32) + F.round(-F.log10("p") / STEP).cast("long")
     answers = asked.join(known, "gram").groupBy("block").agg(F.collect_list(coded).alias("answers"))
