@@ -6,12 +6,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import MB, shared_dir, written
 
-__all__ = ["MB", "bucket_count", "documents", "pack", "row_key", "squeezed", "squeezed_strings", "text_bytes", "unpack", "unused",
+__all__ = ["MB", "bucket_count", "documents", "joined", "pack", "row_key", "squeezed", "squeezed_strings", "text_bytes", "unpack", "unused",
            "widened", "widened_strings", "written", "written_buckets"]
 
 
@@ -84,11 +85,15 @@ def widened(data: bytes) -> np.ndarray:
     return unpack(zstandard.decompress(data))
 
 
+def joined(strings: pa.Array, separator: str) -> str:
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(strings)], pa.int64()), strings), separator)[0].as_py()
+
+
 def squeezed_strings(strings: pa.Array) -> bytes:
     """Strings without line ends as a zstd frame."""
     import zstandard
 
-    return zstandard.compress("\n".join([str(len(strings)), *strings.to_pylist()]).encode(), 1)
+    return zstandard.compress(f"{len(strings)}\n{joined(strings, chr(10))}".encode(), 1)
 
 
 def widened_strings(data: bytes) -> pa.Array:

@@ -11,6 +11,7 @@ n-gram, so the model is nowhere held whole, and each block adds up its documents
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import bucket_count, documents, row_key, squeezed, squeezed_strings, text_bytes, unused, widened, widened_strings, written, written_buckets
+from .common import bucket_count, documents, joined, row_key, squeezed, squeezed_strings, text_bytes, unused, widened, widened_strings, written, written_buckets
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
@@ -47,7 +48,9 @@ def units_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     previous = np.roll(ids, 1)
     ends = pc.match_substring_regex(words, r"[.!?:]$").to_numpy(zero_copy_only=False)
     gap = np.where(first, 0, np.where(previous == ids, 2, np.where(ends[previous] if len(words) else False, 0, 1)))
-    distinct, local = np.unique((ids * 3 + gap).astype(np.int32), return_inverse=True)
+    both = ids * 3 + gap
+    local, at = _numbered(both)
+    distinct = both[at]
     units = pc.binary_join_element_wise(pa.array(GAPS).take(pa.array(distinct % 3)), words.take(pa.array(distinct // 3)), "")
     return local, units, counts
 
@@ -55,32 +58,43 @@ def units_of(texts: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 def grams_of(units: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """N-grams that predict each symbol of each unit: owner unit and gram number, and the distinct grams.
 
-    Grams are numbered in an order that depends on the units alone.
+    Grams are numbered as they first appear, an order that depends on the units alone.
     """
-    framed = [BEGIN + unit + END for unit in units.to_pylist()]
-    whole = "".join(framed)
-    sizes = np.array([len(s) for s in framed], np.int64)
-    symbols, codes = np.unique(np.frombuffer(whole.encode("utf-32-le"), "<u4"), return_inverse=True)
+    framed = pc.binary_join_element_wise(BEGIN, units, END, "")
+    sizes = pc.utf8_length(framed).to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = joined(framed, "")
     del framed
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    packed = codes.astype(np.int64) + 1  # of the last symbol; zero stands before a unit's first
-    base = len(symbols) + 1
-    power = 1
+    points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    used = np.zeros(sys.maxunicode + 1, bool)
+    used[points] = True
+    codes = np.cumsum(used)[points]  # from 1; zero stands before a unit's first symbol
+    base = int(used.sum()) + 1
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    packed, power, earlier = codes.copy(), 1, np.empty_like(codes)
     for back in range(1, ORDER):
         power *= base
         if power > 2**62 // base:  # many symbols: number the shorter grams first
-            distinct, packed = np.unique(packed, return_inverse=True)
-            power = len(distinct)
-        earlier = np.zeros(len(codes), np.int64)
-        earlier[back:] = codes[: len(codes) - back] + 1
-        packed = packed + power * np.where(place >= back, earlier, 0)
-    asked = np.flatnonzero(place > 0)
-    _, first, ids = np.unique(packed[asked], return_index=True, return_inverse=True)
-    ends = asked[first]
-    starts = ends - np.minimum(place[ends], ORDER - 1)
-    grams = [whole[i: j + 1] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return owner[asked], ids, pa.array(grams, pa.string())
+            packed, first = _numbered(packed)
+            power = len(first)
+        earlier[:back] = 0
+        np.multiply(codes[: max(len(codes) - back, 0)], power, out=earlier[back:])
+        earlier *= place >= back
+        packed += earlier
+    asked = place > 0
+    ids, first = _numbered(packed[asked])
+    ends = np.flatnonzero(asked)[first]
+    begins = ends - np.minimum(place[ends], ORDER - 1)
+    grams = [whole[i: j + 1] for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+    return np.repeat(np.arange(len(sizes)), np.maximum(sizes - 1, 0)), ids, pa.array(grams, pa.string())
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each value in order of first appearance, and where each distinct value first stands."""
+    ids = pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.empty(int(ids.max(initial=-1)) + 1, np.int64)
+    first[ids[::-1]] = np.arange(len(ids))[::-1]  # of equal places the last assignment counts
+    return ids, first
 
 
 def _make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
