@@ -68,15 +68,21 @@ def _fingerprints(width: int, seed: int, damped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, width, seed, damped) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(fp.view(np.int64))], names=["doc_id", "row_key", "fp"])
+            others = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(fp.view(np.int64))], names=[*others, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, damped: bool = False) -> DataFrame:
-    """``doc_id, row_key, fp`` (the fingerprint's bits as a long) of every row; null text is empty."""
-    return documents(docs, row_key().alias("row_key")).mapInArrow(_fingerprints(width, seed, damped), "doc_id long, row_key long, fp long")
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, damped: bool = False, text_key: bool = False) -> DataFrame:
+    """``doc_id, row_key, fp`` (the fingerprint's bits as a long) of every row; null text is empty.
+
+    With ``text_key`` also a hash of the text alone."""
+    rows = documents(docs, row_key().alias("row_key"))
+    if text_key:
+        rows = rows.withColumn("text_key", F.xxhash64("text"))
+    schema = "doc_id long, " + "".join(f"{c} long, " for c in rows.columns[2:]) + "fp long"
+    return rows.mapInArrow(_fingerprints(width, seed, damped), schema)
 
 
 def _bits(fp: np.ndarray) -> np.ndarray:
@@ -308,14 +314,15 @@ def _prefixes(texts: DataFrame, similarity: float) -> DataFrame:
 
     A near copy shares at least ``similarity`` of the ``n`` shingles, so in any common order of the
     shingles it shares one of the first ``n - similarity n + 1``. Rare ones come first, and those that
-    one text of the group has alone need no row. ``keys`` is the number of rows of the text.
+    one text of the group has alone need no row. ``keys`` is the number of rows of the text. A token
+    is the hash of root and shingle: equal hashes of different ones only add comparisons.
     """
-    tokens = texts.select("root", "rank", F.size("set").alias("n"), F.explode("set").alias("token"))
-    shared = tokens.groupBy("root", "token").agg(F.count("*").alias("texts")).where("texts > 1")
-    listed = tokens.join(shared, ["root", "token"]).groupBy("root", "rank", "n").agg(
-        F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("shared"))
+    sized = texts.select("root", "rank", F.col("rank.row_key").alias("row_key"), F.size("set").alias("n"))
+    tokens = texts.select(F.col("rank.row_key").alias("row_key"), F.explode(F.transform("set", lambda h: F.xxhash64("root", h))).alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("texts")).where("texts > 1")
+    listed = tokens.join(shared, "token").groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("shared"))
     length = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("shared"))
-    first = listed.select("root", "rank", "n", F.slice("shared", 1, F.greatest(length, F.lit(0)).cast("int"))["token"].alias("first"))
+    first = listed.join(sized, "row_key").select("root", "rank", "n", F.slice("shared", 1, F.greatest(length, F.lit(0)).cast("int"))["token"].alias("first"))
     return first.select("root", "rank", "n", F.size("first").alias("keys"), F.explode("first").alias("token"))
 
 
@@ -336,13 +343,15 @@ def _copies(texts: DataFrame, similarity: float) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("root", "token").orderBy("rank"))
         heads = written(left.withColumn("place", place).where(F.col("place") <= width), "group_heads")
         whole = heads.groupBy("root", "rank").agg(F.count("*").alias("n"), F.first("keys").alias("keys")).where("n = keys").select("root", "rank")
-        pairs = (
+        # Written, so that its size is known: a round of few pairs leaves the sets where they lie.
+        pairs = written(
             left.select("root", "token", "rank", "n").join(heads.select("root", "token", F.col("rank").alias("head"), F.col("n").alias("m")), ["root", "token"])
-            .where((F.col("head") < F.col("rank")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)).select("root", "rank", "head").distinct()
-        )
+            .where((F.col("head") < F.col("rank")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)).select("root", "rank", "head").distinct(),
+            "group_pairs")
+        asked = other.join(pairs.select("root", "head").distinct(), ["root", "head"], "left_semi")
         common = F.size(F.array_intersect("set", "head_set"))
         near = written(
-            pairs.join(sets, ["root", "rank"]).join(other, ["root", "head"])
+            sets.join(pairs, ["root", "rank"]).join(asked, ["root", "head"])
             .where(common >= similarity * (F.size("set") + F.size("head_set") - common)).select("root", "rank", "head"), "group_near")
         stays = written(whole.join(near.select("root", "rank").distinct(), ["root", "rank"], "left_anti"), "group_stays")
         goes = near.join(stays.withColumnRenamed("rank", "head"), ["root", "head"], "left_semi").select("root", "rank").distinct()
@@ -366,24 +375,28 @@ def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, ra
     Null and empty texts are copies of each other. Of rows that agree in id and text any one stays;
     of equal ids with different texts the smaller row key comes first, null ids come last.
     """
-    rows = written(fingerprints(docs, 1, damped=True), "fingerprints")
+    rows = written(fingerprints(docs, 1, damped=True, text_key=True), "fingerprints")
     grouped = _grouped(rows, radius, parts=3)
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    keyed = written(grouped.groupBy("root", "row_key", "doc_id").agg(F.lit(1).alias("_")).select("root", "row_key", "doc_id"), "group_members")
+    keyed = written(grouped.select("root", "text_key", "row_key", "doc_id").distinct(), "group_members")
     several = keyed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    # Exact copies first: one member per text, so a group of copies costs one comparison, and only
+    # the texts of these members move.
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    alike = keyed.join(several, "root").groupBy("root", "text_key").agg(F.min(rank).alias("rank"))
     texts = (
-        docs.select(row_key().alias("row_key"), F.coalesce(F.col("text"), F.lit("")).alias("text")).dropDuplicates(["row_key"])
-        .join(keyed.join(several, "root"), "row_key").withColumn("text_key", F.xxhash64("text"))
+        docs.select(row_key().alias("row_key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        .join(alike.select("root", "rank", F.col("rank.row_key").alias("row_key")), "row_key").dropDuplicates(["row_key"])
     )
-    # Exact copies first: one member per text, so a group of copies costs one comparison.
-    alike = texts.groupBy("root", "text_key").agg(F.min(rank).alias("rank"), F.first("text").alias("text"))
-    left = written(alike.select("root", "rank", _shingle_set(F.col("text"), width).alias("set")), "group_texts")
+    left = written(texts.select("root", "rank", _shingle_set(F.col("text"), width).alias("set")), "group_texts")
     single = keyed.join(several, "root", "left_anti").select("doc_id", "row_key")
     chosen = left.select("root", "rank").join(_copies(left, similarity), ["root", "rank"], "left_anti")
     single = single.unionByName(chosen.select("rank.doc_id", "rank.row_key"))
-    own_id, own_key = unused(docs, "chosen_id"), unused(docs, "chosen_key")
-    staying = single.select(F.col("doc_id").alias(own_id), F.col("row_key").alias(own_key))
-    return (
-        docs.join(staying, row_key() == F.col(own_key)).where(F.col("doc_id").eqNullSafe(F.col(own_id)))
-        .dropDuplicates([own_key]).select(*docs.columns)
-    )
+    own_id, own_key, again = unused(docs, "chosen_id"), unused(docs, "chosen_key"), unused(docs, "chosen_again")
+    repeated = rows.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key", F.lit(True).alias(again))
+    staying = single.join(repeated, "row_key", "left").select(
+        F.col("doc_id").alias(own_id), F.col("row_key").alias(own_key), F.coalesce(F.col(again), F.lit(False)).alias(again))
+    staying = written(staying, "group_staying")
+    found = docs.join(staying, row_key() == F.col(own_key)).where(F.col("doc_id").eqNullSafe(F.col(own_id)))
+    # Only rows that the table holds several times move once more.
+    once, several_times = found.where(~F.col(again)), found.where(F.col(again)).dropDuplicates([own_key])
+    return once.unionByName(several_times).select(*docs.columns)
