@@ -25,6 +25,8 @@ ROLES = ("system", "user", "assistant")
 #: States: each role's first line of a turn and its later lines; the last state is before any line.
 STATES = [(role, first) for role in ROLES for first in (True, False)]
 START = len(STATES)
+#: Stands for a null conversation id.
+NO_CONVERSATION = -(1 << 63)
 #: Passages per block, and blocks composed at a time.
 BLOCK, FAN_IN = 32, 64
 #: Order of the lines of a conversation; ``tie`` is a hash of the line.
@@ -200,7 +202,7 @@ def decode(passages: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFra
     """
     move, show = model
     low = F.coalesce(F.col("seq"), F.lit(0))
-    passages = passages.select(F.coalesce(F.col("conv_id"), F.lit(-1)).cast("long").alias("conv_id"), low.cast("long").alias("seq"), "text")
+    passages = passages.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_CONVERSATION)).alias("conv_id"), low.cast("long").alias("seq"), "text")
     block = F.floor(F.col("seq") / BLOCK).alias("block")
     rows = lines(passages).select("conv_id", block, *ORDER, "text", "symbol")
     # Conversations of one block are traced at once; the others need the scores of their blocks first.
@@ -251,8 +253,10 @@ def turns(decoded: DataFrame) -> DataFrame:
 def formatted(transcripts: DataFrame, labelled: DataFrame) -> DataFrame:
     """Turns of raw ``transcripts`` (``conv_id, seq, text``), with roles learned from ``labelled``.
 
-    Null texts are empty lines, null sequence numbers count as 0 and null conversation ids as -1.
+    Null texts are empty lines and null sequence numbers count as 0. Passages without a conversation id
+    form one conversation, whose id stays null; so would the least of all longs.
     Repeated passages stay; lines of equal number follow in the order of a hash. Without labelled rows all roles are equally likely. Empty
     tables give no rows; further columns are ignored.
     """
-    return turns(decode(transcripts, train(labelled)))
+    out = turns(decode(transcripts, train(labelled)))
+    return out.withColumn("conv_id", F.nullif("conv_id", F.lit(NO_CONVERSATION)))

@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses.
 
-A value found in a text is checked (card and account check digits, octets, calendar dates, number
-plans), read as an integer of its format's value set, and replaced by the image of that integer
+A value found in a text is checked (card and account check digits, octets, calendar dates, lengths
+of phone numbers), read as an integer of its format's value set, and replaced by the image of that integer
 under a keyed permutation of the set: a Feistel network over the next even number of bits, walked
 along its cycle until the image is a valid value again. Equal values have equal pseudonyms in all
 documents, different ones different pseudonyms, and whoever has the key can invert them.
@@ -25,7 +25,7 @@ FIRST, LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 FORMATS = re.compile(
     r"(?P<email>(?<![\w.%+-])[A-Za-z0-9][\w.%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<secret>(?:(?<![A-Za-z0-9])AKIA(?=[A-Z0-9]{16}(?![A-Za-z0-9]))|\b(?:password|passwd|token|secret|api_?key)\b\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{12,}))"
+    r"|(?P<secret>(?:(?<![A-Za-z0-9])AKIA(?=[A-Z0-9]{16}(?![A-Za-z0-9]))|\b(?i:password|passwd|token|secret|api_?key)\b\s*[=:]\s*[\"']?)(?P<value>[A-Za-z0-9+/_-]{12,}))"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
     r"|(?P<iso>(?<![\d/.-])\d{4}[-/]\d{2}[-/]\d{2}(?![\d/-]|\.\d))"
@@ -102,10 +102,14 @@ def _card(s: str, move) -> str | None:
 
 def _phone(s: str, move) -> str | None:
     d = re.sub(r"\D", "", s)
-    if not 9 <= len(d) <= 15:
+    if not 9 <= len(d) <= 15 or len(set(d)) == 1:
         return None
     n = len(d) - 10 if len(d) > 10 else 0  # the country code stays
-    return _refill(s, d[:n] + str(move(int(d[n:]), 10 ** (len(d) - n))).zfill(len(d) - n))
+    code, body = d[:n], d[n:]
+    while True:  # one digit repeated is no number, and no image of one
+        body = str(move(int(body), 10 ** len(body))).zfill(len(body))
+        if len(set(code + body)) > 1:
+            return _refill(s, code + body)
 
 
 def _ip(s: str, move) -> str | None:
