@@ -14,12 +14,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_bytes
+from .common import documents, text_bytes, written
 
 BITS, LANE, MAX_LENGTH = 64, 22, 31
 LANES = 1 | 1 << LANE | 1 << 2 * LANE
 #: Terms summed in one row of lanes: 2^10 terms of weight 31^2 fit the shortest lane, of 20 bits.
 CHUNK = 1 << 10
+#: Other fingerprints that share a key of the block tables by chance, and rows of a key in one cell of its grid.
+STRANGERS, CROWD = 16, 4096
+#: Parts of the rows that share a fingerprint.
+SALTS = 16
 #: Text per bucket of the order by id.
 BUCKET_BYTES = 16 << 20
 
@@ -50,32 +54,75 @@ def likeness(a: Column | str, b: Column | str) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(float(BITS))
 
 
-def neighbours(fingerprints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
-    """All pairs ``(a, b)``, ``a < b``, of distinct fingerprints ``fp`` within ``radius`` bits.
+def _choices(radius: int, blocks: int) -> list[int]:
+    """Bit masks of the tables: every choice of ``blocks - radius`` of the blocks."""
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    masks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
+    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
+    return [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
+
+
+def block_count(size: int, radius: int) -> int:
+    """Blocks with which a key of the tables meets at most ``STRANGERS`` of ``size`` random fingerprints; 7 more than the radius at most."""
+    fits = (b for b in range(radius + 2, radius + 8) if size >> BITS * (b - radius) // b <= STRANGERS)
+    return next(fits, radius + 7)
+
+
+def within(asked: DataFrame, fingerprints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """``q`` and the rows of ``fingerprints`` whose ``fp`` lies within ``radius`` bits of it, equal ones included.
 
     Permuted block tables: the bits fall into ``blocks`` blocks (default ``radius + 2``), and for
     every choice of ``blocks - radius`` of them there is a table keyed by those blocks. Two
-    fingerprints within the radius agree on at least one choice. A pair is reported by the first
-    table on whose key it agrees, so no pair is emitted twice. Equal fingerprints appear once.
+    fingerprints within the radius agree on at least one choice, and are found by the first table on
+    whose key they agree, so no pair is emitted twice. Keys that many fingerprints share, as near
+    copies do, are cut into a grid of ``CROWD`` asked by ``CROWD`` found ones. ``asked`` holds
+    distinct ``q`` and ``fingerprints`` distinct ``fp``; rows where they are null take no part.
     """
-    blocks = blocks or radius + 2
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    masks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-    signed = lambda x: x - (1 << BITS) if x >> (BITS - 1) else x
-    choices = [signed(sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
-    tables = fingerprints.select("fp").where("fp IS NOT NULL").distinct().select("fp", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(choices)])))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
+    choices = _choices(radius, blocks or radius + 2)
+    keyed = lambda df, c: df.where(F.col(c).isNotNull()).select("*", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("choice"), F.col(c).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(choices)])))
+    asked, found = keyed(asked.select("q"), "q"), keyed(fingerprints, "fp")
+    size = lambda df, name: df.groupBy("choice", "key").agg(F.ceil(F.count("*") / CROWD).alias(name))
+    crowds = written(size(asked, "of_q").join(size(found, "of_fp"), ["choice", "key"]).where("of_q > 1 OR of_fp > 1"), "crowds")
+    cut = lambda df, mine, others, c, name, other: df.join(crowds, ["choice", "key"], "left").select(
+        *df.columns, F.pmod(F.xxhash64(c), F.coalesce(mine, F.lit(1))).alias(name),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(others, F.lit(1)) - 1)).alias(other))
+    left, right = cut(asked, "of_q", "of_fp", "q", "row", "column"), cut(found, "of_fp", "of_q", "fp", "column", "row")
+    differ = F.col("q").bitwiseXOR(F.col("fp"))
     first = F.lit(len(choices))
     for i, m in reversed(list(enumerate(choices))):
         first = F.when(differ.bitwiseAND(F.lit(m)) == 0, i).otherwise(first)
     return (
-        tables.withColumnRenamed("fp", "a").join(tables.withColumnRenamed("fp", "b"), ["choice", "key"])
-        .where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= radius) & (F.col("choice") == first))
-        .select("a", "b")
+        left.join(right, ["choice", "key", "row", "column"])
+        .where((F.bit_count(differ) <= radius) & (F.col("choice") == first))
+        .select("q", *fingerprints.columns)
     )
 
 
+def neighbours(fingerprints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """All pairs ``(a, b)``, ``a < b``, of distinct fingerprints ``fp`` within ``radius`` bits, each once."""
+    each = fingerprints.select("fp").distinct()
+    return within(each.select(F.col("fp").alias("q")), each, radius, blocks).where("q < fp").select(F.col("q").alias("a"), F.col("fp").alias("b"))
+
+
+def near_counts(rows: DataFrame, asked: Column, radius: int = 3) -> DataFrame:
+    """``rows`` with ``n_near``: how many other rows have a fingerprint ``fp`` within ``radius`` bits.
+
+    Rows for which ``asked`` is not true have null there; all rows are searched. Each fingerprint is
+    searched once, with the number of rows that have it.
+    """
+    rows = rows.withColumn("asked", F.coalesce(asked, F.lit(False)))
+    counts = written(rows.groupBy("fp").agg(F.count("*").alias("rows"), F.max("asked").alias("asked")), "counts")
+    found = within(counts.where("asked").select(F.col("fp").alias("q")), counts.select("fp", "rows"), radius, block_count(counts.count(), radius))
+    near = found.groupBy(F.col("q").alias("fp")).agg((F.sum("rows") - 1).alias("n_near"))
+    # Copies of one text share a fingerprint, so answers are met under several salts.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    answered = rows.where("asked").withColumn("salt", salt).join(
+        near.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["fp", "salt"])
+    others = rows.where("NOT asked").withColumn("n_near", F.lit(None).cast("long"))
+    return others.drop("asked").unionByName(answered.drop("asked", "salt"))
+
+
 def _in_id_order(rows: DataFrame) -> DataFrame:
     """Rows with ``bucket``, ``n`` (place in descending id order) and ``ghost``.
 
@@ -101,13 +148,15 @@ def _next(column: str, *order: Column | str) -> Column:
     return F.coalesce(F.lead(column).over(w), F.first(column).over(w))
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, asked: str = "doc_id % 50 = 0", radius: int = 3) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose second half comes from the next document.
 
     The next document is the one with the next lower id (after the last the first; null ids come
     last, equal ids in text order). Null text is empty; texts without words have fingerprint zero.
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next``, one row per row. Further columns are ignored; an empty table gives no rows.
+    near_next, n_near``, one row per row. ``n_near`` is the number of other rows within ``radius``
+    bits, searched for the rows for which ``asked`` is true and null elsewhere. Further columns are
+    ignored; an empty table gives no rows.
     """
     placed = _in_id_order(documents(docs)).withColumn("next", _next("text", "n"))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
@@ -120,6 +169,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     both = votes_to_fingerprint(versions, [*keys, "version"], "body").groupBy(*keys).agg(
         F.max(F.when(F.col("version") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("version") == 1, F.col("fp"))).alias("edited_fp"))
     text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return both.withColumn("next_fp", _next("fp", "n")).where("ghost = 0").select(
+    done = both.withColumn("next_fp", _next("fp", "n")).where("ghost = 0").drop("bucket", "n", "ghost")
+    return near_counts(written(done, "fingerprints"), F.expr(asked), radius).select(
         "doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
-        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"))
+        likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "n_near")

@@ -64,6 +64,7 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text; near documents of every fiftieth id, among all."""
     return fingerprint.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 

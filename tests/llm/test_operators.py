@@ -288,6 +288,30 @@ def test_block_tables_find_all_neighbours(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_crowded_keys_are_cut_into_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "CROWD", 7)
+    rng = np.random.default_rng(3)
+    fps = sorted({sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 4), replace=False)) for _ in range(150)})
+    table = spark.createDataFrame([(f, f % 5) for f in fps], "fp long, rest long")
+    asked = table.where("rest = 1").select(F.col("fp").alias("q"))
+    for radius, blocks in ((3, 5), (3, 6), (2, 4)):
+        want = {(a, b, b % 5) for a in fps for b in fps if a % 5 == 1 and (a ^ b).bit_count() <= radius}
+        got = rows(fingerprint.within(asked, table, radius, blocks))
+        assert set(got) == want and len(got) == len(want) > 100
+    assert [fingerprint.block_count(n, 3) for n in (0, 10**8, 10**10, 10**30)] == [5, 5, 6, 10]
+
+
+def test_near_documents_against_all_pairs(spark, docs, odd, none):
+    few = docs.where("doc_id < 300").select("doc_id", "text")
+    some = few.unionByName(few.where("doc_id % 3 = 0").selectExpr("doc_id + 1000", "concat(text, ' end')").toDF("doc_id", "text"))
+    for df in (some, odd):
+        got = rows(fingerprint.edited_fingerprints(df, "doc_id % 2 = 0").select("doc_id", "fingerprint", "n_near"))
+        fps = [int(f, 16) for _, f, _ in got]
+        want = [sum((fp ^ x).bit_count() <= 3 for x in fps) - 1 if i is not None and i % 2 == 0 else None for (i, _, _), fp in zip(got, fps, strict=True)]
+        assert [n for _, _, n in got] == want and any(want)
+    assert rows(fingerprint.edited_fingerprints(none)) == []
+
+
 def test_quality(spark, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
