@@ -10,6 +10,12 @@ from ..functions.vector import sum_squares
 BLOCK_CELLS = 1 << 22
 #: Base rows in one distance matrix: wide enough that the bookkeeping per query row is small.
 BLOCK_WIDTH = 1 << 13
+#: Base rows of the first one.
+FIRST_WIDTH = 1 << 10
+#: Squared norms below this cannot overflow in the matrix product.
+LARGEST = 1e300
+#: Entries per query (subspaces x codes) up to which code distances are a matrix product.
+MOST_ENTRIES = 512
 #: Numbers (pairs x dim) gathered at a time when preselected pairs are recomputed.
 EXACT_CELLS = 1 << 21
 
@@ -18,11 +24,19 @@ class L2:
     """Euclidean metric. The matrix product only preselects; what is kept is recomputed in
     difference form and added up in the order of the SQL expression, so results are the same."""
 
-    def rough(self, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rough(self, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Distances, per query a bound of their error, and whether there may be NaN among them: there
+        only the exact form tells."""
         qn, bn = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", b, b)
-        norms = qn[:, None] + bn[None, :]
+        left = np.column_stack([-2.0 * q, qn, np.ones(len(q))])
+        d = left @ np.column_stack([b, np.ones(len(b)), bn]).T
+        odd = not qn.max(initial=0.0) + bn.max(initial=0.0) < LARGEST
+        if odd:
+            d[~np.isfinite(d)] = np.nan
+            qn, bn = (np.where(np.isfinite(n), n, 0.0) for n in (qn, bn))
+        most = qn + bn.max(initial=0.0)
         # rounding error bound of the expansion: a small multiple of dim * eps * norms
-        return norms - 2.0 * (q @ b.T), 8.0 * (q.shape[1] + 4) * np.finfo(float).eps * norms
+        return d, 8.0 * (q.shape[1] + 4) * np.finfo(float).eps * most, odd
 
     def exact(self, q: np.ndarray, b: np.ndarray) -> np.ndarray:
         return sum_squares(q - b)
@@ -33,16 +47,25 @@ class L2:
 
 class PQTable:
     """Symmetric product-quantised distance: one table lookup per subspace, then a sum.
-    Rounded to 9 digits, because equal sums reached in another order must compare equal."""
+    Rounded to 9 digits, because equal sums reached in another order must compare equal.
+
+    For short tables all lookups of a block are one matrix product: the query's entries for every
+    code beside each other, times ones at the codes of the base row."""
 
     def __init__(self, lut: np.ndarray):
         self.lut = lut  # [m][ksub][ksub]
 
-    def rough(self, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def rough(self, q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        m, k = self.lut.shape[:2]
+        if m * k <= MOST_ENTRIES:
+            entries = np.concatenate([self.lut[i][q[:, i]] for i in range(m)], axis=1)
+            ones = np.zeros((len(b), m * k))
+            ones[np.arange(len(b))[:, None], b + k * np.arange(m)] = 1.0
+            return entries @ ones.T, 1e-9 + 4.0 * m * k * np.finfo(float).eps * np.abs(entries).sum(1), False
         d = np.zeros((len(q), len(b)))
-        for m in range(self.lut.shape[0]):
-            d += self.lut[m][q[:, m]][:, b[:, m]]
-        return np.round(d, 9), np.zeros((1, 1))
+        for i in range(m):
+            d += self.lut[i][q[:, i]][:, b[:, i]]
+        return np.round(d, 9), np.zeros(len(q)), False
 
     def exact(self, q: np.ndarray, b: np.ndarray) -> np.ndarray:
         d = np.zeros(len(q))
@@ -65,31 +88,40 @@ class TopK:
         self.ids = np.zeros((len(q), k), np.int64)
         self.held = np.zeros((len(q), k), bool)
 
-    def add(self, ids: np.ndarray, vecs: np.ndarray, rows: np.ndarray | None = None) -> None:
-        """Offer base rows to the queries at positions ``rows`` (all when None)."""
+    def add(self, ids: np.ndarray, vecs: np.ndarray, rows: np.ndarray | None = None, allowed=None) -> None:
+        """Offer base rows to the queries at positions ``rows`` (all when None). ``allowed(rows)`` gives
+        for some of the queries a truth value per base row: only such pairs count."""
         if rows is None:
             rows = np.arange(len(self.q))
         if not len(ids) or not len(rows):
             return
-        width = min(len(ids), BLOCK_WIDTH)
-        height = max(1, BLOCK_CELLS // width)
-        for c in range(0, len(ids), width):
-            for r in range(0, len(rows), height):
-                self._merge(rows[r : r + height], ids[c : c + width], vecs[c : c + width])
-
-    def _merge(self, rows: np.ndarray, ids: np.ndarray, vecs: np.ndarray) -> None:
+        # A narrow first part gives a bound, against which few rows of the wide ones are left.
+        borders = [0, *range(min(FIRST_WIDTH, len(ids)), len(ids), BLOCK_WIDTH), len(ids)]
+        height = max(1, BLOCK_CELLS // min(len(ids), BLOCK_WIDTH))
+        for r in range(0, len(rows), height):
+            some = rows[r : r + height]
+            open_ = None if allowed is None else allowed(some)
+            for c, end in zip(borders, borders[1:], strict=False):
+                if end > c:
+                    self._merge(some, ids[c:end], vecs[c:end], None if open_ is None else open_[:, c:end])
+
+    def _merge(self, rows: np.ndarray, ids: np.ndarray, vecs: np.ndarray, open_: np.ndarray | None) -> None:
         with np.errstate(invalid="ignore", over="ignore"):
-            rough, slack = self.metric.rough(self.q[rows], vecs)
-            unsure = ~np.isfinite(rough)  # overflow, NaN: only the exact form tells
-            least, most = rough - slack, np.where(unsure, np.inf, rough + slack)
+            rough, slack, odd = self.metric.rough(self.q[rows], vecs)
+        if open_ is not None:
+            rough[~open_] = np.inf
         kept = self.dist[rows]
         bound = np.where(np.isnan(kept[:, -1]), np.inf, kept[:, -1])
-        near = unsure | (least <= bound[:, None])
+        near = rough <= (bound + slack)[:, None]
         if len(ids) > self.k and np.count_nonzero(near) > 4 * self.k * len(rows):
             # the k-th best of this block is a tighter bound than what was kept so far
-            bound = np.minimum(bound, np.partition(most, self.k - 1, axis=1)[:, self.k - 1])
-            near = unsure | (least <= bound[:, None])
-        r, c = np.nonzero(near)
+            kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1] + slack
+            near = rough <= (np.fmin(bound, kth) + slack)[:, None]
+        if odd:
+            near |= np.isnan(rough)
+        if open_ is not None:
+            near &= open_
+        r, c = np.divmod(np.flatnonzero(near), near.shape[1])
         if not len(r):
             return
         step = max(1, EXACT_CELLS // max(1, vecs.shape[1]))

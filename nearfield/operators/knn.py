@@ -3,10 +3,11 @@
 The work is queries x base distances, whatever the plan; what matters is that pairs are never
 emitted. Each task keeps the k best per query and only those travel:
 
-* queries that fit a checked size are broadcast and the base is scanned in place, no shuffle of it;
+* few queries (a checked size) are broadcast and the base is scanned in place, no shuffle of it;
 * larger query sets are cut, like the base, into hash blocks of bounded size; every pair of blocks
   is one co-group. Blocks are cut by id within an attribute value, so neither copies of a vector
-  nor one value holding a third of the rows makes a large group.
+  nor one value holding a third of the rows makes a large group. There are at least a few pairs
+  per core, so that the work does not lie in as few tasks as the base has files.
 """
 
 from __future__ import annotations
@@ -19,12 +20,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2, matrix
-from ..session import BROADCAST_LIMIT
+from ..session import MB
 from .blocks import L2, TopK
 
 OUT = "q long, id long, dist double"
 #: Rows x dim x 8 bytes of one block in the block join.
 BLOCK_BYTES = 32 << 20
+#: The same for queries that are broadcast: every task of the scan holds all of them with their k rows.
+SCAN_BYTES = 2 * MB
+#: Most rows of a block or of broadcast queries, however short the vectors are.
+BLOCK_ROWS, SCAN_ROWS = 1 << 16, 4096
+#: Smallest block that is cut for the sake of more tasks, and pairs of blocks per core.
+LEAST_ROWS, PAIRS_PER_CORE = 4096, 2
 
 
 def rank_nearest(scored: DataFrame, k: int) -> DataFrame:
@@ -86,11 +93,14 @@ def _scan_plan(base, queries, k, on, metric, dtype) -> DataFrame:
     return base.select(cols).mapInArrow(scan, OUT)
 
 
-def _block_plan(base, queries, k, on, metric, dtype, block_rows) -> DataFrame:
-    """Pairs of hash blocks; per attribute value the grid is just as fine as its rows need."""
+def _block_plan(base, queries, k, on, metric, dtype, block_rows, more=((), ()), allowed=None) -> DataFrame:
+    """Pairs of hash blocks; per attribute value the grid is just as fine as its rows need.
+
+    ``more`` names further columns of queries and base, from which ``allowed(left, right)`` of a pair
+    of blocks makes what ``TopK.add`` takes to leave pairs of rows out."""
     key: Column = F.col(on) if on else F.lit(0)
-    b = base.select("id", "data", key.alias("a")).where("a is not null")
-    q = queries.select("q", "qv", key.alias("a")).where("a is not null")
+    b = base.select("id", "data", key.alias("a"), *more[1]).where("a is not null")
+    q = queries.select("q", "qv", key.alias("a"), *more[0]).where("a is not null")
     if on:
         grid = (
             q.groupBy("a").agg(F.ceil(F.count("*") / block_rows).alias("gq"))
@@ -98,15 +108,18 @@ def _block_plan(base, queries, k, on, metric, dtype, block_rows) -> DataFrame:
         )
         b, q = b.join(grid, "a"), q.join(grid, "a")
     else:  # one grid for all: two numbers, not a join without a key
-        sides = [F.lit(max(1, -(-side.count() // block_rows))).cast("long") for side in (q, b)]
+        nq, nb = q.count(), b.count()
+        tasks = PAIRS_PER_CORE * base.sparkSession.sparkContext.defaultParallelism
+        block_rows = min(block_rows, max(LEAST_ROWS, int((nq * nb / tasks) ** 0.5)))
+        sides = [F.lit(max(1, -(-n // block_rows))).cast("long") for n in (nq, nb)]
         b, q = (side.withColumns(dict(zip(("gq", "gb"), sides, strict=True))) for side in (b, q))
     q_blocks = q.select(
         "a", F.pmod(F.xxhash64("q"), "gq").alias("i"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("gb") - 1)).alias("j"), "q", "qv",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("gb") - 1)).alias("j"), "q", "qv", *more[0],
     )
     b_blocks = b.select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gq") - 1)).alias("i"),
-        F.pmod(F.xxhash64("id"), "gb").alias("j"), "id", "data",
+        F.pmod(F.xxhash64("id"), "gb").alias("j"), "id", "data", *more[1],
     )
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -114,7 +127,7 @@ def _block_plan(base, queries, k, on, metric, dtype, block_rows) -> DataFrame:
             return pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()),
                              "dist": pa.array([], pa.float64())})
         top = TopK(metric, _ints(left["q"]), matrix(left["qv"], dtype), k)
-        top.add(_ints(right["id"]), matrix(right["data"], dtype))
+        top.add(_ints(right["id"]), matrix(right["data"], dtype), allowed=allowed and allowed(left, right))
         return pa.Table.from_batches([_batch(top)])
 
     keys = ["a", "i", "j"]
@@ -129,7 +142,7 @@ def exact_knn(
     *,
     metric=None,
     dtype=np.float64,
-    broadcast_bytes: int = BROADCAST_LIMIT,
+    broadcast_bytes: int = SCAN_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The k nearest base rows of every query, ties by id.
@@ -142,10 +155,10 @@ def exact_knn(
     base, queries = base.where("data IS NOT NULL"), queries.where("qv IS NOT NULL")
     nq, dim = queries.agg(F.count("*"), F.max(F.size("qv"))).first()
     dim = max(1, dim or 1)
-    if nq * dim * 8 <= broadcast_bytes:
+    if nq <= SCAN_ROWS and nq * dim * 8 <= broadcast_bytes:
         scored = _scan_plan(base, queries, k, on, metric, dtype)
     else:
-        block_rows = max(1, block_bytes // (8 * dim))
+        block_rows = max(1, min(BLOCK_ROWS, block_bytes // (8 * dim)))
         scored = _block_plan(base, queries, k, on, metric, dtype, block_rows)
     return rank_nearest(scored, k)
 

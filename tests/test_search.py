@@ -383,3 +383,30 @@ def test_block_plan_has_no_join_without_a_key(tables_):
     base, queries, _ = tables_
     plan = knn.exact_knn(base, queries, 5, broadcast_bytes=0, block_bytes=8 * 8 * 50)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_many_queries_are_cut_into_many_pairs_of_blocks(spark, tables_, skewed, monkeypatch):
+    """No task of a scan holds all queries; the blocks follow the cores, not the files of the base."""
+    many = spark.range(knn.SCAN_ROWS + 1).select(F.col("id").alias("q"), F.array(F.lit(0.0), F.lit(1.0)).alias("qv"))
+    few = spark.createDataFrame([(0, [0.0, 0.0])], "id long, data array<double>")
+    assert "CoGroup" in knn.exact_knn(few, many, 1)._jdf.queryExecution().executedPlan().toString()
+    base, queries, _ = tables_
+    x, a1, q, qa = skewed
+    monkeypatch.setattr(knn, "LEAST_ROWS", 16)
+    monkeypatch.setattr(knn, "SCAN_ROWS", 0)
+    assert found(knn.exact_knn(base, queries, 12)) == brute(x, q, 12)
+    assert knn._block_plan(base, queries, 2, None, knn.L2(), float, 1 << 16).count() > 2 * len(q)
+    assert found(knn.exact_knn(base, queries, 12, "a1")) == brute(x, q, 12, a1, qa)
+
+
+def test_code_distances_by_product_or_lookup(monkeypatch):
+    from nearfield.operators import blocks
+
+    lut, q, b = RNG.random((3, 4, 4)).round(1), RNG.integers(0, 4, (30, 3)), RNG.integers(0, 4, (3000, 3))
+    rows = []
+    for entries in (512, 0):
+        monkeypatch.setattr(blocks, "MOST_ENTRIES", entries)
+        top = blocks.TopK(blocks.PQTable(lut), np.arange(30), q, 9)
+        top.add(np.arange(3000), b)
+        rows.append([c.tolist() for c in top.rows()])
+    assert rows[0] == rows[1]
