@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import matrix
-from ..session import shared_dir, written
-from .blocks import BLOCK_CELLS
-from .knn import exact_knn
+from ..session import BROADCAST_LIMIT, shared_dir, written
+from .blocks import BLOCK_CELLS, L2
+from .knn import BLOCK_BYTES, BLOCK_ROWS, _block_plan, exact_knn, rank_nearest
 
 #: Rows that the coarse centroids, and those of one coarse cell per fine centroid, are fitted on (about).
 SAMPLE_ROWS, FINE_ROWS = 20_000, 64
@@ -29,6 +29,8 @@ SAMPLE_ROWS, FINE_ROWS = 20_000, 64
 MOST_COARSE = 4096
 #: Rows of a coarse cell placed by one task; more are dealt out by a hash of the id.
 GROUP_ROWS = 50_000
+#: Up to this many probes a query travels once for each probed cell, beyond once for each block of rows.
+MOST_PROBES = 64
 
 
 @dataclass(frozen=True)
@@ -176,11 +178,52 @@ def build(base: DataFrame, cells: int, seed: int = 0) -> CellIndex:
 
 def search(index: CellIndex, queries: DataFrame, k: int, nprobe: int = 8) -> DataFrame:
     """Approximate top k ``(q, rank, id, dist)``: exact distances to the rows of each query's ``nprobe``
-    nearest cells. Only folders of probed coarse cells are read; no row is in two cells, so none is met twice."""
+    nearest cells. Of few probes, only folders of probed coarse cells are read; no row is in two cells, so
+    none is met twice. Many probes reach every folder, so there queries and rows meet in blocks, where a
+    query's distance to its ``nprobe``-th cell decides; with all cells probed the search is exact."""
     spark = queries.sparkSession
     queries = queries.select("q", "qv").where("qv IS NOT NULL")
+    count = index.cells.fine.count()
+    if nprobe >= count:
+        return exact_knn(index.table(spark).select("id", "data"), queries, k)
+    if nprobe > MOST_PROBES and 4 * count * index.cells.coarse.shape[1] <= BROADCAST_LIMIT:
+        return _search_blocks(index, queries, k, nprobe)
     points = queries.select(F.col("q").alias("id"), F.col("qv").alias("data"))
     probes = written(place(points, index.cells, nprobe, min(nprobe, len(index.cells.coarse))).withColumnRenamed("id", "q"), "probes")
     folders = [r.c1 for r in probes.select(F.floor(F.col("cell") / index.cells.width).cast("int").alias("c1")).distinct().collect()]  # at most MOST_COARSE
     rows = index.table(spark).where(F.col("c1").isin(folders)).select("id", "data", "cell")
     return exact_knn(rows, queries.join(probes, "q"), k, "cell", broadcast_bytes=0)
+
+
+def _search_blocks(index: CellIndex, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """One row per query says which cells it probes: the distance ``cut`` of the farthest of them. All
+    centroids are broadcast; their size was checked."""
+    spark = queries.sparkSession
+    fine = index.cells.fine.select((F.col("c1").cast("long") * index.cells.width + F.col("c2")).alias("cell"), "centroid").orderBy("cell").toArrow()
+    numbers, centroids = fine["cell"].to_numpy(), matrix(fine["centroid"])
+    slack = 1e-12 * (centroids * centroids).sum(1).max()
+    shared = spark.sparkContext.broadcast((numbers, centroids))
+    step = max(1, BLOCK_CELLS // len(numbers))
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                q, all_cells = matrix(batch.column("qv")).astype(float), shared.value[1]
+                cut = np.concatenate([
+                    np.partition(distances(q[at: at + step], all_cells), nprobe - 1, axis=1)[:, nprobe - 1] for at in range(0, len(q), step)])
+                # the same distance may come out otherwise in the last digits beside other centroids
+                cut += slack + 1e-12 * (q * q).sum(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut)], names=[*batch.schema.names, "cut"])
+
+    kind = queries.schema["qv"].dataType.simpleString()
+    asking = written(queries.repartition("q").mapInArrow(cuts, f"q {queries.schema['q'].dataType.simpleString()}, qv {kind}, cut double"), "cuts")
+
+    def allowed(left: pa.Table, right: pa.Table):
+        q, cut = matrix(left["qv"]).astype(float), left["cut"].to_numpy()
+        there, at = np.unique(right["cell"].to_numpy(), return_inverse=True)
+        near = shared.value[1][np.searchsorted(shared.value[0], there)]
+        return lambda rows: (distances(q[rows], near) <= cut[rows, None])[:, at]
+
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * centroids.shape[1])))
+    table = index.table(spark).where("data IS NOT NULL")
+    return rank_nearest(_block_plan(table, asking, k, None, L2(), np.float64, rows, (["cut"], ["cell"]), allowed), k)

@@ -62,6 +62,21 @@ def test_cell_index(spark, base, clustered):
     assert any("c1#" in part.split("]")[0] for part in few.split("PartitionFilters: [")[1:])
 
 
+def test_many_probes_move_a_query_once_per_block(spark, base, clustered, monkeypatch):
+    """The same rows as cell by cell, without a row per query and probed cell."""
+    index = cells.build(base, 25)
+    queries = vectors(spark, np.concatenate([clustered[1:200:4], RNG.normal(size=(20, 8))]).astype("f4"), "q", "qv")
+    placed, place = [], cells.place
+    monkeypatch.setattr(cells, "place", lambda *a: placed.append(a) or place(*a))
+    rows = lambda df: {(r.q, r.rank, r.id, round(r.dist, 9)) for r in df.collect()}
+    want = rows(cells.search(index, queries, 5, 6))
+    exact = rows(knn.exact_knn(base, queries, 5))
+    assert len(placed) == 1 and want != exact
+    monkeypatch.setattr(cells, "MOST_PROBES", 2)
+    assert rows(cells.search(index, queries, 5, 6)) == want
+    assert rows(cells.search(index, queries, 5, 99)) == exact and len(placed) == 1
+
+
 def test_index_of_odd_tables(spark):
     one = vectors(spark, [[1.0, 2.0], None])
     index = cells.build(one, 9)
