@@ -72,7 +72,7 @@ def kmeans(x: np.ndarray, k: int, steps: int = 8, seed: int = 0) -> np.ndarray:
     return found
 
 
-def _share(base: DataFrame, rows: int, salt: int) -> DataFrame:
+def share(base: DataFrame, rows: int, salt: int) -> DataFrame:
     """About ``rows`` rows chosen by a hash of the id; nothing of the others is moved."""
     count = base.count()
     if count <= rows:
@@ -101,11 +101,11 @@ def fit(base: DataFrame, cells: int, seed: int = 0) -> Cells:
     base = base.where("data IS NOT NULL").select("id", F.col("data").cast("array<float>").alias("data"))
     k1 = int(min(MOST_COARSE, max(1, np.ceil(np.sqrt(cells)))))
     width = -(-cells // k1)
-    sample = _share(base, max(SAMPLE_ROWS, 16 * k1), seed).orderBy("id").toArrow()  # bounded by the two numbers
+    sample = share(base, max(SAMPLE_ROWS, 16 * k1), seed).orderBy("id").toArrow()  # bounded by the two numbers
     if sample.num_rows == 0:
         raise ValueError("no vectors")
     coarse = kmeans(matrix(sample["data"]), k1, seed=seed)
-    placed = _with_coarse(_share(base, 2 * FINE_ROWS * cells, seed + 1), coarse, 1)
+    placed = _with_coarse(share(base, 2 * FINE_ROWS * cells, seed + 1), coarse, 1)
     turn = Window.partitionBy("c1").orderBy(F.xxhash64("id", F.lit(seed)), "id")
     bounded = placed.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= FINE_ROWS * width)
 

@@ -98,6 +98,18 @@ def test_linear_graph(spark, base):
     assert table.count() == 900
 
 
+def test_linear_graph_reaches_the_recall_asked_for(spark):
+    """Vectors without structure, of which two rounds of descent find too few neighbours."""
+    x = np.random.default_rng(5).normal(size=(3000, 48)).astype("f4")
+    loose = written(vectors(spark, x), "loose")
+    exact = written(graph.knn_edges(loose, 6).select("id", "neighbor"), "exact")
+    share = lambda edges: edges.select("id", "neighbor").join(exact, ["id", "neighbor"], "left_semi").count() / exact.count()
+    edges = written(graph.linear_edges(loose, 6, 93, recall=0.92), "edges")
+    assert share(edges) >= 0.9 and edges.groupBy("id").count().where("count <> 6").isEmpty()
+    assert abs(graph.found_share(loose, edges, 6) - share(edges)) < 0.03
+    assert share(graph.linear_edges(loose, 6, 2, recall=1.1)) == 1
+
+
 def test_descent_tries_only_pairs_with_a_fresh_link(spark, base):
     edges = written(graph.knn_edges(base, 4).drop("rank"), "edges")
     settled = graph.refine_edges(base, edges.withColumn("fresh", F.lit(False)), 4)
