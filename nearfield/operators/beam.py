@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import l2_sql, register_l2
 from ..session import BROADCAST_LIMIT, bucketed, checkpoint, fits_broadcast, partitions_for, written
-from .graph import is_edges, knn_graph, medoid
+from .graph import is_edges, knn_graph, medoid, to_edges
 from .knn import filtered_knn, rank_nearest
 
 STATE = ["q", "id", "dist", "seen", "ok", "steps", "visited"]
@@ -198,6 +198,10 @@ class _Run:
         self.beam, self.score, self.small = beam, score, small
         self.edges = is_edges(graph)
         self.spread = f"/*+ REPARTITION({parts}, q) */" if small else ""
+        self.tagged = None
+        if beam.on and not small:  # edges with the attribute of their end, so that others are left out before they move
+            ends = base.select(F.col("id").alias("neighbor"), beam.on)
+            self.tagged = written(to_edges(graph).join(ends, "neighbor").select("id", beam.on, "neighbor"), "tagged")
 
     def close(self, ctes: list[str], source: str, step: int, **inputs) -> tuple[DataFrame, dict]:
         """Rank and cut ``source``, checkpoint the new state, return it with its counts."""
@@ -221,18 +225,29 @@ class _Run:
         return self.close(ctes, "merged", step, state=state, graph=self.graph, base=self.base,
                           queries=self.queries)
 
+    def hop(self, src: DataFrame, rows: int) -> DataFrame:
+        """(q, id) -> neighbours (q, id)."""
+        return self.spark.sql(_hop_sql("{src}", self.edges), src=src, graph=asked_rows(self.graph, src, rows))
+
+    def last_hop(self, src: DataFrame, rows: int) -> DataFrame:
+        """The same; with an attribute only neighbours that share the query's."""
+        if self.tagged is None:
+            return self.hop(src, rows)
+        on = self.beam.on
+        src = src.join(self.queries.select("q", on), "q")
+        return src.join(asked_rows(self.tagged, src, rows), ["id", on]).select("q", F.col("neighbor").alias("id"))
+
     def step_large(self, state: DataFrame, picks: int, step: int) -> tuple[DataFrame, dict]:
         """Large tables: each join is preceded by the number of ids it asks for."""
         spark, beam = self.spark, self.beam
         frontier = state.where("pick").select("q", "id")
-        graph = asked_rows(self.graph, frontier, picks)
-        hop = spark.sql(_hop_sql("{src}", self.edges), src=frontier, graph=graph)
         if beam.hops == 2:
-            near, m = _counted(hop.distinct(), "count(*) AS rows")
-            graph = asked_rows(self.graph, near, m["rows"])
-            hop = spark.sql(_hop_sql("{src}", self.edges), src=near, graph=graph)
+            near, m = _counted(self.hop(frontier, picks).distinct(), "count(*) AS rows")
+            hop = self.last_hop(near, m["rows"])
             if beam.include_one_hop:
                 hop = hop.unionByName(near)
+        else:
+            hop = self.last_hop(frontier, picks)
         fresh = spark.sql(
             _with(["reached AS (SELECT * FROM {hop})", *_fresh_ctes("")], "SELECT q, id FROM fresh"),
             hop=hop, state=state)

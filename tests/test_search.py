@@ -410,3 +410,15 @@ def test_code_distances_by_product_or_lookup(monkeypatch):
         top.add(np.arange(3000), b)
         rows.append([c.tolist() for c in top.rows()])
     assert rows[0] == rows[1]
+
+
+def test_hybrid_step_moves_only_matching_pairs(tables_, skewed, monkeypatch):
+    """What the second hop reaches is filtered before it is deduplicated, written and joined with vectors."""
+    base, queries, g = tables_
+    x, a1, q, qa = skewed
+    seen, counted = [], beam._counted
+    monkeypatch.setattr(beam, "_counted", lambda df, *m: seen.append(counted(df, *m)) or seen[-1])
+    beam.hybrid_search(base, g, queries, 5, 12, 6, fill=False, small=False)
+    pairs = [df for df, _ in seen if df.columns == ["q", "id"]]
+    fresh = [(r.q, r.id) for df in pairs[1::2] for r in df.collect()]
+    assert fresh and all(a1[i] == qa[j] for j, i in fresh)
