@@ -15,8 +15,8 @@ rows is all the memory the search needs, and the state stays bounded by queries
 One step is: picked vertices join the graph, neighbours not yet listed join their vectors and their
 query, the union with the list is ranked and cut to ``l``. Every step ends in a reliable
 checkpoint; one row of counts returns to the driver. Small inputs take the step in one statement
-with explicit partition counts (adaptive execution would merge them into one task). For large ones
-the graph and the vectors stay where they are, only the rows asked for move, and every exchange
+with explicit partition counts (adaptive execution would merge them into one task). Many queries on
+large ones go the way of ``walk``, where vectors do not move per scored pair; for few, and with an attribute, the graph and the vectors stay where they are, only the rows asked for move, and every exchange
 keeps its map-side group limit and skew handling.
 """
 
@@ -24,11 +24,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.vector import l2_sql, register_l2
-from ..session import BROADCAST_LIMIT, bucketed, checkpoint, fits_broadcast, partitions_for, written
+from ..session import BROADCAST_LIMIT, MB, bucketed, checkpoint, fits_broadcast, partitions_for, written
+from . import walk
+from .blocks import L2
 from .graph import is_edges, knn_graph, medoid, to_edges
 from .knn import filtered_knn, rank_nearest
 
@@ -36,11 +39,13 @@ STATE = ["q", "id", "dist", "seen", "ok", "steps", "visited"]
 #: Bytes of one state row in a shuffle, for partition counts.
 ROW_BYTES = 64
 #: Graph, base and queries up to this size each are broadcast in every step.
-SMALL_LIMIT = BROADCAST_LIMIT // 2
+SMALL_LIMIT = 2 * MB
 #: Bytes of one id in a broadcast hash relation.
 ID_BYTES = 24
 #: Up to this many ids become a literal IN filter on the scan.
 LOOKUP_IDS = 256
+#: More queries than this on tables that are not small go the way of ``walk``.
+MANY_QUERIES = 256
 
 
 @dataclass(frozen=True)
@@ -158,12 +163,17 @@ def _seed_ctes(beam: Beam, score: str, spread: str) -> list[str]:
     ]
 
 
-def with_entry(queries: DataFrame, base: DataFrame, entry: int) -> DataFrame:
-    """Every query ``s`` beside the entry vertex ``b``, fetched by key and carried as a literal:
-    one vector through the driver, and no join without a key."""
+def entry_row(base: DataFrame, entry: int):
     row = base.where(F.col("id") == entry).first()
     if row is None:
         raise ValueError(f"entry vertex {entry} is not in the base table")
+    return row
+
+
+def with_entry(queries: DataFrame, base: DataFrame, entry: int) -> DataFrame:
+    """Every query ``s`` beside the entry vertex ``b``, fetched by key and carried as a literal:
+    one vector through the driver, and no join without a key."""
+    row = entry_row(base, entry)
     fields = []
     for f in base.schema.fields:
         value = row[f.name]
@@ -273,15 +283,20 @@ def search(
     *,
     score: str | None = None,
     small: bool | None = None,
+    metric=None,
+    dtype=np.float64,
+    at: walk.Vertices | None = None,
 ) -> DataFrame:
     """Run to the end and return the final candidate lists (columns ``STATE``).
 
     ``score`` is the distance as SQL text over ``b.data`` and ``s.qv`` (an expression or a
-    registered function); Euclidean by default.
+    registered function); Euclidean by default. ``metric`` is the same distance as a kernel of
+    ``blocks``, on vectors of ``dtype``.
 
     ``small`` says that graph, base and queries all fit a broadcast; by default Catalyst's size
-    estimates decide. Results do not depend on it: both forms of the distance add up in one order.
-    Rows without a vector take no part.
+    estimates decide. More than ``MANY_QUERIES`` queries on tables that do not fit go the way of ``walk``, over
+    the stored vertices ``at`` if they are given. Results do not depend on it: all forms of the distance
+    add up in one order. Rows without a vector take no part.
     """
     spark = base.sparkSession
     base = base.select("id", "data", *([beam.on] if beam.on else [])).where("data IS NOT NULL")
@@ -289,9 +304,18 @@ def search(
     queries = written(queries.select("q", "qv", *([beam.on] if beam.on else [])).where("qv IS NOT NULL"), "queries")
     if small is None:
         small = fits_broadcast(base, graph, queries, limit=SMALL_LIMIT)
+    count = queries.count()
+    metric = metric or (L2() if score is None else None)
+    if not small and count > MANY_QUERIES and metric and beam.hops == 1 and not beam.on:
+        first = entry_row(base, entry)["data"]
+        stored = at or walk.vertices(base, graph)
+        found = walk.search(stored, first, queries, base, entry, beam, metric, dtype)
+        if at is None:
+            stored.drop()
+        return found
     if score is None:
         score = l2_sql("b.data", "s.qv") if small else f"{register_l2(spark)}(b.data, s.qv)"
-    parts = partitions_for(spark, queries.count() * beam.l, ROW_BYTES, min_rows=256)
+    parts = partitions_for(spark, count * beam.l, ROW_BYTES, min_rows=256)
     run = _Run(base, graph, queries, beam, score, small, parts)
     advance = run.step_small if small else run.step_large
 
@@ -398,9 +422,13 @@ def post_filter_search(
     attribute value. With ``widen=False`` there is one search, which may return fewer than k."""
     due = _due(base, k, on) if widen else None
     most = most or 4 * l
-    parts = None
+    parts = at = None
+    small = kw.pop("small", None)
+    small = fits_broadcast(base, graph, queries, limit=SMALL_LIMIT) if small is None else small
+    if widen and not small and queries.count() > MANY_QUERIES:
+        at = walk.vertices(base.select("id", "data").where("data IS NOT NULL"), graph)  # once for all searches
     while True:
-        found = written(search(base, graph, queries, entry, Beam(l, w, t), **kw).select("q", "id", "dist"), "found")
+        found = written(search(base, graph, queries, entry, Beam(l, w, t), at=at, small=small, **kw).select("q", "id", "dist"), "found")
         hits = (
             found.join(asked_rows(base.select("id", on), found, found.count()), "id")
             .join(queries.select("q", on), ["q", on]).select("q", "id", "dist")
@@ -413,6 +441,8 @@ def post_filter_search(
         parts = settled if parts is None else parts.unionByName(settled)
         l, w = 2 * l, 2 * w
         if l > most or queries.isEmpty():
+            if at:
+                at.drop()
             return rank_nearest(parts, k).unionByName(_exactly(base, queries, k, on))
 
 

@@ -79,4 +79,5 @@ def pq_search(
     """Two-phase beam search on codes; cuts by RANK unless ``ties`` is off. Returns the lists."""
     name = register_distance(codes.sparkSession, table)
     beam = Beam(l, w, t, ties=ties)
-    return search(codes, graph, queries, entry, beam, score=f"{name}(b.data, s.qv)", **kw)
+    return search(codes, graph, queries, entry, beam, score=f"{name}(b.data, s.qv)",
+                  metric=PQTable(table), dtype=np.int64, **kw)
