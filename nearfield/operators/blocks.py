@@ -6,8 +6,9 @@ import numpy as np
 
 from ..functions.vector import sum_squares
 
-#: Cells (queries x base rows) of one distance matrix held in memory at a time.
-BLOCK_CELLS = 1 << 22
+#: Cells (queries x base rows) of one distance matrix held in memory at a time: among copies all of
+#: them are kept for the exact distance, in about ten arrays.
+BLOCK_CELLS = 1 << 20
 #: Base rows in one distance matrix: wide enough that the bookkeeping per query row is small.
 BLOCK_WIDTH = 1 << 13
 #: Base rows of the first one.
