@@ -9,10 +9,13 @@ of all fingerprints by partition value, and candidates are verified.
 A fingerprint that expects many candidates under every choice lies in a crowd of near copies. For
 an even radius such fingerprints are linked through all points within ``radius / 2`` bits instead:
 two of them share such a point if and only if they are within the radius. That is exact, and linear
-where pairs would be quadratic. For an odd radius no such point lies in the middle. There each is
-linked, if within the radius, to the least of those that agree with it in a partition up to its
-threshold, and through points within one bit. That leaves few components, and only fingerprints
-that meet one other than the main one of their surroundings probe, for the missing links.
+where pairs would be quadratic.
+
+For an odd radius no such point lies in the middle. There the bits are cut into ``radius + 3`` blocks, of
+which two fingerprints within the radius agree in at least three. Every fingerprint is dealt out under
+each choice of three blocks, and the tasks compare what agrees in all of them. A bucket gives no more
+links than it has fingerprints, and no pair of it becomes a row. Of buckets too large for that only
+fingerprints outside the main component are compared again, in a grid.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ BITS = 64
 CROWD = 256
 #: Cost of one index probe in candidates.
 PROBE = 0.2
+#: Fingerprints of a bucket that are compared with each other in one go, for an odd radius.
+BUCKET = 2048
+#: Rows of whole buckets compared at a time.
+BUCKET_ROWS = 1 << 17
 
 
 def fingerprint(text: str, width: int = 3, seed: int = 42, damped: bool = False) -> int:
@@ -210,45 +217,164 @@ def _shared_points(fps: DataFrame, bits: int) -> DataFrame:
     )
 
 
-def _kept_bits(groups: list[list[int]], radius: int) -> list[int]:
-    """Masks of which any two fingerprints within the radius agree under at least one: the thresholds
-    are dealt evenly, and of each partition all choices of as many bits are left out."""
-    out = []
-    for i, g in enumerate(groups):
-        t = (radius + 1) // len(groups) + (i < (radius + 1) % len(groups)) - 1
-        if t >= 0:
-            out += [sum(1 << b for b in g if b not in gone) for gone in combinations(g, min(t, len(g)))]
-    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in out]
+def _agreeing(radius: int) -> list[int]:
+    """Masks of three blocks of bits each; any two fingerprints within the radius agree under at least one."""
+    blocks = [[int(b) for b in g] for g in np.array_split(np.arange(BITS), radius + 3)]
+    masks = [sum(1 << b for g in kept for b in g) for kept in combinations(blocks, 3)]
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))  # of a negative number it would count the bits of its absolute value
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root``, the least place of each place's component, with the components of ``a`` and ``b`` made one."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(above := root[root], root):
+            root = above
+
+
+def _bucket_roots(key: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+    """For rows sorted by key the first row of its component, by pairs of one key within the radius."""
+    root, at, found, many = np.arange(len(key)), np.arange(len(key)), [], 0
+    for lag in range(1, len(key)):
+        at = at[: np.searchsorted(at, len(key) - lag)]
+        at = at[key[at] == key[at + lag]]
+        if not len(at):
+            break
+        ask = at[root[at] != root[at + lag]]
+        ask = ask[_differing(fp[ask], fp[ask + lag]) <= radius]
+        found.append((ask, ask + lag))
+        many += len(ask)
+        if many > len(key):
+            root, found, many = _joined(root, *(np.concatenate(x) for x in zip(*found, strict=True))), [], 0
+    return _joined(root, *(np.concatenate(x) for x in zip(*found, strict=True))) if found else root
+
+
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], limit: float) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Rows sorted by the first of ``columns``: whole runs of equal values, many at a time, and apart from
+    these (with True) the rows of runs longer than ``limit``, in any number of parts."""
+    held, size, large = [], 0, None
+    for batch in batches:
+        rows = [batch.column(c).to_numpy() for c in columns]
+        if large is not None:
+            n = int(np.searchsorted(rows[0], large, "right"))
+            if n:
+                yield True, [r[:n] for r in rows]
+            rows = [r[n:] for r in rows]
+        if not len(rows[0]):
+            continue
+        large = None
+        held.append(rows)
+        size += len(rows[0])
+        if size < BUCKET_ROWS:
+            continue
+        rows = [np.concatenate(r) for r in zip(*held, strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        yield from _parted([r[:last] for r in rows], limit)
+        rest = [r[last:] for r in rows]
+        if len(rest[0]) > limit:
+            large = rest[0][0]
+            yield True, rest
+            held, size = [], 0
+        else:
+            held, size = [rest], len(rest[0])
+    if held:
+        yield from _parted([np.concatenate(r) for r in zip(*held, strict=True)], limit)
+
+
+def _parted(rows: list[np.ndarray], limit: float) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    _, place, count = np.unique(rows[0], return_inverse=True, return_counts=True)
+    large = count[place] > limit
+    for which in (False, True):
+        if (large == which).any():
+            yield which, [r[large == which] for r in rows]
+
+
+def _bucket_links(radius: int, limit: float):
+    """Rows (key, fp) sorted by both -> links (a, b); of buckets over the limit their rows, without b."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for large, (key, fp) in _runs(batches, ["key", "fp"], limit):
+            if large:
+                a, b = fp, pa.nulls(len(fp), pa.int64())
+            else:
+                root = _bucket_roots(key, fp, radius)
+                linked = np.flatnonzero(root != np.arange(len(fp)))
+                key, a, b = key[linked], fp[root[linked]], fp[linked]
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "key": key})
 
-def _odd_crowd(crowded: DataFrame, index: DataFrame, probing, groups: list[list[int]], radius: int) -> DataFrame:
-    """Links ``(a, b)`` within the radius, with the components of all such pairs of ``crowded (fp)``.
+    return run
 
-    ``probing(fps)`` gives the index probes of ``fps``, whatever they cost."""
-    keys = written(crowded.select("fp", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for n, m in enumerate(_kept_bits(groups, radius))
-    ]))), "crowd_keys")
-    least = keys.groupBy("mask", "value").agg(F.min("fp").alias("a"))
-    stars = keys.withColumnRenamed("fp", "b").join(least, ["mask", "value"]).where(_within("a", "b", radius)).select("a", "b")
-    links = written(stars.unionByName(_shared_points(crowded, min(1, radius // 2))).distinct(), "crowd_links")
+
+def _cell_links(radius: int):
+    """Rows (cell, mine, fp, root) sorted by cell -> links (a, b) of roots: those of rows that are ``mine``
+    with others of the cell, if within the radius."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (cell, mine, fp, root) in _runs(batches, ["cell", "mine", "fp", "root"], float("inf")):
+            ends = np.flatnonzero(np.append(cell[1:] != cell[:-1], True)) + 1
+            for start, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                own = mine[start:end] == 1
+                f, r = fp[start:end], root[start:end]
+                ask, ask_root, f, r = f[own], r[own], f[~own], r[~own]
+                for n in range(0, len(ask), 256):
+                    near = _differing(ask[n : n + 256, None], f) <= radius
+                    i, j = np.nonzero(near & (ask_root[n : n + 256, None] != r))
+                    links = np.unique(np.stack([ask_root[n + i], r[j]], 1), axis=0)
+                    yield pa.RecordBatch.from_pydict({"a": links[:, 0], "b": links[:, 1]})
+
+    return run
+
+
+def _odd_links(distinct: DataFrame, radius: int, limit: float) -> DataFrame:
+    """Links ``(a, b)`` with the components of all pairs of ``distinct (fp)`` within the radius."""
+    keys = distinct.select("fp", F.explode(F.array(*[
+        F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m))) for n, m in enumerate(_agreeing(radius))])).alias("key"))
+    met = written(
+        keys.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+        .mapInArrow(_bucket_links(radius, limit), "a long, b long, key long"), "bucket_links")
+    links = met.where("b IS NOT NULL").select("a", "b").distinct()
+    members = met.where("b IS NULL").select("key", F.col("a").alias("fp"))
+    if members.isEmpty():
+        return links
+    least = members.groupBy("key").agg(F.min("fp").alias("a"))
+    stars = members.withColumnRenamed("fp", "b").join(least, "key").where(_within("a", "b", radius)).select("a", "b")
+    links = written(links.unionByName(stars).distinct(), "crowd_links")
     rooted = written(
-        crowded.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "crowd_roots")
+        members.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "crowd_roots")
     # Of a pair in different components at least one is outside the main component of a key they share.
-    met = keys.join(rooted, "fp")
     main = (
-        met.groupBy("mask", "value", "root").agg(F.count("*").alias("n")).groupBy("mask", "value")
-        .agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root"))["root"].alias("main")).where("kinds > 1")
+        rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+        .agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).where("kinds > 1")
+        .select("key", F.col("main.root").alias("main"), F.ceil(F.col("n") / limit).alias("high"), F.ceil((F.col("n") - F.col("main.n")) / limit).alias("wide"))
     )
-    apart = met.join(main, ["mask", "value"]).where("root <> main").select("fp").distinct()
-    probes = written(probing(apart), "crowd_probes").join(rooted, "fp").withColumnsRenamed({"fp": "a", "root": "root_a"})
-    inside = index.join(rooted, "fp").withColumnsRenamed({"fp": "b", "root": "root_b"})
-    missing = probes.join(inside, ["part", "value"]).where((F.col("root_a") != F.col("root_b")) & _within("a", "b", radius))
-    return links.unionByName(missing.select("a", "b"))
+    apart = rooted.join(main, "key")
+    place = lambda n: F.pmod(F.xxhash64("fp"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = apart.select("key", F.lit(0).alias("mine"), "fp", "root", place(F.col("high")).alias("i"), every("wide").alias("j"))
+    asking = apart.where("root <> main").select("key", F.lit(1).alias("mine"), "fp", "root", every("high").alias("i"), place(F.col("wide")).alias("j"))
+    cells = asked.unionByName(asking).select(F.xxhash64("key", "i", "j").alias("cell"), "mine", "fp", "root")
+    missing = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius), "a long, b long")
+    return links.unionByName(missing.distinct())
 
 
-def near_links(distinct: DataFrame, radius: int = 2, parts: int | None = None, crowd: float = CROWD) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 2, parts: int | None = None, crowd: float | None = None) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp``, with the same components as all pairs
-    within ``radius`` bits. Outside crowds every pair within the radius is a link."""
+    within ``radius`` bits. For an even radius every pair within the radius is a link outside crowds.
+
+    ``parts`` partitions serve an even radius. ``crowd`` is the number of candidates, or for an odd
+    radius the size of a bucket, from which the ways for crowds are taken."""
+    if radius % 2:
+        return _odd_links(distinct, radius, max(1, BUCKET if crowd is None else crowd))
+    crowd = CROWD if crowd is None else crowd
     parts = parts or radius + 1
     total = distinct.count()
     sums = (
@@ -264,27 +390,19 @@ def near_links(distinct: DataFrame, radius: int = 2, parts: int | None = None, c
     counted = index.join(sizes, ["part", "value"]).groupBy("fp").agg(
         *[F.sum(F.when(F.col("part") == i, F.col("n"))).alias(f"n{i}") for i in range(parts)])
 
-    def probing(fps: DataFrame, limit: float) -> DataFrame:
-        return fps.mapInArrow(_probes(groups, share, total, radius, limit), "part long, value long, fp long")
-
-    probes = written(probing(counted, crowd), "probes")
+    probes = written(
+        counted.mapInArrow(_probes(groups, share, total, radius, crowd), "part long, value long, fp long"), "probes")
     found = (
         probes.where("part >= 0").withColumnRenamed("fp", "a").join(index.withColumnRenamed("fp", "b"), ["part", "value"])
         .where(_within("a", "b", radius)).select("a", "b")
     )
-    crowded = probes.where("part = -1").select("fp")
-    if radius % 2 == 0:
-        return found.unionByName(_shared_points(crowded, radius // 2))
-    if crowded.isEmpty():
-        return found
-    return found.unionByName(_odd_crowd(
-        crowded, index, lambda fps: probing(counted.join(fps, "fp", "left_semi"), float("inf")), groups, radius))
+    return found.unionByName(_shared_points(probes.where("part = -1").select("fp"), radius // 2))
 
 
-def _grouped(rows: DataFrame, radius: int, parts: int | None = None) -> DataFrame:
+def _grouped(rows: DataFrame, radius: int) -> DataFrame:
     """``rows (doc_id, row_key, fp)`` with ``root``, the least fingerprint of the component, and ``component_id``."""
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
-    of = components(near_links(distinct.select("fp"), radius, parts))
+    of = components(near_links(distinct.select("fp"), radius))
     rooted = distinct.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(rooted.select("fp", "root").join(ids, "root"), "fp")
@@ -376,7 +494,7 @@ def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, ra
     of equal ids with different texts the smaller row key comes first, null ids come last.
     """
     rows = written(fingerprints(docs, 1, damped=True, text_key=True), "fingerprints")
-    grouped = _grouped(rows, radius, parts=3)
+    grouped = _grouped(rows, radius)
     keyed = written(grouped.select("root", "text_key", "row_key", "doc_id").distinct(), "group_members")
     several = keyed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     # Exact copies first: one member per text, so a group of copies costs one comparison, and only

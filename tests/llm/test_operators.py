@@ -190,6 +190,37 @@ def test_crowds_with_an_odd_radius_keep_every_link(spark, radius, parts, crowd):
     assert dict(rows(got)) == {f: r for f, r in root.items() if size[r] > 1}
 
 
+@pytest.mark.parametrize("crowd", [None, 256.0, 5.0])
+def test_an_odd_radius_makes_rows_by_fingerprint(spark, monkeypatch, crowd):
+    """A group of near copies five times as large: what is written grows with the fingerprints, not with
+    their pairs, however large buckets are, and the components are those of all pairs."""
+    sizes, plain = {}, simhash_dedup.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash_dedup, "written", counted)
+    made = {}
+    for n in (40, 200):
+        rng = np.random.default_rng(5)
+        fps = np.unique(np.concatenate([rng.integers(-(2**63), 2**63, 2 * n), *[
+            centre ^ np.bitwise_or.reduce(np.int64(1) << rng.integers(0, 64, (n, 2)), axis=1) for centre in rng.integers(-(2**63), 2**63, 2)]]))
+        sizes.clear()
+        links = simhash_dedup.near_links(spark.createDataFrame([(int(f),) for f in fps], "fp long"), 5, 3, crowd)
+        got = dict(rows(components(links)))
+        made[n] = sum(sizes.values()) + links.count()
+        near = np.bitwise_count((fps[:, None] ^ fps).view(np.uint64)) <= 5
+        root = np.arange(len(fps))
+        while not np.array_equal(least := np.where(near, root, len(fps)).min(1), root):
+            root = least
+        size = np.bincount(root, minlength=len(fps))
+        assert got == {int(f): int(fps[r]) for f, r in zip(fps, root, strict=True) if size[r] > 1}
+        assert made[n] <= (60 if crowd is None else 120) * len(fps)
+    assert made[200] < 15 * made[40]  # by pairs it would be 25
+
+
 def test_representatives(spark, odd, none):
     base = [f"w{i}" for i in range(60)]
     near = base[:58] + ["x", "y"]
