@@ -113,3 +113,22 @@ def test_vertices_stay_in_place(spark, tables_, monkeypatch):
         lines = plan.splitlines()
         at = next(n for n, line in enumerate(lines) if "vertices_" in line)
         assert "Exchange" not in "".join(lines[at - 3:at]), json.dumps(lines)
+
+
+def test_answers_wait_for_their_turn(spark, tables_, monkeypatch):
+    """A greedy search takes fewer rounds than steps, and no exchange of a round carries a query's list."""
+    base, queries, g = tables_
+    plans = []
+    monkeypatch.setattr(walk, "_Lists", type("Seen", (walk._Lists,), {
+        "__init__": lambda self, df, f=walk._Lists.__init__: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(self, df))[1]}))
+    state = search(base, g, queries, 5, Beam(8), small=False)
+    assert len(plans) < max(r["steps"] for r in trace(state).collect())
+    rounds = [p for p in plans if "vertices_" in p]
+    assert rounds and not [t.name for t in spark.catalog.listTables() if t.name.startswith(("lists_", "vectors_"))]
+    for line in "\n".join(rounds).splitlines():
+        assert not ("Exchange" in line and "hashpartitioning(q#" in line and "held#" in line), line
+    for plan in rounds:
+        lines = plan.splitlines()
+        at = max(n for n, line in enumerate(lines) if "lists_" in line and "held" in line)
+        above = next(n for n in range(at, 0, -1) if "Exchange" in lines[n] or "Join" in lines[n])
+        assert "Join" in lines[above], plan
