@@ -69,6 +69,7 @@ def grams_of(units: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     used[points] = True
     codes = np.cumsum(used)[points]  # from 1; zero stands before a unit's first symbol
     base = int(used.sum()) + 1
+    del points, used
     starts = np.cumsum(sizes) - sizes
     place = np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
     packed, power, earlier = codes.copy(), 1, np.empty_like(codes)
@@ -76,24 +77,28 @@ def grams_of(units: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         power *= base
         if power > 2**62 // base:  # many symbols: number the shorter grams first
             packed, first = _numbered(packed)
-            power = len(first)
+            packed, power = packed.astype(np.int64), len(first)
         earlier[:back] = 0
         np.multiply(codes[: max(len(codes) - back, 0)], power, out=earlier[back:])
         earlier *= place >= back
         packed += earlier
+    del codes, earlier
     asked = place > 0
-    ids, first = _numbered(packed[asked])
+    packed = packed[asked]
+    ids, first = _numbered(packed)
+    del packed
     ends = np.flatnonzero(asked)[first]
     begins = ends - np.minimum(place[ends], ORDER - 1)
+    del asked, place
     grams = [whole[i: j + 1] for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
-    return np.repeat(np.arange(len(sizes)), np.maximum(sizes - 1, 0)), ids, pa.array(grams, pa.string())
+    return np.repeat(np.arange(len(sizes), dtype=np.int32), np.maximum(sizes - 1, 0)), ids, pa.array(grams, pa.string())
 
 
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Number of each value in order of first appearance, and where each distinct value first stands."""
-    ids = pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+    ids = pa.array(values).dictionary_encode().indices.to_numpy()
     first = np.empty(int(ids.max(initial=-1)) + 1, np.int64)
-    first[ids[::-1]] = np.arange(len(ids))[::-1]  # of equal places the last assignment counts
+    first[ids[::-1]] = np.arange(len(ids), dtype=np.int32)[::-1]  # of equal places the last assignment counts
     return ids, first
 
 
@@ -145,11 +150,13 @@ def _score_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ids, units = get("doc_id").values, widened_strings(get("units").as_py())
             unit_of, gram, grams = grams_of(units)
             logp = np.zeros(len(grams))
+            del grams
             if get("answers").is_valid:
                 answer = get("answers").values.to_numpy()
                 logp[answer >> 32] = -STEP * (answer & 0xFFFFFFFF)
             per_unit = np.bincount(unit_of, logp[gram], len(units))
             symbols = np.bincount(unit_of, minlength=len(units))
+            del unit_of, gram
             owner, unit = blocks.tokens_from_steps(widened(get("per_doc").as_py()), widened(get("step").as_py()))
             freq = widened(get("freq").as_py())
             yield pa.RecordBatch.from_arrays([

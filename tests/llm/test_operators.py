@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -559,3 +561,17 @@ def test_grams_of_many_symbols():
         for o, i in zip(owner.tolist(), ids.tolist(), strict=True):
             got[o].append(grams[i].as_py())
         assert got == [plain_grams(u) for u in units] and len(set(grams.to_pylist())) == len(grams)
+
+
+def test_grams_of_a_block_take_little_memory():
+    """Arrays of symbols are given back as soon as they are used: blocks of 6 MB share an executor's memory."""
+    rng = np.random.default_rng(3)
+    units = pa.array([" " + "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 14))) for _ in range(20_000)])
+    quality.grams_of(units.slice(0, 10))
+    tracemalloc.start()
+    owner, ids, grams = quality.grams_of(units)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 * len(owner)  # 154 bytes a symbol before
+    want = [g for unit in units.to_pylist() for g in plain_grams(unit)]
+    assert grams.take(pa.array(ids)).to_pylist() == want
