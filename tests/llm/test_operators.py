@@ -254,6 +254,34 @@ def test_representatives_of_many_families(spark):
     assert 30 <= len(want) < len(sets) and sorted(r.doc_id for r in got.collect()) == want
 
 
+def test_representatives_beyond_the_radius(spark, monkeypatch):
+    """Near copies go however many bits their fingerprints differ in."""
+    rng = np.random.default_rng(8)
+    data = []
+    for family in range(40):
+        text = [f"f{family}x{i}" for i in range(24)] + ["a line that all of them have in common"]
+        for _ in range(3):
+            data.append((len(data), " ".join(text)))
+            text[int(rng.choice([0, 23]))] = f"n{len(data)}"
+    data += [(len(data), "ÉTÉ à la mer"), (len(data) + 1, "été à la mer")]
+    sets = {i: {tuple(w[a: a + 5]) for a in range(max(1, len(w) - 4))} for i, t in data for w in [t.lower().split()]}
+    near = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    fps = {i: simhash_dedup.fingerprint(t, 1, damped=True) for i, t in data}
+    assert sum((fps[i] ^ fps[j]).bit_count() > 5 for i, j in near) > 10
+    want = []
+    for i in sorted(sets):
+        if not any((j, i) in near for j in want):
+            want.append(i)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_dedup.representatives(df).collect()) == want
+    monkeypatch.setattr(simhash_dedup, "SHINGLE_ROWS", 10)
+    links = simhash_dedup.shingle_links(df.repartition(5), 0.8, 5)
+    key = {r.doc_id: r.k for r in df.selectExpr("doc_id", "xxhash64(text) AS k").collect()}
+    root = {r.node: r.root for r in simhash_dedup.components(links).collect()}
+    assert all(root[key[i]] == root[key[j]] for i, j in near)
+    assert rows(simhash_dedup.shingle_links(df.limit(0), 0.8, 5)) == []
+
+
 def test_decontamination(spark, docs, odd, none):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     norm = lambda t: " ".join("".join(c.lower() if c.isalnum() else " " for c in t or "").split())
