@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import l2_sql, register_l2
 from ..session import BROADCAST_LIMIT, MB, bucketed, checkpoint, fits_broadcast, partitions_for, written
-from . import walk
+from . import held, walk
 from .blocks import L2
 from .graph import is_edges, knn_graph, medoid, to_edges
 from .knn import filtered_knn, rank_nearest
@@ -419,20 +419,30 @@ def post_filter_search(
     Queries left with fewer than k, while more rows share their attribute, search again with twice
     the list (and twice the width), until it holds all that can be reached or would exceed ``most``
     (four times ``l`` by default): what is then still short is answered exactly from the rows of its
-    attribute value. With ``widen=False`` there is one search, which may return fewer than k."""
+    attribute value. With ``widen=False`` there is one search, which may return fewer than k.
+
+    Tables that every task can hold go the way of ``held``, unless ``small`` says how to search."""
     due = _due(base, k, on) if widen else None
     most = most or 4 * l
-    parts = at = None
+    parts = at = table = None
     small = kw.pop("small", None)
+    metric = kw.get("metric") or (L2() if kw.get("score") is None else None)
+    if small is None and metric:
+        table = held.hold(base, graph, queries, on)
+        if table:
+            entry_row(base.where("data IS NOT NULL"), entry)
     small = fits_broadcast(base, graph, queries, limit=SMALL_LIMIT) if small is None else small
-    if widen and not small and queries.count() > MANY_QUERIES:
+    if widen and not table and not small and queries.count() > MANY_QUERIES:
         at = walk.vertices(base.select("id", "data").where("data IS NOT NULL"), graph)  # once for all searches
     while True:
-        found = written(search(base, graph, queries, entry, Beam(l, w, t), at=at, small=small, **kw).select("q", "id", "dist"), "found")
-        hits = (
-            found.join(asked_rows(base.select("id", on), found, found.count()), "id")
-            .join(queries.select("q", on), ["q", on]).select("q", "id", "dist")
-        )
+        if table:
+            hits = held.search(table, queries, entry, Beam(l, w, t), metric, kw.get("dtype", np.float64))
+        else:
+            found = written(search(base, graph, queries, entry, Beam(l, w, t), at=at, small=small, **kw).select("q", "id", "dist"), "found")
+            hits = (
+                found.join(asked_rows(base.select("id", on), found, found.count()), "id")
+                .join(queries.select("q", on), ["q", on]).select("q", "id", "dist")
+            )
         if not widen:
             return rank_nearest(hits, k)
         hits = written(hits, "hits")
@@ -443,6 +453,8 @@ def post_filter_search(
         if l > most or queries.isEmpty():
             if at:
                 at.drop()
+            if table:
+                table.shared.destroy()
             return rank_nearest(parts, k).unionByName(_exactly(base, queries, k, on))
 
 
