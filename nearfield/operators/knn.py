@@ -172,6 +172,21 @@ def knn_within(base: DataFrame, queries: DataFrame, k: int, on: str, *, block_by
     return rank_nearest(scored.groupBy("q", "id").agg(F.min("dist").alias("dist")), k)
 
 
+def knn_of_blocks(rows: DataFrame, k: int, on: str) -> DataFrame:
+    """The k nearest rows of every row among those that share a value of ``on``, its own among them: as
+    ``knn_within`` of the rows with themselves, but each moves once per value. The rows of a value must
+    fit a block."""
+
+    def inside(block: pa.Table) -> pa.Table:
+        ids, vectors = _ints(block["id"]), matrix(block["data"], np.float64)
+        top = TopK(L2(), ids, vectors, k)
+        top.add(ids, vectors)
+        return pa.Table.from_batches([_batch(top)])
+
+    scored = rows.where("data IS NOT NULL").select(on, "id", "data").groupBy(on).applyInArrow(inside, OUT)
+    return rank_nearest(scored.groupBy("q", "id").agg(F.min("dist").alias("dist")), k)
+
+
 def filtered_knn(base: DataFrame, queries: DataFrame, k: int, on: str = "a1") -> DataFrame:
     """Pre-filter search: exact neighbours among the rows whose attribute equals the query's."""
     return exact_knn(base, queries, k, on)

@@ -110,6 +110,22 @@ def test_linear_graph_reaches_the_recall_asked_for(spark):
     assert share(graph.linear_edges(loose, 6, 2, recall=1.1)) == 1
 
 
+def test_cells_are_judged_before_rows_are_compared(spark, monkeypatch):
+    """Rows of blocks are compared once, however often there are too few cells; the share of the edges is known before."""
+    x = np.random.default_rng(6).normal(size=(1200, 16)).astype("f4")
+    x[::40] = x[0]
+    loose = written(vectors(spark, x).withColumn("data", F.when(F.col("id") != 9, F.col("data"))), "loose")
+    made, shares = [], []
+    monkeypatch.setattr(graph, "written", lambda df, name, f=graph.written: (made.append(name), f(df, name))[1])
+    monkeypatch.setattr(graph, "met_share", lambda checked, placed, f=graph.met_share: (shares.append(f(checked, placed)), shares[-1])[1])
+    edges = graph.linear_edges(loose, 6, 60, recall=0.9, overlap=1)
+    assert made.count("edges") == 1 and made.count("blocks") == len(shares) > 1 and sorted(shares) == shares
+    assert shares[-1] >= 0.9 > shares[-2] and graph.found_share(loose, edges, 6) == shares[-1]
+    monkeypatch.setattr(graph, "BLOCK_BYTES", 0)  # blocks in a grid
+    again = graph.linear_edges(loose, 6, 60, recall=0.9, overlap=1)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, edges.collect()))
+
+
 def test_descent_tries_only_pairs_with_a_fresh_link(spark, base):
     edges = written(graph.knn_edges(base, 4).drop("rank"), "edges")
     settled = graph.refine_edges(base, edges.withColumn("fresh", F.lit(False)), 4)
