@@ -18,7 +18,8 @@ links than it has fingerprints, and no pair of it becomes a row. Of buckets too
 fingerprints outside the main component are compared again, in a grid.
 
 Near copies may differ in more bits than the radius. ``representatives`` therefore also joins groups whose
-texts share a rare shingle, which near copies always do (prefix filter), before it compares texts.
+texts agree in a band of MinHash values of their shingles, before it compares texts. There are as many bands
+as it takes to miss a pair with no more than a chance of ``MISSED``.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, row_key, squeezed, unused, widened, written
+from .common import documents, row_key, unused, written
 from .components import components
 
 BITS = 64
@@ -43,10 +44,11 @@ PROBE = 0.2
 BUCKET = 2048
 #: Rows of whole buckets compared at a time.
 BUCKET_ROWS = 1 << 17
-#: Cells that shingles are counted in, by the first bits of their hash, to put rare ones first; and parts they travel in.
-CELL_BITS, CELL_PARTS = 20, 16
-#: Shingles counted, or listed, at a time.
-SHINGLE_ROWS = 1 << 20
+#: MinHash values of a band, and the chance that a pair of just the similarity asked for agrees in no band.
+BAND_ROWS, MISSED = 5, 1e-11
+#: Shingles hashed at a time, so that their hashes stay in the cache.
+SHINGLE_ROWS = 512
+
 
 
 def fingerprint(text: str, width: int = 3, seed: int = 42, damped: bool = False) -> int:
@@ -443,106 +445,64 @@ def shingles(text: str, width: int) -> np.ndarray:
     runs, mixed = max(1, len(words) - width + 1), min(width, len(words))
     out = np.full(runs, mixed, np.uint64)
     for k in range(mixed):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + each[k : k + runs]
-        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(31)
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + each[k : k + runs])
     return np.unique(out)
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-
-
-def _counted_cells(width: int):
-    """Rows (text) -> (part, counts): how many texts' shingles fall into each cell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, size = np.zeros(1 << CELL_BITS, np.int64), [], 0
-        for batch in batches:
-            for text in batch.column("text"):
-                held.append(_cells(shingles(text.as_py(), width)))
-                size += len(held[-1])
-                if size >= SHINGLE_ROWS:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        yield _cell_rows(enumerate(np.split(total, CELL_PARTS)))
+def band_count(similarity: float) -> int:
+    return int(np.ceil(np.log(MISSED) / np.log1p(-min(similarity, 1 - 1e-9) ** BAND_ROWS)))
 
-    return run
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
 
-def _cell_rows(parts) -> pa.RecordBatch:
-    part, counts = zip(*parts, strict=True)
-    return pa.RecordBatch.from_pydict({
-        "part": pa.array(part, pa.int32()), "counts": pa.array([squeezed(np.minimum(c, (1 << 32) - 1)) for c in counts], pa.binary())})
 
-
-def _summed_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = {}
-    for batch in batches:
-        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            total[part] = total.get(part, 0) + widened(counts)
-    if total:
-        yield _cell_rows(total.items())
-
-
-def _rare_shingles(width: int, similarity: float, counts):
-    """Rows (text, text_key) -> (token, text_key): the shingles that near copies cannot all differ in, as in
-    ``_prefixes``, in the order of their cells' ``counts``. Any order that all texts share finds all near
-    copies; rare ones first bring few others together."""
+def _bands(width: int, bands: int):
+    """Rows (text, text_key) -> (token, text_key): a hash of each band of MinHash values, of every text of a batch once."""
+    factors = np.random.default_rng(42).integers(0, 1 << 32, bands * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, first = np.unique(batch.column("text_key").to_numpy(), return_index=True)
-            held, size = [], 0
-            for key, at in zip(keys.tolist(), first.tolist(), strict=True):
-                s = shingles(batch.column("text")[at].as_py(), width)
-                length = len(s) - int(np.ceil(len(s) * similarity - 1e-9)) + 1
-                s = s[np.lexsort((s, counts.value[_cells(s)]))[:length]]
-                held.append((s, np.full(len(s), key)))
-                size += len(s)
-                if size >= SHINGLE_ROWS:
-                    yield _token_rows(held)
-                    held, size = [], 0
-            if held:
-                yield _token_rows(held)
+            least = np.full((len(keys), len(factors)), 0xFFFFFFFF, np.uint32)
+            for n, at in enumerate(first.tolist()):
+                s = (shingles(batch.column("text")[at].as_py(), width) >> np.uint64(32)).astype(np.uint32)
+                for i in range(0, len(s), SHINGLE_ROWS):
+                    np.minimum(least[n], (s[i : i + SHINGLE_ROWS, None] * factors).min(0), out=least[n])
+            token = np.repeat(np.arange(bands, dtype=np.uint64)[None, :], len(keys), axis=0)
+            for k in range(BAND_ROWS):
+                token = _mixed(token * np.uint64(0x9E3779B97F4A7C15) + least[:, k::BAND_ROWS])
+            yield pa.RecordBatch.from_pydict({"token": token.ravel().view(np.int64), "text_key": np.repeat(keys, bands)})
 
     return run
 
 
-def _token_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    tokens, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-    return pa.RecordBatch.from_pydict({"token": tokens.view(np.int64), "text_key": keys})
-
-
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, text_key) sorted by both -> links (a, b) between one text and the next of its token."""
-    token, key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, text_key) sorted by both -> links (a, b) between the first text of a token and each other."""
+    last = None
     for batch in batches:
-        token = np.concatenate([token[-1:], batch.column("token").to_numpy()])
-        key = np.concatenate([key[-1:], batch.column("text_key").to_numpy()])
-        linked = (token[1:] == token[:-1]) & (key[1:] != key[:-1])
-        links = np.unique(np.stack([key[:-1][linked], key[1:][linked]], 1), axis=0)
+        token, key = batch.column("token").to_numpy(), batch.column("text_key").to_numpy()
+        if not len(token):
+            continue
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        heads = key[starts]
+        if last and last[0] == token[0]:
+            heads[0] = last[1]
+        head = np.repeat(heads, np.diff(np.append(starts, len(token))))
+        last = token[-1], head[-1]
+        links = np.unique(np.stack([head, key], 1)[head != key], axis=0)
         yield pa.RecordBatch.from_pydict({"a": links[:, 0], "b": links[:, 1]})
 
 
 def shingle_links(docs: DataFrame, similarity: float, width: int) -> DataFrame:
     """Links ``(a, b)`` of keys of texts: texts whose shingles have a Jaccard similarity of at least
     ``similarity`` are in one component, whatever their fingerprints. Others may be too."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, bands = F.coalesce(F.col("text"), F.lit("")), band_count(similarity)
     texts = docs.select(F.xxhash64(text).alias("text_key"), F.lower(text).alias("text"))
-    parts = texts.select("text").mapInArrow(_counted_cells(width), "part int, counts binary")
-    summed = parts.repartition("part").mapInArrow(_summed_cells, "part int, counts binary").collect()  # CELL_PARTS rows
-    counts = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.uint32)
-    for row in summed:
-        counts[row["part"]] = widened(row["counts"])
-    shared = docs.sparkSession.sparkContext.broadcast(counts.ravel())
-    rare = texts.mapInArrow(_rare_shingles(width, similarity, shared), "token long, text_key long")
-    links = rare.repartition("token").sortWithinPartitions("token", "text_key").mapInArrow(_chained, "a long, b long")
-    links = written(links.distinct(), "shingle_links")
-    shared.destroy()
-    return links
+    keys = texts.mapInArrow(_bands(width, bands), "token long, text_key long")
+    links = keys.repartition("token").sortWithinPartitions("token", "text_key").mapInArrow(_starred, "a long, b long")
+    return written(links.distinct(), "shingle_links")
 
 
 def _joined_groups(keyed: DataFrame, links: DataFrame) -> DataFrame:
@@ -611,8 +571,8 @@ def _copies(texts: DataFrame, similarity: float) -> DataFrame:
 def representatives(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 5) -> DataFrame:
     """``docs``, with all their columns, without the near copies of documents that stay.
 
-    Groups are components of damped single-word fingerprints within ``radius`` bits, joined where texts share
-    a rare shingle, so that near copies of any fingerprints are in one group. In each the smallest id stays, and members whose shingles of ``width`` words have a Jaccard similarity of at
+    Groups are components of damped single-word fingerprints within ``radius`` bits, joined where texts agree
+    in a band of MinHash values, so that near copies of any fingerprints are in one group. In each the smallest id stays, and members whose shingles of ``width`` words have a Jaccard similarity of at
     least ``similarity`` with it go. Members that differ more choose the smallest of themselves, and so
     on to the end. So a document goes only if a near copy of it stays, and no two near copies stay.
 

@@ -274,12 +274,15 @@ def test_representatives_beyond_the_radius(spark, monkeypatch):
             want.append(i)
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash_dedup.representatives(df).collect()) == want
-    monkeypatch.setattr(simhash_dedup, "SHINGLE_ROWS", 10)
+    monkeypatch.setattr(simhash_dedup, "SHINGLE_ROWS", 7)
     links = simhash_dedup.shingle_links(df.repartition(5), 0.8, 5)
     key = {r.doc_id: r.k for r in df.selectExpr("doc_id", "xxhash64(text) AS k").collect()}
     root = {r.node: r.root for r in simhash_dedup.components(links).collect()}
     assert all(root[key[i]] == root[key[j]] for i, j in near)
     assert rows(simhash_dedup.shingle_links(df.limit(0), 0.8, 5)) == []
+    batch = lambda *r: pa.RecordBatch.from_pydict({"token": [x for x, _ in r], "text_key": pa.array([y for _, y in r], pa.int64())})
+    parts = [batch((1, 4), (1, 4), (1, 6)), pa.RecordBatch.from_pydict({"token": pa.array([], pa.int64()), "text_key": pa.array([], pa.int64())}), batch((1, 7), (2, 7)), batch((2, 8), (3, 8))]
+    assert [(r["a"], r["b"]) for b in simhash_dedup._starred(parts) for r in b.to_pylist()] == [(4, 6), (4, 7), (7, 8)]
 
 
 def test_decontamination(spark, docs, odd, none):
